@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from lingotally.functions.binding import let
 from lingotally.functions.text import WS_CLASS, strip
 
 
@@ -53,47 +54,47 @@ def cue_blocks(body: Column) -> Column:
     return F.filter(blocks, lambda b: b != "")
 
 
-def _cue(index: Column, start: Column, end: Column, text: Column, error: Column) -> Column:
-    bad = error.isNotNull()
-    return F.struct(
-        F.when(~bad, index).cast("int").alias("cue_idx"),
-        F.when(~bad, start).alias("start_ms"),
-        F.when(~bad, end).alias("end_ms"),
-        F.when(~bad, text).alias("text"),
-        error.alias("error"),
-    )
+def _cue(index: Column, start: Column, end: Column, text: Column, error: Column | None) -> Column:
+    """Cue of a block whose time line was found; times that do not parse are the error."""
+    def build(t: Column) -> Column:
+        bad = F.when(t["a"].isNull() | t["b"].isNull(), "bad time stamp")
+        reason = bad if error is None else F.coalesce(error, bad)
+        good = reason.isNull()
+        return F.struct(
+            F.when(good, index).cast("int").alias("cue_idx"),
+            F.when(good, t["a"]).alias("start_ms"),
+            F.when(good, t["b"]).alias("end_ms"),
+            F.when(good, text).alias("text"),
+            reason.alias("error"),
+        )
+
+    return let(F.struct(start.alias("a"), end.alias("b")), build)
 
 
 def _rest(lines: Column, first: Column | int) -> Column:
     return F.array_join(F.slice(lines, first, F.greatest(F.size(lines), F.lit(1))), "\n")
 
 
-def _srt_cue(block: Column, position: Column) -> Column:
-    lines = F.split(block, "\n")
+def _srt_cue(lines: Column, position: Column) -> Column:
     bare = lines[0].contains("-->")
     clock = F.when(bare, lines[0]).otherwise(F.get(lines, F.lit(1)))
     number = F.when(~bare & strip(lines[0]).rlike(r"^\+?\d+$"), strip(lines[0]).try_cast("int"))
     start = _stamp_ms(strip(F.substring_index(clock, "-->", 1)), ",")
     end = _stamp_ms(strip(F.regexp_extract(clock, "(?s)-->(.*)$", 1)), ",")
-    error = (
-        F.when(clock.isNull(), "block has no time line")
-        .when(~clock.contains("-->"), "time line has no arrow")
-        .when(start.isNull() | end.isNull(), "bad time stamp")
+    error = F.when(clock.isNull(), "block has no time line").when(
+        ~clock.contains("-->"), "time line has no arrow"
     )
     text = F.when(bare, _rest(lines, 2)).otherwise(_rest(lines, 3))
     return _cue(F.when(number > 0, number).otherwise(position), start, end, text, error)
 
 
-def _vtt_cue(block: Column, position: Column) -> Column:
-    raw = F.split(block, "\n")
+def _vtt_cue(raw: Column, position: Column) -> Column:
     skip = F.when(raw[0].contains("-->"), 0).otherwise(1)
     clock = F.get(raw, skip)
     start = _stamp_ms(strip(F.substring_index(clock, "-->", 1)), r"\.")
     after = strip(F.regexp_extract(clock, "(?s)-->(.*)$", 1))
     end = _stamp_ms(F.regexp_extract(after, rf"^[^{WS_CLASS}]+", 0), r"\.")
-    error = F.when(~clock.contains("-->"), "time line has no arrow").when(
-        start.isNull() | end.isNull(), "bad time stamp"
-    )
+    error = F.when(~clock.contains("-->"), "time line has no arrow")
     return _cue(position, start, end, _rest(raw, skip + 2), error)
 
 
@@ -103,16 +104,20 @@ def parse_cues(body: Column, kind: Column) -> Column:
     One malformed block rejects the whole body, which then yields a single row with ``error`` set.
     """
     blocks = cue_blocks(body)
-    srt = F.transform(blocks, lambda b, i: _srt_cue(b, i + 1))
+    srt = F.transform(blocks, lambda b, i: let(F.split(b, "\n"), lambda ls: _srt_cue(ls, i + 1)))
     timed = F.filter(blocks, lambda b: b.contains("-->"))
-    vtt = F.transform(timed, lambda b, i: _vtt_cue(b, i + 1))
+    vtt = F.transform(timed, lambda b, i: let(F.split(b, "\n"), lambda ls: _vtt_cue(ls, i + 1)))
     unknown = F.array(
         _cue(F.lit(0), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), F.lit(""),
              F.lit("not a subtitle kind"))
     )
     cues = F.when(kind == "srt", srt).when(kind == "vtt", vtt).otherwise(unknown)
-    failed = F.filter(cues, lambda c: c["error"].isNotNull())
-    return F.when(F.size(failed) > 0, F.slice(failed, 1, 1)).otherwise(cues)
+
+    def whole_or_error(parsed: Column) -> Column:
+        failed = F.filter(parsed, lambda c: c["error"].isNotNull())
+        return F.when(F.size(failed) > 0, F.slice(failed, 1, 1)).otherwise(parsed)
+
+    return let(cues, whole_or_error)
 
 
 def srt_cue(number: Column, start: Column, end: Column, text: Column) -> Column:

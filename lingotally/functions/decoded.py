@@ -18,35 +18,51 @@ def marker_ms(marker: Column, offset_seconds: Column) -> Column:
     return ((offset_seconds + seconds) * 1000.0).cast("bigint")
 
 
-def segments_from_markers(tokens: Column, offset_seconds: Column, duration: Column) -> Column:
-    """Timed segments of one decoded chunk.
+def markers(tokens: Column) -> Column:
+    """Places and numbers of the time markers in a token array."""
+    placed = F.transform(
+        tokens, lambda t, i: F.struct((i + 1).alias("at"), t["marker"].alias("k"))
+    )
+    return F.filter(placed, lambda m: m["k"].isNotNull())
+
 
-    ``tokens`` is an ordered array of (text, marker); a time marker has ``marker`` set, any other
-    token has ``text``. Island k holds the text between marker k and the next one; text before the
-    first marker belongs to the first island, the last island ends with the chunk.
+def islands(marks: Column, n_tokens: Column) -> Column:
+    """Token ranges between markers, with the marker numbers that bound them.
+
+    Island k runs from marker k to the next one; the first also takes the text before its marker,
+    the last runs to the end. Without markers the whole chunk is one island.
     """
-    marks = F.filter(
-        F.transform(tokens, lambda t, i: F.struct((i + 1).alias("at"), t["marker"].alias("k"))),
-        lambda m: m["k"].isNotNull(),
-    )
     n = F.size(marks)
+    nothing = F.struct(F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("k"))
+    left = F.when(n > 0, marks).otherwise(F.array(nothing))
+    right = F.concat(F.slice(marks, 2, F.greatest(n - 1, F.lit(0))), F.array(nothing))
+    pairs = F.zip_with(left, right, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
-    def island(k: Column) -> Column:
-        first = F.when(k == 1, 1).otherwise(F.get(marks, k - 1)["at"] + 1)
-        last = F.when(k < n, F.get(marks, k)["at"] - 1).otherwise(F.size(tokens))
-        inside = F.slice(tokens, first, F.greatest(last - first + 1, F.lit(0)))
-        text = strip(F.array_join(F.transform(inside, lambda t: t["text"]), ""))
-        start = F.coalesce(
-            marker_ms(F.get(marks, k - 1)["k"], offset_seconds),
-            (offset_seconds * 1000.0).cast("bigint"),
+    def bounds(p: Column, i: Column) -> Column:
+        first = F.when(i == 0, 1).otherwise(p["a"]["at"] + 1)
+        last = F.coalesce(p["b"]["at"] - 1, n_tokens)
+        return F.struct(
+            first.alias("first"), F.greatest(last - first + 1, F.lit(0)).alias("n"),
+            p["a"]["k"].alias("k0"), p["b"]["k"].alias("k1"),
         )
-        end = F.when(k < n, marker_ms(F.get(marks, k)["k"], offset_seconds)).otherwise(
-            ((offset_seconds + duration) * 1000.0).cast("bigint")
+
+    return F.transform(pairs, bounds)
+
+
+def island_segments(ranges: Column, tokens: Column, offset: Column, duration: Column) -> Column:
+    """Timed segment per island that holds text; times are truncated to milliseconds."""
+    begin = (offset * 1000.0).cast("bigint")
+    finish = ((offset + duration) * 1000.0).cast("bigint")
+
+    def segment(r: Column) -> Column:
+        inside = F.slice(tokens, r["first"], r["n"])
+        return F.struct(
+            F.coalesce(marker_ms(r["k0"], offset), begin).alias("start_ms"),
+            F.coalesce(marker_ms(r["k1"], offset), finish).alias("end_ms"),
+            strip(F.array_join(F.transform(inside, lambda t: t["text"]), "")).alias("text"),
         )
-        return F.struct(start.alias("start_ms"), end.alias("end_ms"), text.alias("text"))
 
-    islands = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), island)
-    return F.filter(islands, lambda s: s["text"] != "")
+    return F.filter(F.transform(ranges, segment), lambda s: s["text"] != "")
 
 
 def acceptable(no_speech: Column, unique_ratio: Column) -> Column:

@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, functions as F
 
 from lingotally import refdata as R
+from lingotally.functions.binding import let
 from lingotally.functions.text import dialect_tokens, is_blank
 
 MIN_MARKERS = 2
@@ -32,57 +33,69 @@ def marker_hits(text: Column, lexicon: Mapping[str, Sequence[str]] = R.DIALECT_L
 
 def dialect_scores(hits: Column, lexicon: Mapping[str, Sequence[str]] = R.DIALECT_LEXICON) -> Column:
     """Struct with one marker count per family, the shared negation credited."""
-    counts = {fam: F.size(_those(hits, ms)) for fam, ms in lexicon.items()}
-    negations = F.size(F.filter(hits, lambda t: t == R.SHARED_NEGATION))
-    counts[R.SHARED_CREDIT] = counts[R.SHARED_CREDIT] + F.when(
-        counts[R.SHARED_BLOCKER] == 0, negations
-    ).otherwise(0)
-    return F.struct(*[c.alias(fam) for fam, c in counts.items()])
+    def count(h: Column) -> Column:
+        counts = {fam: F.size(_those(h, ms)) for fam, ms in lexicon.items()}
+        negations = F.size(F.filter(h, lambda t: t == R.SHARED_NEGATION))
+        counts[R.SHARED_CREDIT] = counts[R.SHARED_CREDIT] + F.when(
+            counts[R.SHARED_BLOCKER] == 0, negations
+        ).otherwise(0)
+        return F.struct(*[c.alias(fam) for fam, c in counts.items()])
+
+    return let(hits, count)
 
 
 def dialect_indicators(
     hits: Column, lexicon: Mapping[str, Sequence[str]] = R.DIALECT_LEXICON
 ) -> Column:
     """Distinct markers seen, by family order then position; the credited negation comes last."""
-    families = [_those(hits, ms) for ms in lexicon.values()]
-    blocked = F.exists(hits, lambda t: _in(t, lexicon[R.SHARED_BLOCKER]))
-    shared = F.filter(hits, lambda t: (t == R.SHARED_NEGATION) & ~blocked)
-    return F.array_distinct(F.concat(*families, shared))
+    def collect(h: Column) -> Column:
+        families = [_those(h, ms) for ms in lexicon.values()]
+        blocked = F.size(_those(h, lexicon[R.SHARED_BLOCKER])) > 0
+        shared = F.when(~blocked, F.filter(h, lambda t: t == R.SHARED_NEGATION)).otherwise(
+            F.array().cast("array<string>")
+        )
+        return F.array_distinct(F.concat(*families, shared))
+
+    return let(hits, collect)
 
 
 def dialect_verdict(text: Column, scores: Column, families: Sequence[str]) -> Column:
     """Winner by count, ties by family order; below two markers no family is named."""
-    top = F.greatest(*[scores[f] for f in families])
-    winner = None
-    for fam in families:
-        cond = scores[fam] == top
-        winner = F.when(cond, fam) if winner is None else winner.when(cond, fam)
-    dialect = (
-        F.when(is_blank(text), "Unknown")
-        .when(top == 0, "ModernStandard")
-        .when(top < MIN_MARKERS, "Unknown")
-        .otherwise(winner)
-    )
-    strength = F.least(top, F.lit(5)) / F.lit(5.0) * 0.55 + 0.4
-    confidence = (
-        F.when(is_blank(text), 0.0)
-        .when(top == 0, 0.4)
-        .when(top < MIN_MARKERS, 0.2)
-        .otherwise(F.least(strength, F.lit(0.95)))
+    def judge(s: Column) -> Column:
+        top, winner = s["top"], None
+        for fam in families:
+            cond = s["n"][fam] == top
+            winner = F.when(cond, fam) if winner is None else winner.when(cond, fam)
+        strength = F.least(top, F.lit(5)) / F.lit(5.0) * 0.55 + 0.4
+        return F.struct(
+            F.when(s["blank"], "Unknown").when(top == 0, "ModernStandard")
+            .when(top < MIN_MARKERS, "Unknown").otherwise(winner).alias("dialect"),
+            F.when(s["blank"], 0.0).when(top == 0, 0.4).when(top < MIN_MARKERS, 0.2)
+            .otherwise(F.least(strength, F.lit(0.95))).alias("confidence"),
+        )
+
+    return let(
+        let(scores, lambda n: F.struct(
+            n.alias("n"), F.greatest(*[n[f] for f in families]).alias("top"),
+            is_blank(text).alias("blank"),
+        )),
+        judge,
     )
-    return F.struct(dialect.alias("dialect"), confidence.alias("confidence"))
 
 
 def detect_dialect(
     text: Column, lexicon: Mapping[str, Sequence[str]] = R.DIALECT_LEXICON
 ) -> Column:
-    hits = marker_hits(text, lexicon)
-    verdict = dialect_verdict(text, dialect_scores(hits, lexicon), list(lexicon))
-    return F.struct(
-        verdict["dialect"].alias("dialect"),
-        verdict["confidence"].alias("confidence"),
-        dialect_indicators(hits, lexicon).alias("indicators"),
-    )
+    def build(hits: Column) -> Column:
+        return let(
+            dialect_verdict(text, dialect_scores(hits, lexicon), list(lexicon)),
+            lambda v: F.struct(
+                v["dialect"].alias("dialect"), v["confidence"].alias("confidence"),
+                dialect_indicators(hits, lexicon).alias("indicators"),
+            ),
+        )
+
+    return let(marker_hits(text, lexicon), build)
 
 
 def route(dialect: Column, confidence: Column, alt_available: Column | bool = False) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from lingotally.functions.binding import let
 from lingotally.refdata import EPOCH_ALIASES
 
 # ---- fixed values: seconds between epochs, and the supported calendar range -------------------
@@ -94,16 +95,17 @@ def civil_fields(seconds: Column) -> Column:
     )
 
 
+def _dated(seconds: Column) -> Column:
+    return let(seconds, lambda s: F.struct(s.alias("secs"), format_utc(s).alias("utc")))
+
+
 def convert(value: Column, fmt: Column) -> Column:
     """Struct of utc, unix_seconds and confidence for one value in a known format."""
-    seconds = to_unix_seconds(value, fmt)
-    utc = format_utc(seconds)
-    ok = utc != ""
-    return F.struct(
-        utc.alias("utc"),
-        F.when(ok, seconds).otherwise(F.lit(0)).cast("bigint").alias("unix_seconds"),
-        F.when(ok, "High").otherwise("Low").alias("confidence"),
-    )
+    return let(_dated(to_unix_seconds(value, fmt)), lambda d: F.struct(
+        d["utc"].alias("utc"),
+        F.when(d["utc"] != "", d["secs"]).otherwise(F.lit(0)).cast("bigint").alias("unix_seconds"),
+        F.when(d["utc"] != "", "High").otherwise("Low").alias("confidence"),
+    ))
 
 
 def detect_formats(value: Column) -> Column:
@@ -118,10 +120,9 @@ def detect_formats(value: Column) -> Column:
         bands = F.when(cond, row) if bands is None else bands.when(cond, row)
 
     def read(r: Column) -> Column:
-        secs = to_unix_seconds(value, r["format"])
-        return F.struct(
+        return let(_dated(to_unix_seconds(value, r["format"])), lambda d: F.struct(
             r["format"].alias("format"), r["confidence"].alias("confidence"),
-            secs.alias("unix_seconds"), format_utc(secs).alias("utc"),
-        )
+            d["secs"].alias("unix_seconds"), d["utc"].alias("utc"),
+        ))
 
     return F.filter(F.transform(bands, read), lambda r: r["utc"] != "")

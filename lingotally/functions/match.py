@@ -17,19 +17,22 @@ def match_offsets(text: Column, pattern: str) -> Column:
     """
     hits = matches(text, pattern)
     gaps = F.transform(F.split(text, pattern, -1), F.octet_length)
+    # Each step carries its own gap: nothing outside the lambda is evaluated again per hit.
+    steps = F.zip_with(
+        hits, F.slice(gaps, 1, F.size(hits)),
+        lambda h, g: F.struct(h.alias("hit"), g.alias("gap")),
+    )
 
-    def step(acc: Column, hit: Column) -> Column:
-        at = acc["next"] + F.element_at(gaps, F.size(acc["out"]) + 1)
+    def step(acc: Column, s: Column) -> Column:
+        at = acc["next"] + s["gap"]
+        found = F.struct(at.cast("bigint").alias("offset"), s["hit"].alias("data"))
         return F.struct(
-            (at + F.octet_length(hit)).alias("next"),
-            F.concat(
-                acc["out"],
-                F.array(F.struct(at.cast("bigint").alias("offset"), hit.alias("data"))),
-            ).alias("out"),
+            (at + F.octet_length(s["hit"])).alias("next"),
+            F.concat(acc["out"], F.array(found)).alias("out"),
         )
 
     start = F.struct(
         F.lit(0).alias("next"),
         F.array().cast("array<struct<offset:bigint,data:string>>").alias("out"),
     )
-    return F.aggregate(hits, start, step, lambda acc: acc["out"])
+    return F.aggregate(steps, start, step, lambda acc: acc["out"])

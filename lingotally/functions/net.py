@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+from lingotally.functions.binding import let
+
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 
@@ -45,41 +47,52 @@ def int_to_ipv4(value: Column) -> Column:
     )
 
 
+_NO_GROUPS = "array<string>"
+
+
 def _groups(part: Column) -> Column:
-    return F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":"))
+    return F.when(part == "", F.array().cast(_NO_GROUPS)).otherwise(F.split(part, ":"))
 
 
-def ipv6_to_hex(ip: Column) -> Column:
-    """32 hex digits of a valid IPv6 address, else null.
-
-    An embedded dotted quad at the end becomes two groups, then ``::`` is filled with zero groups.
-    """
-    quad = F.regexp_extract(ip, r"(?<=:)([0-9.]+)$", 1)
-    dotted = quad.contains(".")
-    tail = F.lpad(F.lower(F.hex(ipv4_to_int(quad))), 8, "0")
-    plain = F.when(
-        dotted,
-        F.concat(
+def _without_quad(ip: Column) -> Column:
+    """Lower-cased address with an embedded dotted quad written as two groups."""
+    def rewrite(quad: Column) -> Column:
+        tail = F.lpad(F.hex(ipv4_to_int(quad)), 8, "0")
+        return F.concat(
             F.regexp_replace(ip, r"[0-9.]+$", ""),
             F.substring(tail, 1, 4), F.lit(":"), F.substring(tail, 5, 4),
-        ),
-    ).otherwise(ip)
-    plain = F.lower(plain)
-    halves = F.split(plain, "::")
-    left, right = _groups(halves[0]), _groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
-    squeezed = F.size(halves) == 2
-    n = F.size(left) + F.when(squeezed, F.size(right)).otherwise(0)
-    fill = F.when(squeezed, F.array_repeat(F.lit("0"), 8 - n)).otherwise(
-        F.array().cast("array<string>")
-    )
-    groups = F.concat(left, fill, F.when(squeezed, right).otherwise(F.array().cast("array<string>")))
-    legal = (
-        ip.contains(":")
-        & (F.size(halves) <= 2)
-        & F.when(squeezed, n <= 7).otherwise(n == 8)
-        & F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-    )
-    return F.when(legal, F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ""))
+        )
+
+    quad = F.regexp_extract(ip, r"(?<=:)([0-9]+\.[0-9.]+)$", 1)
+    return F.lower(F.when(ip.contains("."), let(quad, rewrite)).otherwise(ip))
+
+
+def ipv6_to_hex(ip: Column) -> Column:
+    """32 hex digits of a valid IPv6 address, else null; ``::`` is filled with zero groups."""
+    def assemble(halves: Column) -> Column:
+        squeezed = F.size(halves) == 2
+        sides = F.struct(
+            _groups(halves[0]).alias("l"),
+            F.when(squeezed, _groups(F.get(halves, F.lit(1)))).otherwise(
+                F.array().cast(_NO_GROUPS)).alias("r"),
+        )
+
+        def join(s: Column) -> Column:
+            n = F.size(s["l"]) + F.size(s["r"])
+            fill = F.array_repeat(F.lit("0"), F.when(squeezed, 8 - n).otherwise(0))
+            legal = (F.size(halves) <= 2) & F.when(squeezed, n <= 7).otherwise(n == 8)
+            return F.when(legal, F.concat(s["l"], fill, s["r"]))
+
+        return let(sides, join)
+
+    def digits(groups: Column) -> Column:
+        legal = F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        return F.when(
+            legal, F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), "")
+        )
+
+    found = let(let(F.split(_without_quad(ip), "::"), assemble), digits)
+    return F.when(ip.contains(":"), found)
 
 
 def ip_valid(ip: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from lingotally.functions.binding import let
 from lingotally.refdata import GLYPHS_A, GLYPHS_B
 
 # Code-point ranges are tested before the alphabetic property, so digits and punctuation of a
@@ -58,8 +59,9 @@ def latin_count(text: Column) -> Column:
 
 
 def latin_ratio(text: Column) -> Column:
-    n = alpha_count(text)
-    return F.when(n > 0, latin_count(text) / n).otherwise(0.0)
+    return let(
+        alpha_count(text), lambda n: F.when(n > 0, latin_count(text) / n).otherwise(0.0)
+    )
 
 
 def switch_count(runs: Column) -> Column:
@@ -74,15 +76,17 @@ def code_switch_confidence(n_scripts: Column, switches: Column, alpha: Column) -
 
 
 def code_switch(text: Column) -> Column:
-    runs = script_runs(text)
-    scripts = F.array_distinct(runs)
-    switches = switch_count(runs)
-    return F.struct(
-        ((F.size(scripts) >= 2) & (switches >= 1)).alias("is_code_switched"),
-        code_switch_confidence(F.size(scripts), switches, alpha_count(text)).alias("confidence"),
-        scripts.alias("scripts"),
-        switches.alias("switch_count"),
-    )
+    def judge(runs: Column) -> Column:
+        scripts = F.array_distinct(runs)
+        switches = switch_count(runs)
+        return F.struct(
+            ((F.size(scripts) >= 2) & (switches >= 1)).alias("is_code_switched"),
+            code_switch_confidence(F.size(scripts), switches, alpha_count(text)).alias("confidence"),
+            scripts.alias("scripts"),
+            switches.alias("switch_count"),
+        )
+
+    return let(script_runs(text), judge)
 
 
 def glyph_count(text: Column, glyphs: str) -> Column:

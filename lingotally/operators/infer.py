@@ -13,9 +13,9 @@ Model = Callable[[list[str]], list[str | None]]
 Factory = Callable[[], Model]
 
 
-def uppercase_model() -> Model:
-    """Deterministic stand-in for a translation model."""
-    return lambda texts: [t.upper() for t in texts]
+def tagging_model(target: str) -> Factory:
+    """Deterministic stand-in for a translation model: marks the text with the target code."""
+    return lambda: lambda texts: [f"[{target}] {t}" for t in texts]
 
 
 def with_fallback(primary: Factory, secondary: Factory) -> Factory:

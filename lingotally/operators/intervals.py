@@ -36,7 +36,10 @@ def overlaps(segments: DataFrame, turns: DataFrame, key: str = "doc_id", width:
         & (F.col("start_ms") < F.col("_te")) & (F.col("_ts") < F.col("end_ms")) & first_common
     )
     shared = F.least(F.col("end_ms"), F.col("_te")) - F.greatest(F.col("start_ms"), F.col("_ts"))
-    return s.join(t, cond, how).withColumn("overlap_ms", shared).drop("_k", "_tb")
+    # least / greatest skip nulls, so an unmatched row needs the explicit test.
+    return s.join(t, cond, how).withColumn(
+        "overlap_ms", F.when(F.col("_ts").isNotNull(), shared)
+    ).drop("_k", "_tb")
 
 
 def attach_speaker(segments: DataFrame, turns: DataFrame, key: str = "doc_id",

@@ -26,11 +26,11 @@ def choose_installed(requests: DataFrame, installed: DataFrame, key: str,
     candidate rows, so it needs no window.
     """
     spark = requests.sparkSession
-    own = spark.createDataFrame(
-        [(lang, model, 1) for lang, model in R.LANGUAGE_MODELS],
+    own = R.inline_table(
+        spark, [(lang, model, 1) for lang, model in R.LANGUAGE_MODELS],
         f"{language} string, model string, priority int",
     )
-    general = spark.createDataFrame(R.MODEL_PREFERENCE, "model string, priority int")
+    general = R.inline_table(spark, R.MODEL_PREFERENCE, "model string, priority int")
     present = installed.select("model").distinct()
     best = general.join(present, "model", "left_semi").agg(
         F.min_by("model", "priority").alias("_general")

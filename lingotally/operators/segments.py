@@ -79,11 +79,19 @@ def parse_subtitles(files: DataFrame, body: str = "body", kind: str = "kind",
 
 
 def marker_segments(chunks: DataFrame, keys: list[str]) -> DataFrame:
-    """Timed segments of decoded chunks (tokens, offset_s, duration_s), numbered per chunk."""
-    found = decoded.segments_from_markers(
-        F.col("tokens"), F.col("offset_s"), F.col("duration_s")
+    """Timed segments of decoded chunks, numbered per chunk; row-local.
+
+    ``tokens`` is an ordered array of (text, marker): a time marker has ``marker`` set, any other
+    token has ``text``. Chunks also carry ``offset_s`` and ``duration_s``. The steps are separate
+    projections because lambdas evaluate whatever expression they capture once per element.
+    """
+    staged = chunks.withColumn("_m", decoded.markers(F.col("tokens"))).withColumn(
+        "_i", decoded.islands(F.col("_m"), F.size("tokens"))
+    )
+    found = decoded.island_segments(
+        F.col("_i"), F.col("tokens"), F.col("offset_s"), F.col("duration_s")
     )
-    return chunks.select(*keys, F.posexplode(found).alias("seg_idx", "s")).select(
+    return staged.select(*keys, F.posexplode(found).alias("seg_idx", "s")).select(
         *keys, "seg_idx", "s.*"
     )
 

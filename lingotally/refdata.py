@@ -150,6 +150,7 @@ EPOCH_ALIASES = {
 # Written from the public formats (RFC 5321 lengths, E.164, BIP-173, base58, Tor v2/v3, EIP-55).
 # Word edges are ASCII look-arounds, so a neighbouring accented letter does not hide a hit.
 _L, _R = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+_EDGE = rf"(?:{_L}(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_]){_R})"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
 RULES = [
     ("bitcoin_wallet_address", "btc_legacy", _L + r"[13][1-9A-HJ-NP-Za-km-z]{25,34}" + _R,
@@ -161,7 +162,7 @@ RULES = [
     ("onion_address", "onion_v2", _L + r"[a-z2-7]{16}\.onion" + _R, True, "High", None),
     ("phone_number_intl", "phone", r"\+[1-9][0-9]{6,14}" + _R, False, "Medium", "+"),
     ("email_address", "email",
-     _L + r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,253}\.[A-Za-z]{2,24}" + _R,
+     _EDGE + r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,253}\.[A-Za-z]{2,24}" + _R,
      False, "Medium", "@"),
     ("ipv4_address", "ipv4", _L + _OCTET + r"(?:\." + _OCTET + r"){3}" + _R,
      False, "Medium", "."),
@@ -189,8 +190,24 @@ LANGUAGE_MODELS = [("ps", "pashto"), ("prs", "dari"), ("fa-AF", "dari")]
 DEFAULT_MODEL = "tiny"
 
 
+def inline_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Literal rows as a local relation: no Python worker, exact size for the optimizer."""
+    def literal(v) -> str:
+        if v is None:
+            return "NULL"
+        if isinstance(v, str):
+            return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return repr(v).upper() if isinstance(v, bool) else repr(v)
+
+    fields = [f.rsplit(" ", 1) for f in schema.split(", ")]
+    casts = ", ".join(f"CAST({n} AS {t}) AS {n}" for n, t in fields)
+    names = ", ".join(n for n, _ in fields)
+    values = ", ".join("(" + ", ".join(literal(v) for v in r) + ")" for r in rows)
+    return spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({names})")
+
+
 def code_table(spark: SparkSession, mapping: dict[str, str], key: str, value: str) -> DataFrame:
-    return spark.createDataFrame(list(mapping.items()), f"{key} string, {value} string")
+    return inline_table(spark, list(mapping.items()), f"{key} string, {value} string")
 
 
 def language_names(spark: SparkSession) -> DataFrame:
@@ -211,22 +228,22 @@ def dialect_labels(spark: SparkSession) -> DataFrame:
 
 def language_catalogue(spark: SparkSession) -> DataFrame:
     rows = [(*row, TIER_ORDER.index(row[2]), i) for i, row in enumerate(LANGUAGE_CATALOGUE)]
-    return spark.createDataFrame(
-        rows, "code string, name string, tier string, note string, tier_rank int, position int"
+    return inline_table(
+        spark, rows, "code string, name string, tier string, note string, tier_rank int, position int"
     )
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RULES, RULE_SCHEMA)
+    return inline_table(spark, RULES, RULE_SCHEMA)
 
 
 def lexicon_table(spark: SparkSession) -> DataFrame:
     rows = [(fam, word) for fam in DIALECT_ORDER for word in DIALECT_LEXICON[fam]]
-    return spark.createDataFrame(rows, "dialect string, marker string")
+    return inline_table(spark, rows, "dialect string, marker string")
 
 
 def route_table(spark: SparkSession) -> DataFrame:
     rows = [(i, *row) for i, row in enumerate(ROUTES)]
-    return spark.createDataFrame(
-        rows, "priority int, dialect string, min_confidence double, needs_alt boolean, route string"
+    return inline_table(
+        spark, rows, "priority int, dialect string, min_confidence double, needs_alt boolean, route string"
     )

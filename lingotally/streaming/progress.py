@@ -29,33 +29,45 @@ def progress_snapshot(path: str, run: str = "run_id", seq: str = "seq",
                       keep: int = 8) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` writer of progress: counters so far and the last paths of every run.
 
-    Done events go to a table in ``path`` and counters are taken from it, so a restarted query
-    continues from what was written. A repeated batch replaces its own folder.
+    A snapshot is the one of the batch before plus this batch, so the work follows the batch, not
+    the length of the run. Each batch has its own folder: a repeated batch replaces its own output,
+    and a restarted query goes on from the last snapshot.
     """
+    counters = ["processed", "errors", "foreign_files", "translated_files"]
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.filter("type = 'done'").write.mode("overwrite").parquet(
-            f"{path}/done/batch={batch_id}"
+        done = batch.filter("type = 'done'")
+        fresh = batch_progress(done, run).join(last_paths(done, run, seq, keep), run)
+        if batch_id > 0:
+            before = batch.sparkSession.read.parquet(f"{path}/batch={batch_id - 1}")
+            fresh = fresh.select(*before.drop("complete").columns).unionByName(
+                before.drop("complete")
+            )
+        tagged = F.flatten(F.array_sort(F.collect_list("recent")))  # two short arrays per run
+        newest = F.slice(
+            F.array_sort(tagged), -F.least(F.size(tagged), F.lit(keep)),
+            F.least(F.size(tagged), F.lit(keep)),
+        )
+        merged = fresh.groupBy(run).agg(
+            *[F.sum(c).cast("bigint").alias(c) for c in counters], newest.alias("recent")
         )
-        seen = spark.read.parquet(f"{path}/done").filter(F.col("batch") <= batch_id)
-        counters = batch_progress(seen, run)
-        snapshot = counters.join(last_paths(seen, run, seq, keep), run, "left")
-        snapshot.withColumn("complete", F.lit(False)).write.mode("overwrite").json(
-            f"{path}/snapshot/batch={batch_id}"
+        merged.withColumn("complete", F.lit(False)).write.mode("overwrite").parquet(
+            f"{path}/batch={batch_id}"
         )
 
     return write
 
 
 def last_paths(events: DataFrame, run: str, seq: str, keep: int = 8) -> DataFrame:
-    """Last ``keep`` paths per run, oldest first.
+    """Last ``keep`` (number, path) pairs per run, oldest first.
 
     The rank filter is a group limit: each task sends at most ``keep`` rows per run.
     """
     w = Window.partitionBy(run).orderBy(F.desc(seq))
     top = events.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= keep)
-    ordered = F.array_sort(F.collect_list(F.struct(seq, "path")))
-    return top.groupBy(run).agg(F.transform(ordered, lambda s: s["path"]).alias("recent"))
+    return top.groupBy(run).agg(
+        F.array_sort(F.collect_list(F.struct(seq, "path"))).alias("recent")
+    )
 
 
 def progress_log(events: DataFrame, run: str = "run_id", seq: str = "seq") -> DataFrame:
@@ -79,16 +91,16 @@ def until_end(events: DataFrame, run: str = "run_id", seq: str = "seq") -> DataF
 
 
 def follow_sink(path: str, run: str = "run_id", seq: str = "seq") -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` form of ``until_end``: ends of earlier batches are a table in ``path``."""
+    """``foreachBatch`` form of ``until_end``: one row per ended run is carried in ``path``."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.filter(F.col("type").isin(TERMINAL)).groupBy(run).agg(
-            F.min(seq).alias("_end")
-        )
-        fresh.write.mode("overwrite").parquet(f"{path}/ends/batch={batch_id}")
-        ends = spark.read.parquet(f"{path}/ends").filter(F.col("batch") <= batch_id)
+        ends = batch.filter(F.col("type").isin(TERMINAL)).select(run, F.col(seq).alias("_end"))
+        if batch_id > 0:
+            before = batch.sparkSession.read.parquet(f"{path}/ends/batch={batch_id - 1}")
+            ends = ends.unionByName(before)
         first = ends.groupBy(run).agg(F.min("_end").alias("_end"))
-        cut = batch.join(broadcast_if_small(first), run, "left")
+        first.write.mode("overwrite").parquet(f"{path}/ends/batch={batch_id}")
+        stored = batch.sparkSession.read.parquet(f"{path}/ends/batch={batch_id}")
+        cut = batch.join(broadcast_if_small(stored), run, "left")
         cut.filter(F.col("_end").isNull() | (F.col(seq) <= F.col("_end"))).drop("_end").write.mode(
             "overwrite"
         ).parquet(f"{path}/events/batch={batch_id}")
