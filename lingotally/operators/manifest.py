@@ -63,8 +63,9 @@ def manifest_header(rows: DataFrame, source: str, notice: str = R.MT_NOTICE,
 
 def custody_facts(counters: DataFrame, facts: dict[str, str]) -> DataFrame:
     """Key / value rows of the custody record: given facts first, then the batch counters."""
-    given = counters.sparkSession.createDataFrame(
-        [(i, k, v) for i, (k, v) in enumerate(facts.items())], "position int, key string, value string"
+    given = R.inline_table(
+        counters.sparkSession, [(i, k, v) for i, (k, v) in enumerate(facts.items())],
+        "position int, key string, value string",
     )
     names = ["processed", "foreign_language", "translated", "errors"]
     pairs = F.array(*[

@@ -2,7 +2,7 @@
 
 from lingotally.plans.catalogue.registry import ORACLE, QUERIES
 from lingotally.plans.catalogue import (  # noqa: F401  (modules register their queries)
-    clocks, langid, netgeo, review, rollups, rules, scripts, segments, texts,
+    batch, clocks, langid, netgeo, review, rollups, rules, scripts, segments, streams, texts,
 )
 
 __all__ = ["ORACLE", "QUERIES"]

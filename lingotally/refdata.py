@@ -202,6 +202,8 @@ def inline_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFra
     fields = [f.rsplit(" ", 1) for f in schema.split(", ")]
     casts = ", ".join(f"CAST({n} AS {t}) AS {n}" for n, t in fields)
     names = ", ".join(n for n, _ in fields)
+    if not rows:
+        return spark.createDataFrame([], schema)
     values = ", ".join("(" + ", ".join(literal(v) for v in r) + ")" for r in rows)
     return spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({names})")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +36,13 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder for written intermediates, in the shared folder of the cluster if it has one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    base = shared or tempfile.mkdtemp(prefix="lingotally-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint that survives the loss of executors.
 

@@ -22,7 +22,7 @@ def write_results_json(results: DataFrame, summary: DataFrame, groups: DataFrame
     groups.write.mode("overwrite").json(f"{out}/groups")
     spark = results.sparkSession
     facts = list((metadata or {}).items())
-    spark.createDataFrame(facts, "key string, value string").write.mode("overwrite").json(
+    R.inline_table(spark, facts, "key string, value string").write.mode("overwrite").json(
         f"{out}/metadata"
     )
 
