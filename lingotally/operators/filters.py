@@ -24,8 +24,8 @@ def non_blank(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def foreign_only(df: DataFrame, target: str, language: str = "language") -> DataFrame:
-    """Rows that need translation; apply it before any model call."""
-    return df.filter(tiers.is_foreign_strict(F.col(language), target))
+    """Rows that need translation; plain comparisons, so the filter reaches the scan."""
+    return df.filter((F.col(language) != "") & (F.col(language) != target))
 
 
 def with_notice(df: DataFrame, language: str = "language", engine: str | None = None,

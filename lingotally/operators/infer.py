@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lingotally.functions.text import is_blank
 
+# Functions of this module travel to Python workers by value: executors need no install.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 Model = Callable[[list[str]], list[str | None]]
 Factory = Callable[[], Model]
 

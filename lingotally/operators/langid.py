@@ -7,13 +7,19 @@ results do not depend on the order of rows. Only the head of a text is scored.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lingotally.functions import text as X
 from lingotally.operators.sizes import broadcast_if_small
 
+# Functions of this module travel to Python workers by value: executors need no install.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SAMPLE_CHARS = 512
 TOP_K = 300
 MAX_PROFILE_ROWS = 500_000

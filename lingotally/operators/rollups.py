@@ -32,7 +32,7 @@ def batch_counters(results: DataFrame, total_found: DataFrame | None = None) ->
 
 def language_counts(results: DataFrame, language: str = "detected_language") -> DataFrame:
     return (
-        results.filter(F.coalesce(F.col(language), F.lit("")) != "")
+        results.filter(F.col(language) != "")
         .groupBy(F.col(language).alias("language_code")).agg(F.count("*").alias("n_files"))
     )
 
@@ -56,7 +56,7 @@ def language_groups(results: DataFrame, language: str = "detected_language",
                     text: str = "source_text") -> DataFrame:
     """Files and words per language, largest first; members stay rows of the results table."""
     groups = (
-        results.filter(F.coalesce(F.col(language), F.lit("")) != "")
+        results.filter(F.col(language) != "")
         .groupBy(F.col(language).alias("language_code"))
         .agg(F.count("*").alias("file_count"),
              F.sum(X.word_count(F.col(text))).cast("bigint").alias("total_words"))

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from lingotally.functions import kinds as K, text as X, tiers as T
+from lingotally.functions import kinds as K, tiers as T
 from lingotally.operators import filters, infer, rollups
 from lingotally.plans.classify import classify
 from lingotally.sources import writers
@@ -46,16 +46,17 @@ def run_batch(files: DataFrame, detect, factory: infer.Factory, target: str,
     """
     eligible = filters.filter_kinds(files, allowed)
     gate = K.size_gate(F.col("length"), F.col("text"))
-    checked = eligible.withColumn("error", F.coalesce("error", gate))
-    ok = F.col("error").isNull()
-    checked = checked.withColumn("text", F.when(ok, F.col("text")))
-    judged = classify(checked.drop("language"), detect, target).withColumn(
-        "language", T.resolve_language(F.col("language"), F.col("upstream_language"))
+    checked = eligible.withColumn("error", F.coalesce("error", gate)).withColumn(
+        "text", F.when(F.col("error").isNull(), F.col("text"))
+    )
+    judged = classify(checked, detect, target).drop("is_foreign").withColumns({
+        "language": T.resolve_language(F.col("language"), F.col("upstream_language")),
+        "has_text": F.col("error").isNull() & (F.col("confidence_tier") != ""),
+    })
+    # A missing language differs from the target, so it counts as foreign here.
+    judged = judged.withColumn(
+        "is_foreign", F.col("has_text") & T.is_foreign_plain(F.col("language"), target)
     )
-    blank = X.is_blank(F.col("text"))
-    foreign = ok & ~blank & T.is_foreign_plain(F.col("language"), target)
-    judged = judged.withColumn("is_foreign", foreign)
-
     return BatchPlan(files, _translated(judged, factory, partitions), target)
 
 
@@ -84,15 +85,15 @@ def _translated(judged: DataFrame, factory: infer.Factory, partitions: int | Non
 
 
 def _base() -> list:
-    ok = F.col("error").isNull()
-    blank = X.is_blank(F.col("text"))
+    has_text = F.col("has_text")
     return [
         F.col("file_path"), F.col("kind").alias("input_type"),
-        F.when(ok, F.coalesce("language", F.lit(""))).otherwise("").alias("detected_language"),
+        F.when(F.col("error").isNull(), F.coalesce("language", F.lit(""))).otherwise("")
+        .alias("detected_language"),
         F.col("is_foreign"),
-        F.when(ok & ~blank, F.col("confidence_tier")).otherwise("").alias("confidence_tier"),
-        F.when(ok & ~blank, F.col("advisory")).alias("confidence_advisory"),
-        F.when(ok & ~blank, F.col("text")).alias("source_text"),
+        F.when(has_text, F.col("confidence_tier")).otherwise("").alias("confidence_tier"),
+        F.when(has_text, F.col("advisory")).alias("confidence_advisory"),
+        F.when(has_text, F.col("text")).alias("source_text"),
     ]
 
 

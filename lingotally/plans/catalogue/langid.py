@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from lingotally.functions import tiers as T
@@ -12,6 +15,9 @@ from lingotally.plans.catalogue.registry import (
 from lingotally.plans.classify import classify, with_route
 from lingotally.plans.translate import joined_translation, sentence_units, translate_documents, translate_segments
 
+# Functions of this module travel to Python workers by value: executors need no install.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SQL_SAMPLE = (r"regexp_replace(regexp_replace(lower(substring({t}, 1, 512)), "
               r"'[\s\x0b\x{85}\p{Z}]+', ' ', 'g'), '[\x{10000}-\x{10FFFF}]', '�', 'g')")
 

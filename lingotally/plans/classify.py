@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lingotally import refdata as R
 from lingotally.functions import dialect as D, script as S, text as X, tiers as T
+from lingotally.functions.binding import let
 from lingotally.operators import langid
 
 CLASSIFIED = [
@@ -27,37 +28,38 @@ def classify(df: DataFrame, detect, target: str, text: str = "text",
     over the lexicon where present.
     """
     t = F.col(text)
-    blank = X.is_blank(t)
-    found = df.withColumn("_d", detect(t)).withColumn("input_word_count", X.word_count(t))
-    found = found.withColumn(
-        "_lang", F.when(blank, "").otherwise(F.coalesce("_d.language", F.lit("")))
-    ).withColumn(
-        "confidence",
-        F.when(blank, 0.0).otherwise(
+    found = df.withColumns({
+        "_d": detect(t), "_blank": X.is_blank(t), "input_word_count": X.word_count(t),
+    })
+    judged = F.struct(
+        F.when(F.col("_blank"), "").otherwise(F.coalesce("_d.language", F.lit(""))).alias("lang"),
+        F.when(F.col("_blank"), 0.0).otherwise(
             langid.margin_confidence(F.col("_d.score"), F.col("_d.runner_up"))
-        ),
+        ).alias("conf"),
     )
+    found = found.withColumn("_j", judged)
     # Glyphs are counted only for the one ambiguous code, dialect markers only for Arabic.
-    glyphs = F.when(F.col("_lang") == "fa", S.glyph_profile(t))
-    found = found.withColumn("_g", glyphs)
-    verdict = S.script_verdict(F.coalesce("_g.n_a", F.lit(0)), F.coalesce("_g.n_b", F.lit(0)))
-    fixed = S.disambiguate(
-        F.col("_lang"), verdict["recommendation"], verdict["confidence"], F.col("_g.glyphs_a")
+    found = found.withColumn("_f", F.when(
+        F.col("_j.lang") == "fa", let(S.glyph_profile(t), lambda g: let(
+            S.script_verdict(g["n_a"], g["n_b"]), lambda v: S.disambiguate(
+                F.col("_j.lang"), v["recommendation"], v["confidence"], g["glyphs_a"])))
+    ))
+    language = F.coalesce("_f.language", "_j.lang")
+    found = found.withColumn("language", language).withColumn(
+        "_dia", F.when(F.col("language") == "ar", D.detect_dialect(t, lexicon))
     )
-    found = found.withColumn("_f", fixed).withColumn("language", F.col("_f.language"))
-    found = found.withColumn("_dia", F.when(F.col("language") == "ar", D.detect_dialect(t, lexicon)))
-    lexical = F.col("_dia.dialect")
-    dialect = lexical
+    dialect = F.col("_dia.dialect")
     if model_label is not None:
         labelled = F.when(F.col(model_label).isNotNull(), D.family_of_label(F.col(model_label)))
-        dialect = F.when(F.col("language") == "ar", F.coalesce(labelled, lexical))
+        dialect = F.when(F.col("language") == "ar", F.coalesce(labelled, dialect))
     words = F.col("input_word_count")
-    tier = F.when(blank, F.lit("")).otherwise(T.confidence_tier(F.col("confidence"), words))
+    found = found.withColumn("confidence_tier", F.when(F.col("_blank"), "").otherwise(
+        T.confidence_tier(F.col("_j.conf"), words)))
     return found.select(
-        *df.columns, "language", "confidence",
+        *df.columns, "language", F.col("_j.conf").alias("confidence"),
         T.is_foreign_strict(F.col("language"), target).alias("is_foreign"),
-        tier.alias("confidence_tier"), "input_word_count",
-        T.confidence_advisory(tier, words).alias("advisory"),
+        "confidence_tier", "input_word_count",
+        T.confidence_advisory(F.col("confidence_tier"), words).alias("advisory"),
         F.col("_f.note").alias("disambiguation_note"),
         dialect.alias("dialect"),
         F.col("_dia.confidence").alias("dialect_confidence"),

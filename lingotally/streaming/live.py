@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from lingotally.functions import text as X, tiers as T
 from lingotally.operators import infer
 from lingotally.plans.classify import classify
 
+# Functions of this module travel to Python workers by value: executors need no install.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SILENCE_RMS = 0.01
 WATERMARK = "10 minutes"
 
