@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from lingotally.functions.binding import let
+
 # ---- fixed values: extensions per kind -------------------------------------------------------
 VIDEO_EXT = ["mp4", "mov", "avi", "mkv", "m4v", "wmv", "webm", "3gp"]
 IMAGE_EXT = ["png", "jpg", "jpeg", "tiff", "tif", "bmp", "gif"]
@@ -22,14 +24,13 @@ def extension(path: Column) -> Column:
 
 
 def kind_from_ext(path: Column) -> Column:
-    ext = extension(path)
-    return (
+    return let(extension(path), lambda ext: (
         F.when(ext.isin(VIDEO_EXT), "video")
         .when(ext.isin(IMAGE_EXT), "image")
         .when(ext == "pdf", "pdf")
         .when(ext.isin(SUBTITLE_EXT), "subtitle")
         .otherwise("audio")
-    )
+    ))
 
 
 def _starts(head: Column, hex_text: str, at: int = 1) -> Column:
@@ -54,13 +55,12 @@ def magic_name(head: Column) -> Column:
 
 
 def kind_from_magic(head: Column) -> Column:
-    name = magic_name(head)
-    return (
+    return let(magic_name(head), lambda name: (
         F.when(name == "pdf", "pdf")
         .when(name == "mp4", "video")
         .when(name.isin("jpeg", "png"), "image")
         .when(name.isin("wav", "mp3"), "audio")
-    )
+    ))
 
 
 def kind_robust(path: Column, head: Column) -> Column:
@@ -68,14 +68,13 @@ def kind_robust(path: Column, head: Column) -> Column:
 
 
 def kind_viewer(path: Column) -> Column:
-    ext = extension(path)
-    return (
+    return let(extension(path), lambda ext: (
         F.when(ext.isin(VIEWER_AUDIO_EXT), "audio")
         .when(ext.isin(VIEWER_VIDEO_EXT), "video")
         .when(ext.isin(SUBTITLE_EXT), "subtitle")
         .when(ext.isin(VIEWER_IMAGE_EXT), "image")
         .otherwise("document")
-    )
+    ))
 
 
 def size_gate(

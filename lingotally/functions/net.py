@@ -33,10 +33,11 @@ def is_ipv4(ip: Column) -> Column:
 
 def ipv4_to_int(ip: Column) -> Column:
     """Numeric value of a valid dotted quad, else null."""
-    parts = F.split(ip, r"\.")
-    value = reduce(lambda acc, i: acc * 256 + parts[i].cast("bigint"), range(1, 4),
-                   parts[0].cast("bigint"))
-    return F.when(is_ipv4(ip), value)
+    def number(parts: Column) -> Column:
+        return reduce(lambda acc, i: acc * 256 + parts[i].cast("bigint"), range(1, 4),
+                      parts[0].cast("bigint"))
+
+    return F.when(is_ipv4(ip), let(F.split(ip, r"\."), number))
 
 
 def int_to_ipv4(value: Column) -> Column:
@@ -113,4 +114,4 @@ def is_private_v6(digits: Column) -> Column:
 def is_private(ip: Column) -> Column:
     """False for malformed input."""
     v6 = F.when(ip.contains(":"), is_private_v6(ipv6_to_hex(ip)))
-    return F.coalesce(v6, is_private_v4(ipv4_to_int(ip)), F.lit(False))
+    return F.coalesce(v6, let(ipv4_to_int(ip), is_private_v4), F.lit(False))

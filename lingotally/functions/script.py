@@ -9,12 +9,15 @@ from lingotally.refdata import GLYPHS_A, GLYPHS_B
 
 # Code-point ranges are tested before the alphabetic property, so digits and punctuation of a
 # range belong to its script; every other alphabetic character counts as latin.
+CODES = {
+    "arabic": [(0x0600, 0x06FF), (0x0750, 0x077F)],
+    "cyrillic": [(0x0400, 0x04FF)],
+    "cjk": [(0x4E00, 0x9FFF)],
+    "hebrew": [(0x0590, 0x05FF)],
+    "devanagari": [(0x0900, 0x097F)],
+}
 RANGES = {
-    "arabic": r"\x{0600}-\x{06FF}\x{0750}-\x{077F}",
-    "cyrillic": r"\x{0400}-\x{04FF}",
-    "cjk": r"\x{4E00}-\x{9FFF}",
-    "hebrew": r"\x{0590}-\x{05FF}",
-    "devanagari": r"\x{0900}-\x{097F}",
+    name: "".join(rf"\x{{{a:04X}}}-\x{{{b:04X}}}" for a, b in spans) for name, spans in CODES.items()
 }
 _RANGED = "".join(RANGES.values())
 LATIN = rf"[\p{{IsAlphabetic}}&&[^{_RANGED}]]"
@@ -36,18 +39,35 @@ def _run_pattern() -> str:
 RUN_PATTERN = _run_pattern()
 
 
-def char_script(c: Column) -> Column:
-    """Script of one classified character (``other`` for the rest)."""
+def _ranged_script(c: Column) -> Column:
+    """Script by code point for the ranges, else null (``ascii`` yields the code point)."""
     expr = None
-    for name, own in RANGES.items():
-        cond = c.rlike(f"^[{own}]")
-        expr = F.when(cond, name) if expr is None else expr.when(cond, name)
-    return expr.when(c.rlike(rf"^\p{{IsAlphabetic}}"), "latin").otherwise("other")
+    for name, spans in CODES.items():
+        for a, b in spans:
+            cond = F.ascii(c).between(a, b)
+            expr = F.when(cond, name) if expr is None else expr.when(cond, name)
+    return expr
+
+
+def char_script(c: Column) -> Column:
+    """Script of one character, ``other`` if it is neither in a range nor a letter."""
+    letter = F.when(c.rlike(r"^\p{IsAlphabetic}"), "latin").otherwise("other")
+    return F.coalesce(_ranged_script(c), letter)
 
 
 def script_runs(text: Column) -> Column:
-    """Scripts of the maximal same-script runs in order, one regex pass, no explode."""
-    return F.transform(F.regexp_extract_all(text, F.lit(RUN_PATTERN), F.lit(1)), char_script)
+    """Scripts of the maximal same-script runs in order, one regex pass, no explode.
+
+    Text without any character of the ranges is one latin run, if it has a letter at all.
+    """
+    runs = F.transform(
+        F.regexp_extract_all(text, F.lit(RUN_PATTERN), F.lit(1)),
+        lambda c: F.coalesce(_ranged_script(c), F.lit("latin")),
+    )
+    plain = F.when(text.rlike(r"\p{IsAlphabetic}"), F.array(F.lit("latin"))).otherwise(
+        F.array().cast("array<string>")
+    )
+    return F.when(text.rlike(f"[{_RANGED}]"), runs).otherwise(plain)
 
 
 def alpha_count(text: Column) -> Column:

@@ -91,7 +91,8 @@ def infer_distinct(df: DataFrame, factory: Factory, key: Column, text: str = "te
     blank = is_blank(F.col(text))
     spread = F.concat(F.lit("-"), F.pmod(F.xxhash64(key), F.lit(1 << 20)).cast("string"))
     keyed = df.withColumn("_k", F.when(blank, spread).otherwise(F.sha2(F.col(text), 256)))
-    texts = keyed.filter(~blank).select("_k", text).dropDuplicates(["_k"])
+    # The digest determines the text; grouping by both hashes instead of sorting whole texts.
+    texts = keyed.filter(~blank).select("_k", text).distinct()
     if partitions:
         texts = texts.repartition(partitions, "_k")
     inferred = map_model(texts, factory, text, output, ["_k"])

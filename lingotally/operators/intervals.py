@@ -14,17 +14,15 @@ def _buckets(start: Column, end: Column, width: int) -> Column:
     return F.when(start < end, spans)
 
 
-def overlaps(segments: DataFrame, turns: DataFrame, key: str = "doc_id", width: int = BUCKET_MS,
-             how: str = "inner") -> DataFrame:
+def overlaps(segments: DataFrame, turns: DataFrame, key: str = "doc_id",
+             width: int = BUCKET_MS) -> DataFrame:
     """Overlapping pairs with their overlap in ms, each pair once.
 
     Both sides are cut into time buckets, so the equi-join key is (document, bucket): a document
     that holds a large share of all rows spreads over its buckets, and AQE splits what is left.
     A pair that shares several buckets is kept in its first common one.
     """
-    s = segments.withColumn(
-        "_b", F.explode_outer(_buckets(F.col("start_ms"), F.col("end_ms"), width))
-    )
+    s = segments.withColumn("_b", F.explode(_buckets(F.col("start_ms"), F.col("end_ms"), width)))
     t = turns.select(
         F.col(key).alias("_k"), F.col("start_ms").alias("_ts"), F.col("end_ms").alias("_te"),
         F.col("turn_idx"), F.col("speaker_id"),
@@ -36,32 +34,25 @@ def overlaps(segments: DataFrame, turns: DataFrame, key: str = "doc_id", width:
         & (F.col("start_ms") < F.col("_te")) & (F.col("_ts") < F.col("end_ms")) & first_common
     )
     shared = F.least(F.col("end_ms"), F.col("_te")) - F.greatest(F.col("start_ms"), F.col("_ts"))
-    # least / greatest skip nulls, so an unmatched row needs the explicit test.
-    return s.join(t, cond, how).withColumn(
-        "overlap_ms", F.when(F.col("_ts").isNotNull(), shared)
-    ).drop("_k", "_tb")
+    return s.join(t, cond).withColumn("overlap_ms", shared).drop("_k", "_tb", "_b")
 
 
 def attach_speaker(segments: DataFrame, turns: DataFrame, key: str = "doc_id",
                    idx: str = "seg_idx", width: int = BUCKET_MS) -> DataFrame:
     """Speaker with the largest overlap per segment; ties go to the earlier turn.
 
-    Equal intervals of a document are reduced to their earliest turn first. The outer join keeps
-    unmatched segments, so one partial aggregation per segment replaces a join back.
+    Equal intervals of a document are reduced to their earliest turn first. Only keys and times go
+    through the bucket join and its aggregation; texts move once, in the join back on the unique
+    segment key, which also keeps segments that overlap nothing.
     """
     earliest = turns.groupBy(key, "start_ms", "end_ms").agg(
         F.min(F.struct("turn_idx", "speaker_id")).alias("_t")
     ).select(key, "start_ms", "end_ms", "_t.turn_idx", "_t.speaker_id")
-    pairs = overlaps(segments, earliest, key, width, "left")
+    pairs = overlaps(segments.select(key, idx, "start_ms", "end_ms"), earliest, key, width)
     rank = F.struct(F.col("overlap_ms"), -F.col("turn_idx"))
-    best = F.max_by(
-        F.when(F.col("overlap_ms").isNotNull(), F.col("speaker_id")),
-        F.when(F.col("overlap_ms").isNotNull(), rank),
-    )
-    rest = [c for c in segments.columns if c not in (key, idx)]
-    return pairs.groupBy(key, idx).agg(
-        *[F.any_value(c).alias(c) for c in rest],
-        F.coalesce(best, F.lit(UNKNOWN_SPEAKER)).alias("speaker_id"),
+    best = pairs.groupBy(key, idx).agg(F.max_by("speaker_id", rank).alias("speaker_id"))
+    return segments.join(best, [key, idx], "left").withColumn(
+        "speaker_id", F.coalesce("speaker_id", F.lit(UNKNOWN_SPEAKER))
     )
 
 

@@ -23,6 +23,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SAMPLE_CHARS = 512
 TOP_K = 300
 MAX_PROFILE_ROWS = 500_000
+WIDE_LANGUAGES = 32
 
 
 def sample(text: Column, n: int = SAMPLE_CHARS) -> Column:
@@ -56,14 +57,31 @@ def train_profile(df: DataFrame, language: str = "lang", text: str = "text",
 def language_scores(df: DataFrame, profile: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Score per key and language; a key without any known trigram keeps one null language row.
 
-    The profile is bounded by languages times K. Trigrams never leave the map side: the partial
-    aggregation sends one row per key and language.
+    The profile is bounded by languages times K. With few languages it is turned to one row per
+    trigram and one column per language: a text trigram joins once, and the partial aggregation
+    sends one row per key. Trigrams never leave the map side.
     """
-    side = broadcast_if_small(profile.select("language", "gram", "weight"))
+    found = profile.select("language").distinct().limit(WIDE_LANGUAGES + 1).collect()
+    languages = sorted(r["language"] for r in found)
     exploded = df.select(key, F.explode_outer(grams(sample(F.col(text)))).alias("gram"))
-    return exploded.join(side, "gram", "left").groupBy(key, "language").agg(
-        F.sum("weight").cast("bigint").alias("score")
+    if len(languages) > WIDE_LANGUAGES:
+        side = broadcast_if_small(profile.select("language", "gram", "weight"))
+        return exploded.join(side, "gram", "left").groupBy(key, "language").agg(
+            F.sum("weight").cast("bigint").alias("score")
+        )
+    wide = profile.groupBy("gram").agg(*[
+        F.sum(F.when(F.col("language") == name, F.col("weight"))).alias(f"_s{i}")
+        for i, name in enumerate(languages)
+    ])
+    sums = exploded.join(broadcast_if_small(wide), "gram", "left").groupBy(key).agg(
+        *[F.sum(f"_s{i}").cast("bigint").alias(f"_s{i}") for i in range(len(languages))]
     )
+    scored = F.filter(
+        F.array(*[F.struct(F.lit(name).alias("language"), F.col(f"_s{i}").alias("score"))
+                  for i, name in enumerate(languages)]),
+        lambda s: s["score"].isNotNull(),
+    )
+    return sums.select(key, F.inline_outer(scored))
 
 
 def best_language(scores: DataFrame, key: str) -> DataFrame:

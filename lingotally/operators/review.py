@@ -94,6 +94,14 @@ def fold_review_actions(actions: DataFrame, keys: list[str] = KEYS, seq: str = "
     )
 
 
+def hydrate_flags(flags: DataFrame, keys: list[str] = KEYS, position: str = "position") -> DataFrame:
+    """Stored flags as state: the last one per segment wins."""
+    rest = [c for c in flags.columns if c not in (*keys, position)]
+    return flags.groupBy(*keys).agg(F.max_by(F.struct(*rest), position).alias("_f")).select(
+        *keys, "_f.*"
+    )
+
+
 def recent_files(opens: DataFrame, cap: int = RECENT_CAP, seq: str = "seq") -> DataFrame:
     """Last ``cap`` distinct paths by latest opening, newest last: a top-k over one aggregate."""
     latest = opens.groupBy("path").agg(F.max(seq).alias(seq))

@@ -30,7 +30,8 @@ def string_hits(text: Column, rule: dict) -> Column:
     pattern = ("(?i)" if rule["nocase"] else "") + rule["pattern"]
     found = text.rlike(pattern)
     if rule.get("literal"):
-        found = text.contains(rule["literal"]) & found
+        plain = F.lower(text) if rule["nocase"] else text
+        found = plain.contains(rule["literal"]) & found
     hits = F.transform(match_offsets(text, pattern), lambda h: F.struct(
         F.lit(rule["string_id"]).alias("string_id"), h["offset"].alias("offset"),
         h["data"].alias("data"),

@@ -13,7 +13,10 @@ from lingotally.plans.catalogue.registry import (
     SQL_WS, TARGET, documents, query, sql_word_count, table,
 )
 from lingotally.plans.classify import classify, with_route
-from lingotally.plans.translate import joined_translation, sentence_units, translate_documents, translate_segments
+from lingotally.plans.translate import (
+    joined_translation, sentence_units, translate_documents, translate_segments,
+)
+from lingotally.session import durable
 
 # Functions of this module travel to Python workers by value: executors need no install.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -43,13 +46,14 @@ SQL_CONF = ("CASE WHEN score > 0 THEN least((score - runner_up) * 2.0::DOUBLE /
 
 
 def profile_of(spark, sf):
-    return langid.train_profile(documents(spark, sf, "lang", "text"))
+    """Profile of the labelled documents, stored once: scoring reads the few stored rows."""
+    return durable(langid.train_profile(documents(spark, sf, "lang", "text")))
 
 
 @query("ngram_profile", f"""WITH {SQL_PROFILE} SELECT language, gram, n, CAST(rank AS INTEGER) AS rank,
  CAST(301 - rank AS INTEGER) AS weight FROM profile""")
 def ngram_profile(spark, sf):
-    return profile_of(spark, sf)
+    return langid.train_profile(documents(spark, sf, "lang", "text"))
 
 
 @query("language_scores", f"WITH {SQL_LANGID} SELECT doc_id, language, score FROM sc")

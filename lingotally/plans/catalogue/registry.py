@@ -42,6 +42,10 @@ def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     return spread(table(spark, sf, "documents").select(*dict.fromkeys(("doc_id", *cols))), "doc_id")
 
 
+def pages(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "pages"), "page_id")
+
+
 def values_sql(rows: list[tuple], names: str) -> str:
     """Inline table for the oracle."""
     def lit(v) -> str:
@@ -104,7 +108,8 @@ def results(spark: SparkSession, sf: str) -> DataFrame:
     path = file_path(F.col("doc_id"), F.col("source"))
     bad = F.col("n_chars") < 20
     foreign = ~bad & T.is_foreign_plain(F.col("lang"), TARGET)
-    words = X.word_count(F.col("text"))
+    d = d.withColumn("_w", X.word_count(F.col("text")))
+    words = F.col("_w")
     return d.select(
         "doc_id", path.alias("file_path"), K.kind_from_ext(path).alias("input_type"),
         F.when(bad, "").otherwise(F.col("lang")).alias("detected_language"),

@@ -42,6 +42,15 @@ def review_fold(spark, sf):
     return review.fold_review_actions(actions(spark, sf))
 
 
+@query("hydrate_flags", f"""WITH {SQL_ACTIONS} SELECT file_path, segment_index, note AS examiner_note
+ FROM act QUALIFY row_number() OVER (PARTITION BY file_path, segment_index ORDER BY seq DESC) = 1""")
+def hydrate_flags(spark, sf):
+    stored = actions(spark, sf).select(
+        "file_path", "segment_index", F.col("note").alias("examiner_note"), F.col("seq").alias("position")
+    )
+    return review.hydrate_flags(stored)
+
+
 @query("flags_review", f"""WITH {SQL_FOLD}, {SQL_REVIEW_SEGMENTS} SELECT f.file_path, f.segment_index,
  coalesce(start_ms, -1) AS start_ms, coalesce(end_ms, -1) AS end_ms, coalesce(source_text, '') AS original,
  coalesce(translated_text, '') AS translation, review_status, examiner_note, flagged_at

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lingotally.operators import rules
-from lingotally.plans.catalogue.registry import documents, query, table, values_sql
+from lingotally.plans.catalogue.registry import documents, pages, query, values_sql
 
 # The same formats in RE2, whose \b is ASCII: (rule, string id, pattern, order).
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
@@ -55,7 +55,7 @@ def rule_summary(spark, sf):
     """Translation and source of every page in one pass, tagged by text."""
     translation = F.concat(F.lit("[en] "), F.when(F.col("page_id") % 3 == 0, "").otherwise(
         F.concat("url", F.lit(" "), "html")))
-    two = table(spark, sf, "pages").select("page_id", "html", translation.alias("translation"))
+    two = pages(spark, sf).select("page_id", "html", translation.alias("translation"))
     hits = rules.rule_hits(two, {"translation": "translation", "source": "html"}, ["page_id"])
     return rules.rule_summary(hits)
 

@@ -210,10 +210,10 @@ def _run_events(spark, sf):
     docs = d.withColumn("d", found).select(
         "*", F.col("d.dialect").alias("dialect"), F.col("d.confidence").alias("dialect_confidence")
     ).drop("d")
-    segs = P.translate_segments(
-        P.sentence_units(docs, ["doc_id"]), infer.tagging_model(TARGET), ["doc_id"]
-    )
-    return P.run_events(docs, segs, TARGET)
+    units = P.sentence_units(docs, ["doc_id"])
+    foreign = units.join(docs.filter(F.col("language") != TARGET).select("doc_id"), "doc_id", "left_semi")
+    segs = P.translate_segments(foreign, infer.tagging_model(TARGET), ["doc_id"])
+    return P.run_events(docs, segs, TARGET, units=units)
 
 
 @query("run_events", f"""WITH {SQL_SCORES}, {SQL_PLANTED} SELECT doc_id, 'dialect' AS type, 1 AS n,

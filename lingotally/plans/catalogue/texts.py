@@ -8,7 +8,7 @@ from lingotally import refdata as R
 from lingotally.functions import kinds as K, text as X, tiers as T
 from lingotally.operators import filters, rollups, segments as G
 from lingotally.plans.catalogue.registry import (
-    SQL_EXT, SQL_KIND, SQL_PATH, SQL_WS, WORD_RE, documents, file_path, query, sql_word_count,
+    SQL_EXT, SQL_KIND, SQL_PATH, SQL_WS, documents, file_path, pages, query, sql_word_count,
     sql_words, table, values_sql,
 )
 
@@ -258,7 +258,7 @@ def name_scalars(spark, sf):
     status = F.when(F.col("page_id") % 3 == 0, "").when(
         F.col("page_id") % 3 == 1, "in_progress").otherwise("done")
     label = F.when(F.col("page_id") % 2 == 0, "__label__de").otherwise("__label__fr")
-    return table(spark, sf, "pages").select(
+    return pages(spark, sf).select(
         "page_id", X.base_name(F.col("url")).alias("base_name"),
         X.short_path(F.col("url")).alias("short_path"), X.sanitize_id(F.col("url")).alias("safe_id"),
         X.strip_label_prefix(label).alias("label"), X.status_label(status).alias("status"),
@@ -269,7 +269,7 @@ def name_scalars(spark, sf):
 @query("html_escape", """SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'),
  '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped FROM pages""")
 def html_escape(spark, sf):
-    return table(spark, sf, "pages").select("page_id", X.html_escape(F.col("html")).alias("escaped"))
+    return pages(spark, sf).select("page_id", X.html_escape(F.col("html")).alias("escaped"))
 
 
 @query("progress_scalars", """SELECT source, CAST(CASE WHEN total = 0 THEN 0 ELSE

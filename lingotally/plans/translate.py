@@ -53,11 +53,13 @@ def joined_translation(translated: DataFrame, keys: list[str], idx: str = "seg_i
 
 
 def run_events(classified: DataFrame, segments: DataFrame, target: str, key: str = "doc_id",
-               idx: str = "seg_idx", alt_available: bool = False) -> DataFrame:
+               idx: str = "seg_idx", alt_available: bool = False,
+               units: DataFrame | None = None) -> DataFrame:
     """Events of a translation run: dialect, dialect_routing, segment, error, complete.
 
-    ``segments`` are translated segments of all documents. Blank segments are skipped, but the
-    complete event carries the unskipped total. ``stage`` and ``index`` order the events of a
+    ``segments`` are translated segments of all documents, ``units`` the same before translation
+    (totals then need no model run). Blank segments are skipped, but the complete event carries the
+    unskipped total. ``stage`` and ``index`` order the events of a
     document; documents already in the target language only complete, with zero segments.
     """
     routed = with_route(classified, alt_available)
@@ -82,10 +84,12 @@ def run_events(classified: DataFrame, segments: DataFrame, target: str, key: str
         F.when(failed, F.col("error")).alias("message"),
         F.when(~failed, F.lit(True)).alias("is_complete"),
     )
-    totals = mine.groupBy(key).agg(F.count("*").alias("total_segments"))
-    complete = routed.select(key).join(totals, key, "left").select(
+    counted = units if units is not None else segments
+    totals = counted.groupBy(key).agg(F.count("*").alias("_n"))
+    is_foreign = T.is_foreign_plain(F.col("language"), target)
+    complete = routed.select(key, "language").join(totals, key, "left").select(
         key, F.lit(3).alias("stage"), F.lit(0).alias("index"), F.lit("complete").alias("type"),
-        F.coalesce("total_segments", F.lit(0)).alias("total_segments"),
+        F.when(is_foreign, F.coalesce("_n", F.lit(0))).otherwise(F.lit(0)).alias("total_segments"),
         F.lit(R.MT_NOTICE).alias("machine_translation_notice"),
     )
     out = dialect
