@@ -85,9 +85,9 @@ def flags_upsert(spark, sf):
 
 SQL_FLAGGED = f"""{SQL_RESULTS}, fl AS (SELECT CASE WHEN doc_id % 5 = 0 THEN '' ELSE p2 END AS file_path,
  doc_id % 3 AS segment_index, doc_id FROM (SELECT doc_id, file_path AS p2 FROM results)),
- sg AS (SELECT file_path, k AS segment_index, 's' || k || ' ' || source_text AS source_text,
+ sg AS (SELECT file_path, k + 100 * (doc_id % 2) AS segment_index, 's' || k || ' ' || source_text AS source_text,
  't' || k || ' ' || coalesce(translated_text, '') AS translated_text FROM results,
- (VALUES (0), (1)) AS v(k) WHERE source_text IS NOT NULL AND doc_id % 2 = 0),
+ (VALUES (0), (1)) AS v(k) WHERE source_text IS NOT NULL),
  fseg AS (SELECT segment_index, arg_min(source_text, file_path) AS s, arg_min(translated_text, file_path)
  AS t FROM sg GROUP BY 1),
  fres AS (SELECT arg_min(source_text, file_path) AS s, arg_min(translated_text, file_path) AS t FROM results
@@ -111,10 +111,11 @@ def flags_to_results(spark, sf):
         (i % 3).alias("segment_index"), F.concat(F.lit("n"), i.cast("string")).alias("examiner_note"),
         F.lit("").alias("review_status"),
     )
-    segs = r.filter(F.col("source_text").isNotNull() & (i % 2 == 0)).select(
-        "file_path", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), "source_text", "translated_text"
+    segs = r.filter(F.col("source_text").isNotNull()).select(
+        "file_path", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), "source_text", "translated_text",
+        "doc_id",
     ).select(
-        "file_path", F.col("k").cast("bigint").alias("segment_index"),
+        "file_path", (F.col("k") + 100 * (i % 2)).alias("segment_index"),
         F.concat(F.lit("s"), F.col("k").cast("string"), F.lit(" "), "source_text").alias("source_text"),
         F.concat(F.lit("t"), F.col("k").cast("string"), F.lit(" "),
                  F.coalesce("translated_text", F.lit(""))).alias("translated_text"),

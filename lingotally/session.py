@@ -36,21 +36,27 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder of the session: ``spark.checkpoint.dir``, or the checkpoint folder in use.
+
+    Only a local session may go without one; it gets a scratch folder.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        named = tempfile.mkdtemp(prefix="lingotally-")
+    return named.rstrip("/")
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder for written intermediates, in the shared folder of the cluster if it has one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    base = shared or tempfile.mkdtemp(prefix="lingotally-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder for written intermediates below the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint that survives the loss of executors.
-
-    The shared folder is the one the cluster names in ``spark.checkpoint.dir``; only a session
-    without one (a local test) falls back to a scratch folder.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lingotally-checkpoint-"))
+    """Cut lineage with a reliable checkpoint that survives the loss of executors."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
