@@ -125,6 +125,9 @@ def detector(profile: DataFrame):
     def score(samples: pd.Series) -> pd.DataFrame:
         return _score_batch(samples.fillna(""), languages, codes, weights)
 
+    # Declared non-deterministic only to keep filters on its result above it: pushed below, they
+    # would run the function a second time.
+    score = score.asNondeterministic()
     return lambda text: score(sample(text))
 
 
