@@ -17,18 +17,16 @@ from lingotally.functions.text import dialect_tokens, is_blank
 MIN_MARKERS = 2
 
 
-def _in(token: Column, markers: Sequence[str]) -> Column:
-    return token.isin(list(markers))
-
-
 def _those(hits: Column, markers: Sequence[str]) -> Column:
-    return F.filter(hits, lambda t: _in(t, markers))
+    """Hits that are one of a few markers; the list is one literal array."""
+    quoted = ", ".join("'" + m.replace("\\", "\\\\").replace("'", "\\'") + "'" for m in markers)
+    return F.filter(hits, lambda t: F.array_contains(F.expr(f"array({quoted})"), t))
 
 
 def marker_hits(text: Column, lexicon: Mapping[str, Sequence[str]] = R.DIALECT_LEXICON) -> Column:
     """Tokens of the text that are a marker of any family, in order."""
     every = sorted({m for ms in lexicon.values() for m in ms} | {R.SHARED_NEGATION})
-    return F.filter(dialect_tokens(text), lambda t: _in(t, every))
+    return F.filter(dialect_tokens(text), lambda t: t.isin(every))
 
 
 def dialect_scores(hits: Column, lexicon: Mapping[str, Sequence[str]] = R.DIALECT_LEXICON) -> Column:

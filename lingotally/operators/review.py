@@ -23,7 +23,8 @@ def flags_to_segments(flags: DataFrame, segments: DataFrame) -> DataFrame:
         *KEYS, "start_ms", "end_ms",
         F.coalesce("source_text", F.lit("")).alias("original"),
         F.coalesce("translated_text", F.lit("")).alias("translation"),
-        F.coalesce("review_status", F.lit("needs_review")).alias("review_status"),
+        F.coalesce(X.missing_if_empty(F.col("review_status")), F.lit("needs_review"))
+        .alias("review_status"),
         F.coalesce("examiner_note", F.lit("")).alias("examiner_note"),
         F.coalesce("flagged_at", F.lit("")).alias("flagged_at"),
     )

@@ -13,25 +13,39 @@ WIDTH = 1 << 18
 
 
 def running_sums(df: DataFrame, keys: list[str], seq: str, measures: dict[str, Column],
-                 width: int = WIDTH) -> DataFrame:
-    """Cumulative sums of ``measures`` up to and including each row."""
-    cut = df.withColumns({f"_m_{n}": c for n, c in measures.items()}).withColumn(
-        "_b", F.floor(F.col(seq) / width)
-    )
-    totals = cut.groupBy(*keys, "_b").agg(
-        *[F.sum(f"_m_{n}").alias(f"_t_{n}") for n in measures]
+                 width: int = WIDTH, levels: int = 1) -> DataFrame:
+    """Cumulative sums of ``measures`` up to and including each row.
+
+    Totals of the ranges are accumulated the same way (``levels`` times), so sparse numbers such as
+    microseconds, which spread over very many ranges, do not end in one task either.
+    """
+    at = f"_b{levels}"
+    cut = df.withColumns({f"_m{levels}_{n}": c for n, c in measures.items()}).withColumn(
+        at, F.floor(F.col(seq) / width)
     )
-    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(
-        *keys, "_b",
-        *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_p_{n}") for n in measures],
+    totals = cut.groupBy(*keys, at).agg(
+        *[F.sum(f"_m{levels}_{n}").alias(f"_t{levels}_{n}") for n in measures]
     )
-    inside = Window.partitionBy(*keys, "_b").orderBy(seq).rowsBetween(
+    own = {n: F.col(f"_t{levels}_{n}") for n in measures}
+    if levels > 0:
+        upto = running_sums(totals, keys, at, {f"_u_{n}": c for n, c in own.items()}, width,
+                            levels - 1)
+        carried = {n: F.col(f"_u_{n}") - c for n, c in own.items()}
+    else:
+        upto = totals
+        earlier = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+        carried = {n: F.coalesce(F.sum(c).over(earlier), F.lit(0)) for n, c in own.items()}
+    before = upto.select(*keys, at, *[c.alias(f"_p{levels}_{n}") for n, c in carried.items()])
+    inside = Window.partitionBy(*keys, at).orderBy(seq).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    out = cut.join(before, [*keys, "_b"])
-    sums = {n: (F.sum(f"_m_{n}").over(inside) + F.col(f"_p_{n}")).cast("bigint") for n in measures}
-    return out.select(*df.columns, *[c.alias(n) for n, c in sums.items()])
+    sums = {
+        n: (F.sum(f"_m{levels}_{n}").over(inside) + F.col(f"_p{levels}_{n}")).cast("bigint")
+        for n in measures
+    }
+    return cut.join(before, [*keys, at]).select(
+        *df.columns, *[c.alias(n) for n, c in sums.items()]
+    )
 
 
 def rolling_recent(df: DataFrame, keys: list[str], seq: str, value: str, n: int = 8,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lingotally import refdata as R
 from lingotally.operators import review, running
 from lingotally.plans.catalogue.registry import (
-    SQL_RESULTS, SQL_REVIEW_SEGMENTS, TARGET, query, results, review_segments, table,
+    SQL_RESULTS, SQL_REVIEW_SEGMENTS, query, results, review_segments, table,
 )
 from lingotally.streaming import progress
 

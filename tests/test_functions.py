@@ -9,7 +9,6 @@ from lingotally.functions import (
     cues as C, dialect as D, epochs as E, kinds as K, match as M, net as N, script as S, text as X,
     tiers as T,
 )
-from lingotally.plans.catalogue.registry import values_sql  # noqa: F401
 
 MAX_LONG = 2**63 - 1
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lingotally import refdata as R
-from lingotally.operators import infer, langid, segments as G
+from lingotally.operators import langid, segments as G
 from lingotally.plans import batch, package
 from lingotally.sources import readers, writers
 
