@@ -22,7 +22,8 @@ def strip(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return F.coalesce(strip(text) == "", F.lit(True))
+    """Null, empty or white space only; trimming the left side alone stops at the first character."""
+    return F.coalesce(F.ltrim(text, F.lit(WS_CHARS)) == "", F.lit(True))
 
 
 def word_count(text: Column) -> Column:

@@ -45,8 +45,9 @@ def test_profile_ranking_is_limited_before_the_shuffle(spark, sf):
     assert text.count("WindowGroupLimit") == 2 and "partial_count" in text
 
 
-def test_hot_text_join_is_split_at_run_time(spark):
-    """A text with most of the rows: the join back to its translation splits into several tasks."""
+@pytest.fixture
+def tiny_skew(spark):
+    """Skew thresholds small enough for test data, and no broadcast."""
     conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200KB",
             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
@@ -54,18 +55,48 @@ def test_hot_text_join_is_split_at_run_time(spark):
     old = {k: spark.conf.get(k, None) for k in conf}
     for k, v in conf.items():
         spark.conf.set(k, v)
-    try:
-        n = 60_000
-        df = spark.range(n, numPartitions=8).select(
-            "id", F.when(F.col("id") % 3 > 0, "the hot text").otherwise(F.concat(F.lit("t"), F.col("id"))).alias("text"))
-        out = infer.infer_distinct(df, infer.tagging_model("en"), F.col("id"))
-        assert out.agg(F.count("output"), F.count("*")).first() == (n, n)
-        done = out.groupBy((F.col("id") % 3).alias("g")).agg(F.count("output"))
-        done.collect()
-        assert "skew=true" in done._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_hot_text_join_is_split_at_run_time(spark, tiny_skew):
+    """A text with most of the rows: the join back to its translation splits into several tasks."""
+    n = 60_000
+    df = spark.range(n, numPartitions=8).select(
+        "id", F.when(F.col("id") % 3 > 0, "the hot text").otherwise(F.concat(F.lit("t"), F.col("id"))).alias("text"))
+    out = infer.infer_distinct(df, infer.tagging_model("en"), F.col("id"))
+    assert out.agg(F.count("output"), F.count("*")).first() == (n, n)
+    done = out.groupBy((F.col("id") % 3).alias("g")).agg(F.count("output"))
+    done.collect()
+    assert "skew=true" in plan(done)
+
+
+def test_hot_bucket_is_split_at_run_time(spark, tiny_skew):
+    """Most segments fall into one time bucket of one document."""
+    n = 60_000
+    i = F.col("id")
+    hot = i % 10 < 8
+    segs = spark.range(n, numPartitions=8).select(
+        F.when(hot, "hot").otherwise(F.concat(F.lit("d"), i)).alias("doc_id"), i.alias("seg_idx"),
+        (i % 997).alias("start_ms"), (i % 997 + 2).alias("end_ms"))
+    turns = spark.createDataFrame(
+        [("hot", k, k * 100, k * 100 + 100, f"S{k}") for k in range(9)],
+        "doc_id string, turn_idx int, start_ms bigint, end_ms bigint, speaker_id string")
+    out = intervals.attach_speaker(segs, turns)
+    got = {r.speaker_id: r["count"] for r in out.groupBy("speaker_id").count().collect()}
+    want = {}
+    for k in range(n):
+        s = k % 997
+        best = "UNKNOWN"
+        if k % 10 < 8 and s < 900:
+            # a segment over a border has 1 ms on each side: the earlier turn wins
+            best = f"S{s // 100}"
+        want[best] = want.get(best, 0) + 1
+    assert got == want
+    done = out.groupBy("speaker_id").agg(F.count("*"))
+    done.collect()
+    assert "skew=true" in plan(done)
 
 
 def test_interval_join_is_an_equi_join_on_buckets(spark):
