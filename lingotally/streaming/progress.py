@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -25,10 +26,13 @@ def batch_progress(events: DataFrame, run: str = "run_id") -> DataFrame:
     )
 
 
-def progress_snapshot(path: str, run: str = "run_id", seq: str = "seq",
-                      keep: int = 8) -> Callable[[DataFrame, int], None]:
+def progress_snapshot(path: str, run: str = "run_id", seq: str = "seq", keep: int = 8,
+                      started: float | None = None, target: str | None = None,
+                      total: int | None = None) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` writer of progress: counters so far and the last paths of every run.
 
+    ``started`` (Unix time), ``target`` and ``total`` are facts of the run that every snapshot repeats.
+
     A snapshot is the one of the batch before plus this batch, so the work follows the batch, not
     the length of the run. Each batch has its own folder: a repeated batch replaces its own output,
     and a restarted query goes on from the last snapshot.
@@ -40,9 +44,7 @@ def progress_snapshot(path: str, run: str = "run_id", seq: str = "seq",
         fresh = batch_progress(done, run).join(last_paths(done, run, seq, keep), run)
         if batch_id > 0:
             before = batch.sparkSession.read.parquet(f"{path}/batch={batch_id - 1}")
-            fresh = fresh.select(*before.drop("complete").columns).unionByName(
-                before.drop("complete")
-            )
+            fresh = fresh.unionByName(before.select(*fresh.columns))
         tagged = F.flatten(F.array_sort(F.collect_list("recent")))  # two short arrays per run
         newest = F.slice(
             F.array_sort(tagged), -F.least(F.size(tagged), F.lit(keep)),
@@ -51,9 +53,13 @@ def progress_snapshot(path: str, run: str = "run_id", seq: str = "seq",
         merged = fresh.groupBy(run).agg(
             *[F.sum(c).cast("bigint").alias(c) for c in counters], newest.alias("recent")
         )
-        merged.withColumn("complete", F.lit(False)).write.mode("overwrite").parquet(
-            f"{path}/batch={batch_id}"
-        )
+        elapsed = None if started is None else time.time() - started
+        merged.withColumns({
+            "target_language": F.lit(target).cast("string"),
+            "total_files": F.lit(total).cast("bigint"),
+            "elapsed_seconds": F.lit(elapsed).cast("double"),
+            "complete": F.lit(False),
+        }).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
 

@@ -1,6 +1,7 @@
 """Streams against the same operators on tables."""
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,7 +63,8 @@ def run(stream_df, writer, base):
 
 def test_progress_snapshots(spark, events, tmp_path):
     out = str(tmp_path / "p")
-    last = run(log(stream(spark, events)), progress.progress_snapshot(out), out)
+    writer = progress.progress_snapshot(out, started=time.time() - 5, target="en", total=99)
+    last = run(log(stream(spark, events)), writer, out)
     assert last >= 5
     snap = {r.run_id: r for r in spark.read.parquet(f"{out}/batch={last}").collect()}
     table = log(spark.read.parquet(events))
@@ -71,6 +73,7 @@ def test_progress_snapshots(spark, events, tmp_path):
         assert all(snap[k][c] == w[c] for c in ("processed", "errors", "foreign_files", "translated_files"))
         newest = [r.path for r in table.filter(f"run_id = {k}").orderBy(F.desc("seq")).limit(8).collect()][::-1]
         assert [x.path for x in snap[k].recent] == newest and snap[k].complete is False
+        assert (snap[k].target_language, snap[k].total_files) == ("en", 99) and snap[k].elapsed_seconds > 5
 
 
 def test_follow_until_end(spark, events, tmp_path):
