@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,15 +36,10 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session: ``spark.checkpoint.dir``, or the checkpoint folder in use.
-
-    Only a local session may go without one; it gets a scratch folder.
-    """
+    """The folder all executors share: ``spark.checkpoint.dir``, else a folder in the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="lingotally-")
+    if not named:
+        named = f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
     return named.rstrip("/")
 
 
@@ -54,9 +48,14 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint that survives the loss of executors."""
-    spark = df.sparkSession
+def checkpoints(spark: SparkSession) -> SparkSession:
+    """Make sure that checkpoints go to the shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    return spark
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint that survives the loss of executors."""
+    checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
