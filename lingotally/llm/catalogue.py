@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lingotally import session
-from lingotally.llm import common, decontaminate, mixing, weak_rules
+from lingotally.llm import (
+    common, decontaminate, gam, mixing, secrets, simhash, spans_langid, suffix_dedup, weak_rules,
+    window_dedup,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -82,3 +85,73 @@ def op10(spark, sf):
         "doc_id", "n_words", "n_hit", F.size("hit_items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op3_simhash")
+def op3(spark, sf):
+    """Fingerprint and near-duplicate class of every document."""
+    d = simhash.near_duplicates(documents(spark, sf))
+    return d.select("doc_id", simhash.hex16(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+@query("op2_secrets")
+def op2(spark, sf):
+    """Secret spans of every document."""
+    d = secrets.scan(documents(spark, sf).select("doc_id", "text")).drop("text")
+    base = F.filter("spans", lambda s: s["kind"] != "guess")
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("bigint")
+    return d.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"),
+        count("hex").alias("n_hex"), F.sha2(secrets.render(base), 256).alias("base_sha256"),
+        secrets.render(F.col("spans")).alias("spans"))
+
+
+@query("op8_gam_quality")
+def op8(spark, sf):
+    """Quality score of every document."""
+    d = documents(spark, sf).select("doc_id", gam.features("text").alias("x")).checkpoint(eager=True)
+    held = common.remainder(F.col("doc_id"), 4) == 2
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = gam.fit(d.filter(~held), labels)
+    d = d.select("doc_id", held.alias("held_out"), gam.scorer(model)("x").alias("score"))
+    return d.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query("op1_span_langid")
+def op1(spark, sf):
+    """Language of every document."""
+    d = documents(spark, sf)
+    held = common.remainder(F.col("doc_id"), 3) == 1
+    model = spans_langid.train(d.filter(~held))
+    found = d.select("doc_id", held.alias("held_out"), spans_langid.detector(model)("text").alias("p"))
+    return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+win AS (SELECT r, doc_id, i, hash(array_to_string(w[i:i+12], ' ')) AS h, array_to_string(w[i:i+12], ' ') AS t
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+least AS (SELECT t, min(doc_id) AS m FROM win GROUP BY t HAVING count(*) > 1),
+gone AS (SELECT r, list(DISTINCT p) AS ps FROM (
+  SELECT r, unnest(range(i, i + 13)) AS p FROM win JOIN least USING (t) WHERE doc_id > m) GROUP BY r),
+kept AS (SELECT r, doc_id, w, CASE WHEN ps IS NULL THEN w ELSE
+  list_filter(list_transform(range(1, len(w) + 1), lambda x: CASE WHEN list_contains(ps, x) THEN NULL ELSE w[x] END),
+              lambda y: y IS NOT NULL) END AS k FROM d LEFT JOIN gone USING (r))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(k) AS BIGINT) AS n_removed,
+ sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+"""
+
+
+@query("op6_window_dedup", OP6_SQL)
+def op6(spark, sf):
+    """Words removed from every document."""
+    d = window_dedup.dedup(documents(spark, sf), keep_text=False)
+    return d.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op7_suffix_dedup")
+def op7(spark, sf):
+    """Bytes removed from every document."""
+    d = suffix_dedup.dedup(documents(spark, sf), keep_bytes=False)
+    return d.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
