@@ -21,7 +21,7 @@ from lingotally.llm.common import input_bytes
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_BYTES = 3 << 20
-MASK = (1 << 64) - 1
+NEVER = (1 << 63) - 1  # stands for a null id inside blocks
 BASE = 0x9E3779B97F4A7C15  # odd, so powers have inverses modulo 2^64
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -67,12 +67,19 @@ def word_table(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(bounds, start, side="right")
 
 
-def blocked(docs: DataFrame, doc_id: str, text: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """doc_id (bigint), text, block; and the number of blocks, in proportion to the bytes of text."""
+def blocked(docs: DataFrame, doc_id: str, text: str, block_bytes: int = BLOCK_BYTES,
+            carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """doc_id (bigint), text, the columns of ``carry``, block; and the number of blocks, in proportion to the bytes of text."""
     n = max(1, math.ceil(input_bytes(docs, text) / block_bytes))
     key = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(n)).cast("int")
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"),
-                       key.alias("block")), n
+    more = [F.col(f"`{c}`") for c in carry]
+    return docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NEVER)).alias("doc_id"),
+                       F.col(text).alias("text"), *more, key.alias("block")), n
+
+
+def null_ids(df: DataFrame) -> DataFrame:
+    """Null ids back in place."""
+    return df.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NEVER)))
 
 
 def planes(x: np.ndarray) -> bytes:

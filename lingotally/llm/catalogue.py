@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lingotally import session
 from lingotally.llm import (
-    common, decontaminate, gam, mixing, secrets, simhash, spans_langid, suffix_dedup, weak_rules,
-    window_dedup,
+    common, decontaminate, gam, mixing, pitman_yor, secrets, simhash, spans_langid, suffix_dedup,
+    weak_rules, window_dedup,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,12 @@ def op7(spark, sf):
     """Bytes removed from every document."""
     d = suffix_dedup.dedup(documents(spark, sf), keep_bytes=False)
     return d.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
+@query("op4_pitman_yor")
+def op4(spark, sf):
+    """Model and base log probabilities of every document."""
+    d = documents(spark, sf)
+    held = common.remainder(F.col("doc_id"), 7) == 2
+    return pitman_yor.model_scores(d, ~held).select(
+        "doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -78,7 +78,7 @@ def featurize(texts: list[str | None]) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def features(texts: pd.Series) -> pd.Series:
     return pd.Series(list(featurize(list(texts))))
 

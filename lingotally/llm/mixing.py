@@ -39,6 +39,17 @@ def token_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                        word_count(F.col(text)).alias("size"))
 
 
+def mix_documents(docs: DataFrame, **options) -> DataFrame:
+    """All rows and columns of ``docs`` with size, source_size, target and taken (replacing such columns)."""
+    made = ("size", "source_size", "target", "taken")
+    rest = [c for c in docs.columns if c not in (*made, "doc_id", "source")]
+    packed = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
+                         *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(rest)])
+    out = mix(packed, carry=tuple(f"_c{i}" for i in range(len(rest))), **options)
+    back = {c: F.col(f"_c{i}") for i, c in enumerate(rest)}
+    return out.select(*[back[c].alias(c) if c in back else F.col(c) for c in docs.columns if c not in made], *made)
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE,
                    epochs: int = EPOCHS) -> DataFrame:
     """source, source_size, n_docs, target; one row per source."""
@@ -88,9 +99,12 @@ def sainte_lague(cells: DataFrame, group: list[str], votes: str, seats: str,
 
 
 def mix(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS,
-        block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: int = SEED) -> DataFrame:
+        block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: int = SEED,
+        carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source, source_size, target, taken (tokens the mix takes, repeats counted).
 
+    ``carry``: further columns of ``sizes`` to keep.
+
     ``sizes`` (doc_id, source, size) is read several times: pass a stored table.
     """
     targets = source_targets(sizes, weights, share, epochs).withColumn(
@@ -127,4 +141,5 @@ def mix(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = E
 
     end, start = F.col("_end"), F.col("_end") - F.col("size")
     taken = F.col("_full") * F.col("size") + tokens(end) - tokens(start)
-    return d.select("doc_id", "size", "source", "source_size", "target", taken.cast("bigint").alias("taken"))
+    return d.select("doc_id", "size", "source", "source_size", "target", taken.cast("bigint").alias("taken"),
+                    *[F.col(f"`{c}`") for c in carry])

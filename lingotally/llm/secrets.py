@@ -157,3 +157,12 @@ def redacted(text: Column, spans: Column) -> Column:
             F.lit("[secret:"), s["kind"], F.lit("]"))).alias("out"), s["end"].alias("at")))
     return F.when(F.size(spans) > 0, F.aggregate(
         spans, zero, step, lambda a: F.concat(a["out"], text.substr(a["at"] + 1, n)))).otherwise(text)
+
+
+def redact(docs: DataFrame, text: str = "text", length: str = "n_chars", words: list[str] | None = None,
+           min_guesses: float = MIN_GUESSES) -> DataFrame:
+    """All rows and columns of ``docs``, spans replaced in the text and its length column, if any, renewed."""
+    d = scan(docs, text, words, min_guesses, "_spans")
+    d = d.withColumn("_new", redacted(F.col(f"`{text}`"), F.col("_spans")))
+    new = {text: F.col("_new"), length: F.length("_new").cast("bigint")}
+    return d.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])

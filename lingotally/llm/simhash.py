@@ -27,7 +27,7 @@ import sys
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -59,7 +59,7 @@ def _fingerprint(text: str | None, k: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(starts)).tobytes(), "big", signed=True)
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def fingerprint(texts: pd.Series) -> pd.Series:
     return pd.Series([_fingerprint(t) for t in texts], dtype="int64")
 
@@ -128,7 +128,8 @@ def _cell_links(keys: pd.Series, cells: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-cell_links = F.pandas_udf(_cell_links, "array<struct<u:bigint,v:bigint>>")
+cell_links = F.pandas_udf(_cell_links, T.ArrayType(
+    T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])))
 
 
 def links(nodes: DataFrame, cell: int = CELL) -> DataFrame:
@@ -189,3 +190,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     fps = fingerprints(docs, doc_id, text).checkpoint(eager=True)
     c = classes(fps, cell).checkpoint(eager=True)
     return fps.join(c, fps["fingerprint"] == c["fp"]).select("doc_id", "fingerprint", "component_id")
+
+
+def one_per_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cell: int = CELL) -> DataFrame:
+    """One row of every near-duplicate class, with all its columns: that of the smallest id.
+
+    Winners are chosen among ids and fingerprints; texts move once, to meet them.
+    """
+    fps = fingerprints(docs, doc_id, text).checkpoint(eager=True)
+    c = classes(fps, cell)
+    named = fps.join(c, fps["fingerprint"] == c["fp"])
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "fingerprint")
+    won = named.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("_alone")).agg(
+        F.min(first).alias("w")).select(F.col("w.doc_id").alias("_w_id"), F.col("w.fingerprint").alias("_w_fp"))
+    rows = docs.withColumn("_w_row", fingerprint(F.col(f"`{text}`")))
+    kept = rows.join(won, F.col(f"`{doc_id}`").eqNullSafe(F.col("_w_id")) & (F.col("_w_row") == F.col("_w_fp")), "left_semi")
+    return kept.dropDuplicates([doc_id, "_w_row"]).select(*[F.col(f"`{x}`") for x in docs.columns])

@@ -160,7 +160,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
             removed = int(cut.sum())
             edge = np.flatnonzero(np.diff(np.concatenate(([0], cut, [0])))).reshape(-1, 2) if removed else []
             kept = b.data[x:x + len(t)][~cut].tobytes() if removed else t
-            rows.append((None if b.ids[i] == NEVER else int(b.ids[i]), len(t), removed,
+            rows.append((int(b.ids[i]), len(t), removed,
                          [{"start": int(p), "end": int(q)} for p, q in edge],
                          hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None))
         return pd.DataFrame(rows, columns=names)
@@ -169,6 +169,6 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     ties = groups.applyInPandas(sample_keys, SAMPLES).groupBy("bucket").applyInPandas(tied, ANSWERS)
     told = groups.cogroup(ties.groupBy("block")).applyInPandas(suffix_keys, KEYS).groupBy("bucket").applyInPandas(
         lambda p: answer(p, 1), ANSWERS)
-    return groups.cogroup(ties.unionByName(told).groupBy("block")).applyInPandas(
+    return B.null_ids(groups.cogroup(ties.unionByName(told).groupBy("block")).applyInPandas(
         remove, "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<start:int,`end`:int>>, "
-                "kept_sha256 string, kept binary")
+                "kept_sha256 string, kept binary"))

@@ -155,3 +155,10 @@ def judge(voted: DataFrame, accuracy: dict[str, float], keep: float = KEEP, min_
     failed = (n < min_words) | (100 * F.col(f"{P}n_repeat_words") > 100 * max_repeat * n)
     out = voted.withColumn(f"{P}base_failed", failed).withColumn(f"{P}posterior", posterior(accuracy))
     return out.withColumn(f"{P}kept", ~failed & (F.col(f"{P}posterior") >= keep))
+
+
+def keep_good(docs: DataFrame, text: str = "text", keep: float = KEEP) -> DataFrame:
+    """Rows that the rules keep, with all their columns. Measures run twice, so that no text is shuffled or stored."""
+    voted = votes(measures(docs, text))
+    accuracy = fit(voted.select(*[c for c in voted.columns if c.startswith(P)]))
+    return judge(voted, accuracy, keep).filter(f"{P}kept").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -28,7 +28,7 @@ from lingotally.llm import blocks as B
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WINDOW = 13
-NEVER = np.iinfo(np.int64).max
+NEVER = B.NEVER
 KEYS = "bucket int, block int, keys binary, owner binary, docs binary"
 ANSWERS = "block int, step int, bucket int, n int, bits binary"
 
@@ -36,7 +36,7 @@ ANSWERS = "block int, step int, bucket int, n int, bits binary"
 def read_block(pdf: pd.DataFrame) -> tuple[list[bytes], np.ndarray]:
     """Texts and ids of a block in an order that does not depend on the shuffle."""
     texts = [(t or "").encode("utf-8", "replace") for t in pdf["text"]]
-    ids = np.array([NEVER if pd.isna(i) else int(i) for i in pdf["doc_id"]], dtype=np.int64)
+    ids = pdf["doc_id"].to_numpy(dtype=np.int64)
     order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
     return [texts[i] for i in order], ids[order]
 
@@ -135,13 +135,13 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
             cut = int(own_drop.sum())
             edge = np.flatnonzero(np.diff(np.concatenate(([0], own_drop, [0])))).reshape(-1, 2) if cut else []
             kept = b" ".join(compress(words, (~own_drop).tolist()) if cut else words)
-            rows.append((None if ids[i] == NEVER else int(ids[i]), len(words), cut,
+            rows.append((int(ids[i]), len(words), cut,
                          [{"start": int(a), "end": int(b)} for a, b in edge],
                          hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if keep_text else None))
         return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "intervals", "kept_sha256", "kept"])
 
     groups = d.groupBy("block")
     told = groups.applyInPandas(keys_of, KEYS).groupBy("bucket").applyInPandas(lambda p: answer(p, 0), ANSWERS)
-    return groups.cogroup(told.groupBy("block")).applyInPandas(
+    return B.null_ids(groups.cogroup(told.groupBy("block")).applyInPandas(
         remove, "doc_id bigint, n_words bigint, n_removed bigint, intervals array<struct<start:int,`end`:int>>, "
-                "kept_sha256 string, kept string")
+                "kept_sha256 string, kept string"))
