@@ -13,8 +13,9 @@ import math
 import sys
 
 import numpy as np
+import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from lingotally.llm.common import input_bytes
 
@@ -67,14 +68,29 @@ def word_table(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(bounds, start, side="right")
 
 
+def squeeze(texts: pd.Series) -> pd.Series:
+    """UTF-8 bytes, compressed for the exchange that several steps share."""
+    from zstandard import ZstdCompressor
+
+    z = ZstdCompressor(level=3)
+    return pd.Series([z.compress((t or "").encode("utf-8", "replace")) for t in texts], dtype=object)
+
+
+def unsqueeze(raws: pd.Series) -> list[bytes]:
+    from zstandard import ZstdDecompressor
+
+    z = ZstdDecompressor()
+    return [z.decompress(raw) for raw in raws]
+
+
 def blocked(docs: DataFrame, doc_id: str, text: str, block_bytes: int = BLOCK_BYTES,
             carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
-    """doc_id (bigint), text, the columns of ``carry``, block; and the number of blocks, in proportion to the bytes of text."""
+    """doc_id (bigint), raw (squeezed text), the columns of ``carry``, block; and the number of blocks, in proportion to the bytes of text."""
     n = max(1, math.ceil(input_bytes(docs, text) / block_bytes))
     key = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(n)).cast("int")
     more = [F.col(f"`{c}`") for c in carry]
     return docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NEVER)).alias("doc_id"),
-                       F.col(text).alias("text"), *more, key.alias("block")), n
+                       F.pandas_udf(squeeze, T.BinaryType())(F.col(text)).alias("raw"), *more, key.alias("block")), n
 
 
 def null_ids(df: DataFrame) -> DataFrame:

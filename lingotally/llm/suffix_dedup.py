@@ -12,6 +12,10 @@ first ``length`` bytes of a suffix matter, and the corpus is sorted one bucket o
    fingerprints, of which about n^2 / 2^65 pairs agree by chance), each bucket is sorted on its own,
    and ties are settled by document, then place. Memory is bounded by one block or one bucket.
 
+Between the two, stretches: suffixes whose fingerprint is a multiple of ``STRIDE`` cut runs of tied
+suffixes at places that depend on content alone. A whole stretch that also lies in an earlier document,
+or earlier in its own, is removed without sending its suffixes; the first holder of it still sends its own.
+
 Only equality is asked of the order, so buckets are ranges of fingerprints, not of the alphabet.
 
 Defined results: null and empty texts have no bytes; texts shorter than ``length`` lose nothing;
@@ -38,6 +42,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LENGTH = 100
 PERIOD, COVER_SIZE = 57, 8
+STRIDE = 32
 SAMPLES = "bucket int, block int, keys binary"
 
 
@@ -121,20 +126,54 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
             "block": pdf["block"].to_numpy(), "step": 0, "bucket": pdf["bucket"].to_numpy(), "n": size,
             "bits": [np.packbits(flag[e - s:e]).tobytes() for s, e in zip(size, ends)]})
 
-    def suffixes(b: Block, answers: pd.DataFrame):
-        """Suffixes that may tie: their places, owners, distinct fingerprints, first owners, places there."""
+    def candidates(b: Block, answers: pd.DataFrame) -> dict:
+        """Suffixes that may tie (start, owner, fingerprint) and the stretches between their anchors."""
         at, keys = b.samples(cover, period, bits)
         _, place, count = np.unique(keys, return_inverse=True, return_counts=True)
         ties = flags(answers, 0)[place] | (count[place] > 1) if len(at) else np.zeros(0, dtype=bool)
         start, owner = b.near(at[ties], period)
-        found, own, place = least_owner(b.roll.between(start, start + length), owner)
-        return start, owner, found, own, place
+        print_ = b.roll.between(start, start + length)
+        anchor = np.flatnonzero(print_ % np.uint64(STRIDE) == 0)
+        one, two = anchor[:-1], anchor[1:]
+        # all suffixes between the anchors are there, so they lie in one text
+        whole = (start[two] - start[one] == two - one) & (owner[two] == owner[one])
+        one, two = one[whole], two[whole]
+        key = b.roll.between(start[one], start[two] + length)
+        return {"start": start, "owner": owner, "print": print_, "from": one, "to": two, "key": key}
+
+    def earlier(b: Block, key: np.ndarray, owner: np.ndarray, start: np.ndarray, told: np.ndarray) -> np.ndarray:
+        """Keys that a smaller document holds (told, or in the block), or the same one before."""
+        if not len(key):
+            return np.zeros(0, dtype=bool)
+        _, own, place = least_owner(key, owner)
+        gone = told[place] | (b.ids[owner] > b.ids[own[place]])
+        order = np.lexsort((start, owner, place))
+        gone[order[1:]] |= (place[order[1:]] == place[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
+        return gone
+
+    def left(b: Block, c: dict, answers: pd.DataFrame) -> np.ndarray:
+        """Suffixes that no removed stretch settles."""
+        gone = earlier(b, c["key"], c["owner"][c["from"]], c["start"][c["from"]], flags(answers, 1))
+        step = np.zeros(len(c["start"]) + 1, dtype=np.int64)
+        np.add.at(step, c["from"][gone], 1)
+        np.add.at(step, c["to"][gone], -1)
+        return np.cumsum(step[:-1]) == 0
+
+    def stretch_keys(key, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame(columns=["bucket", "block", "keys", "owner", "docs"])
+        b = Block(pdf, length)
+        c = candidates(b, answers)
+        found, own, _ = least_owner(c["key"], c["owner"][c["from"]])
+        return report(int(key[0]), found, own, b.ids, n)
 
     def suffix_keys(key, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
             return pd.DataFrame(columns=["bucket", "block", "keys", "owner", "docs"])
         b = Block(pdf, length)
-        _, _, found, own, _ = suffixes(b, answers)
+        c = candidates(b, answers)
+        rest = left(b, c, answers)
+        found, own, _ = least_owner(c["print"][rest], c["owner"][rest])
         return report(int(key[0]), found, own, b.ids, n)
 
     names = ["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256", "kept"]
@@ -143,16 +182,11 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
         if not len(pdf):
             return pd.DataFrame(columns=names)
         b = Block(pdf, length)
-        start, owner, found, own, place = suffixes(b, answers)
-        gone = flags(answers, 1)[place] if len(found) else np.zeros(0, dtype=bool)
-        if len(found):
-            # earlier in the block: a smaller document, or an earlier start in the same one
-            gone |= b.ids[owner] > b.ids[own[place]]
-            order = np.lexsort((start, owner, place))
-            again = np.zeros(len(start), dtype=bool)
-            again[order[1:]] = (place[order[1:]] == place[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
-            gone |= again
-        drop = covered(start[gone], length, len(b.data))
+        c = candidates(b, answers)
+        rest = left(b, c, answers)
+        gone = ~rest
+        gone[rest] = earlier(b, c["print"][rest], c["owner"][rest], c["start"][rest], flags(answers, 2))
+        drop = covered(c["start"][gone], length, len(b.data))
         rows = []
         for i, t in enumerate(b.texts):
             x = b.first[i]
@@ -167,8 +201,11 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
 
     groups = d.groupBy("block")
     ties = groups.applyInPandas(sample_keys, SAMPLES).groupBy("bucket").applyInPandas(tied, ANSWERS)
-    told = groups.cogroup(ties.groupBy("block")).applyInPandas(suffix_keys, KEYS).groupBy("bucket").applyInPandas(
+    stretches = groups.cogroup(ties.groupBy("block")).applyInPandas(stretch_keys, KEYS).groupBy("bucket").applyInPandas(
         lambda p: answer(p, 1), ANSWERS)
-    return B.null_ids(groups.cogroup(ties.unionByName(told).groupBy("block")).applyInPandas(
+    known = ties.unionByName(stretches)
+    told = groups.cogroup(known.groupBy("block")).applyInPandas(suffix_keys, KEYS).groupBy("bucket").applyInPandas(
+        lambda p: answer(p, 2), ANSWERS)
+    return B.null_ids(groups.cogroup(known.unionByName(told).groupBy("block")).applyInPandas(
         remove, "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<start:int,`end`:int>>, "
                 "kept_sha256 string, kept binary"))

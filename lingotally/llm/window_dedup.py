@@ -35,7 +35,7 @@ ANSWERS = "block int, step int, bucket int, n int, bits binary"
 
 def read_block(pdf: pd.DataFrame) -> tuple[list[bytes], np.ndarray]:
     """Texts and ids of a block in an order that does not depend on the shuffle."""
-    texts = [(t or "").encode("utf-8", "replace") for t in pdf["text"]]
+    texts = B.unsqueeze(pdf["raw"])
     ids = pdf["doc_id"].to_numpy(dtype=np.int64)
     order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
     return [texts[i] for i in order], ids[order]
