@@ -47,7 +47,7 @@ TOTALS = ["tokens", "types", "tables", "held"]
 
 def read_block(pdf: pd.DataFrame) -> dict:
     """Tokens of a block: hash, pair of preceding word and word, document, training flag; tokens per text."""
-    texts = [(t or "").encode("utf-8", "replace").lower() for t in pdf["text"]]
+    texts = [t.lower() for t in B.unsqueeze(pdf["raw"])]
     train = pdf["train"].to_numpy(dtype=bool)
     word, owner = B.word_table(texts)
     word = np.where(word == END, END ^ np.uint64(1), word)
@@ -158,16 +158,15 @@ def model_scores(docs: DataFrame, training: Column, doc_id: str = "doc_id", text
             held[used] = own - discount * kept
         out, at = [], 0
         for block, k in zip(pdf["block"], keys):
-            own = held[place[at:at + len(k)]].astype(np.float32)
-            out.append((PAIRS_KIND, int(key[0]), int(block), b"", B.planes(own), b""))
+            # few distinct values: a list of them and a place in it per key
+            values, own = np.unique(held[place[at:at + len(k)]].astype(np.float32), return_inverse=True)
+            narrow = own.astype(np.uint8 if len(values) <= 256 else np.uint32)
+            out.append((PAIRS_KIND, int(key[0]), int(block), b"", B.planes(narrow), values.tobytes()))
             at += len(k)
-        for ids, pairs in ((us, (np.bincount(u, c, len(us)), np.bincount(u, held, len(us)))),
-                           (ws, (np.bincount(w, tables, len(ws)), None))):
-            some = pairs[0] > 0
-            wide = ids[some] << np.uint64(32)
+        for ids, total, mark in ((us, np.bincount(u, held, len(us)), b"u"), (ws, np.bincount(w, tables, len(ws)), b"w")):
+            wide, total = ids[total > 0] << np.uint64(32), total[total > 0].astype(np.float32)
             for bucket, x, y in B.slices(wide, n):
-                a, b = (None if p is None else p[some][x:y].astype(np.float32) for p in pairs)
-                out.append((SUMS_KIND, bucket, -1, B.pack(wide[x:y]), B.planes(a), b"" if b is None else B.planes(b)))
+                out.append((SUMS_KIND, bucket, -1, B.pack(wide[x:y]), B.planes(total[x:y]), mark))
         return pd.DataFrame(out, columns=COLUMNS)
 
     def seat_words(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -181,19 +180,14 @@ def model_scores(docs: DataFrame, training: Column, doc_id: str = "doc_id", text
         c = np.bincount(place, weights=np.concatenate([B.unplanes(raw, np.uint32) for raw in asked["a"]]),
                         minlength=len(found))
         short, at = np.unique(found >> np.uint64(32), return_inverse=True)
-        total = np.zeros((3, len(short)))  # customers and held of the context, tables of the word
-        for raw, a, b in zip(sums["keys"], sums["a"], sums["b"]):
+        total = {b"u": np.zeros(len(short)), b"w": np.zeros(len(short))}  # held of the context, tables of the word
+        for raw, a, mark in zip(sums["keys"], sums["a"], sums["b"]):
             k = B.unpack(raw) >> np.uint64(32)
             x = np.minimum(np.searchsorted(short, k), len(short) - 1)
             ok = short[x] == k
-            first = B.unplanes(a, np.float32)[ok]
-            if len(b):
-                total[0] += np.bincount(x[ok], first, len(short))
-                total[1] += np.bincount(x[ok], B.unplanes(b, np.float32)[ok], len(short))
-            else:
-                total[2] += np.bincount(x[ok], first, len(short))
+            total[bytes(mark)] += np.bincount(x[ok], B.unplanes(a, np.float32)[ok], len(short))
         # words that share 32 bits share their sums by halves, so that the parent stays normalised
-        tables = total[2][at] / np.bincount(at)[at]
+        tables = total[b"w"][at] / np.bincount(at)[at]
         customers = np.rint(tables)
         rng = np.random.default_rng([seed, 1, int(key[0])])
         discount = estimated_discount(customers)
@@ -205,7 +199,7 @@ def model_scores(docs: DataFrame, training: Column, doc_id: str = "doc_id", text
         out, x = [], 0
         for block, k in zip(asked["block"], keys):
             own = place[x:x + len(k)]
-            side = np.stack((held[own], total[0][at[own]], total[1][at[own]])).astype(np.float32)
+            side = np.stack((held[own], total[b"u"][at[own]])).astype(np.float32)
             out.append((WORDS_KIND, int(key[0]), int(block), b"", B.planes(c[own].astype(np.int64)),
                         B.planes(side.ravel())))
             x += len(k)
@@ -225,17 +219,21 @@ def model_scores(docs: DataFrame, training: Column, doc_id: str = "doc_id", text
         words, pairs = told[told["kind"] == WORDS_KIND], told[told["kind"] == PAIRS_KIND]
         found, place = np.unique(t["token"], return_inverse=True)
         count = np.concatenate([B.unplanes(raw, np.int64) for raw in words["a"]])
-        side = np.concatenate([B.unplanes(raw, np.float32).reshape(3, -1) for raw in words["b"]], axis=1).astype(float)
+        side = np.concatenate([B.unplanes(raw, np.float32).reshape(2, -1) for raw in words["b"]], axis=1).astype(float)
         base = 1.0 / (types + 1.0)
         parent = (side[0] + (strength + tables - held_all) * base) / (strength + tables)
         pair, pair_place = np.unique(t["pair"], return_inverse=True)
         order, _ = by_cell(pair, rows, cols)
         own = np.zeros(len(pair))
-        own[order] = np.concatenate([B.unplanes(raw, np.float32) for raw in pairs["a"]])
+        own[order] = np.concatenate([
+            np.frombuffer(b, dtype=np.float32)[B.unplanes(a, np.uint8 if len(b) <= 1024 else np.uint32)]
+            for a, b in zip(pairs["a"], pairs["b"])])
         # the context of a token is the token before it; a text starts after an end
         end = np.searchsorted(found, END)
         before = np.concatenate(([end], place[:-1]))
-        customers, inside = side[1][before], np.minimum(side[2][before], side[1][before])
+        # every training token but a text's last is followed by one, and every text follows an end
+        customers = count[before].astype(float)
+        inside = np.minimum(side[1][before], customers)
         chance = (own[pair_place] + (strength + customers - inside) * parent[place]) / (strength + customers)
         c = count[place]
         docs_n = len(t["size"])
