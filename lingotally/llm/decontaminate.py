@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lingotally.functions.binding import let
 from lingotally.llm.common import lower_ascii
 from lingotally.operators.sizes import broadcast_if_small
 
@@ -74,17 +75,24 @@ def postings(docs: DataFrame, picked: DataFrame, key: str = "doc_id", text: str
         broadcast_if_small(picked.select("term").distinct()), "term", "left_semi")
 
 
-def intersect(index: DataFrame, picked: DataFrame) -> DataFrame:
+def intersect(index: DataFrame, picked: DataFrame, rarest: int = RAREST) -> DataFrame:
     """doc, start, window: starts that the shifted lists of all picked terms of the window share.
 
-    The lists of a window meet on (document, start) as bits of one number, combined before the shuffle.
+    The rarest list of a window proposes starts; each further list keeps the starts whose place it
+    holds. Only the proposing list is expanded by windows, the others are looked up.
     """
-    side = picked.withColumn("_need", F.sum(F.lit(1)).over(Window.partitionBy("window")))
-    met = index.join(broadcast_if_small(side), "term").select(
-        "doc", (F.col("place") - F.col("offset")).alias("start"), "window", "_need",
-        F.expr("shiftleft(1, rank)").alias("_bit")).filter("start >= 0")
-    met = met.groupBy("doc", "start", "window", "_need").agg(F.bit_or("_bit").alias("_met"))
-    return met.filter("_met = shiftleft(1, cast(_need as int)) - 1").select("doc", "start", "window")
+    first = picked.filter("rank = 0").select("term", "window", "offset")
+    left = index.join(broadcast_if_small(first), "term").select(
+        "doc", (F.col("place") - F.col("offset")).alias("start"), "window").filter("start >= 0").distinct()
+    held = index.select(F.col("doc").alias("_d"), F.col("place").alias("_p"), F.col("term").alias("_t"))
+    for r in range(1, rarest):
+        side = picked.filter(F.col("rank") == r).select("window", F.col("term").alias("_term"), "offset")
+        left = left.join(broadcast_if_small(side), "window", "left")
+        found = left.filter("_term is not null").join(
+            held, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_term"))
+            & (F.col("_p") == F.col("start") + F.col("offset")), "left_semi")
+        left = found.unionByName(left.filter("_term is null")).select("doc", "start", "window")
+    return left
 
 
 def proximity(index: DataFrame, picked: DataFrame, slop: int = 5, bin_width: int = 64) -> DataFrame:
@@ -113,7 +121,7 @@ def candidates(docs: DataFrame, wins: DataFrame, key: str = "doc_id", text: str
     """doc, hits: starts and windows that the index cannot rule out, per document."""
     picked = probes(wins, term_counts(docs, wins, text), rarest).checkpoint(eager=True)
     index = postings(docs, picked, key, text).checkpoint(eager=True)
-    found = intersect(index, picked)
+    found = intersect(index, picked, rarest)
     side = wins.select("window", F.col("terms").alias("_terms"), F.col("items").alias("_items"))
     return found.join(broadcast_if_small(side), "window").groupBy("doc").agg(
         F.collect_list(F.struct("start", F.col("_terms").alias("terms"), F.col("_items").alias("items"))).alias("hits"))
@@ -143,11 +151,21 @@ def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     found = candidates(docs, wins, key, text, rarest)
     d = docs.select(F.col(key).alias("doc"), F.col(text).alias("_text"))
     j = d.join(found.withColumnRenamed("doc", "_doc"), F.col("doc").eqNullSafe(F.col("_doc")), "left")
-    j = j.select("doc", terms(F.col("_text")).alias("_w"), "hits")
-    spans = F.when(F.col("hits").isNull(), F.lit(None)).otherwise(exact(F.col("_w"), F.col("hits")))
-    j = j.select("doc", F.size("_w").cast("bigint").alias("n_words"), spans.alias("_s"))
+    judged = let(terms(F.col("_text")), lambda w: F.struct(
+        F.size(w).cast("bigint").alias("n"), F.when(F.col("hits").isNotNull(), exact(w, F.col("hits"))).alias("s")))
+    j = j.select("doc", judged.alias("_j")).select("doc", F.col("_j.n").alias("n_words"), F.col("_j.s").alias("_s"))
     return j.select(
         F.col("doc").alias(key), "n_words",
         F.coalesce(covered(F.col("_s")), F.lit(0)).cast("bigint").alias("n_hit"),
         F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform("_s", lambda s: s["items"])))),
                    F.array().cast("array<string>")).alias("hit_items"))
+
+
+def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_id: str = "item_id",
+          item_text: str = "text", n: int = N, rarest: int = RAREST) -> DataFrame:
+    """Rows of ``docs`` without a hit, with all their columns."""
+    wins = windows(items, item_id, item_text, n).checkpoint(eager=True)
+    found = candidates(docs, wins, key, text, rarest).select(F.col("doc").alias("_dc_doc"), F.col("hits").alias("_dc_hits"))
+    j = docs.join(found, F.col(f"`{key}`").eqNullSafe(F.col("_dc_doc")), "left")
+    hit = let(terms(F.col(f"`{text}`")), lambda w: F.size(exact(w, F.col("_dc_hits"))) > 0)
+    return j.filter(F.col("_dc_hits").isNull() | ~hit).select(*[docs[f"`{c}`"] for c in docs.columns])
