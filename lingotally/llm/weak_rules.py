@@ -161,4 +161,6 @@ def keep_good(docs: DataFrame, text: str = "text", keep: float = KEEP) -> DataFr
     """Rows that the rules keep, with all their columns. Measures run twice, so that no text is shuffled or stored."""
     voted = votes(measures(docs, text))
     accuracy = fit(voted.select(*[c for c in voted.columns if c.startswith(P)]))
-    return judge(voted, accuracy, keep).filter(f"{P}kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # a numbered row keeps the optimiser from copying all measures into the filter, term by term
+    judged = judge(voted, accuracy, keep).withColumn(f"{P}row", F.monotonically_increasing_id())
+    return judged.filter(F.col(f"{P}kept") & (F.col(f"{P}row") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
