@@ -2,7 +2,8 @@
 
 A profile holds the K most frequent trigrams of every language. A trigram of rank r is worth
 K + 1 - r; a text scores, per language, the worth of all its trigrams. Scores are integers, so
-results do not depend on the order of rows. Only the head of a text is scored.
+results do not depend on the order of rows. Training reads whole texts, and so does scoring unless
+``sample_chars`` asks for the head of a text only.
 """
 
 from __future__ import annotations
@@ -20,22 +21,20 @@ from lingotally.operators.sizes import broadcast_if_small
 # Functions of this module travel to Python workers by value: executors need no install.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SAMPLE_CHARS = 512
 TOP_K = 300
 MAX_PROFILE_ROWS = 500_000
-WIDE_LANGUAGES = 32
+BATCH_CHARS = 2_000_000  # characters scored at once in a worker
 
 
-def sample(text: Column, n: int = SAMPLE_CHARS) -> Column:
-    """Lower-cased head with single spaces; characters beyond the BMP become one placeholder."""
-    head = F.lower(X.head_sample(text, n))
-    head = F.regexp_replace(head, rf"[{X.WS_CLASS}]+", " ")
-    return F.regexp_replace(head, r"[\x{10000}-\x{10FFFF}]", "�")
+def sample(text: Column, n: int | None = None) -> Column:
+    """Lower-cased text (its first ``n`` characters, if given) with single spaces."""
+    head = F.lower(text if n is None else X.head_sample(text, n))
+    return F.regexp_replace(head, rf"[{X.WS_CLASS}]+", " ")
 
 
 def grams(sampled: Column) -> Column:
-    """All overlapping trigrams in one regex pass."""
-    return F.regexp_extract_all(sampled, F.lit("(?s)(?=(...))"), F.lit(1))
+    """All overlapping trigrams of code points in one regex pass."""
+    return F.regexp_extract_all(sampled, F.lit("(?s)(?=(...))."), F.lit(1))
 
 
 def train_profile(df: DataFrame, language: str = "lang", text: str = "text",
@@ -54,34 +53,21 @@ def train_profile(df: DataFrame, language: str = "lang", text: str = "text",
     return ranked.withColumn("weight", F.lit(k + 1) - F.col("rank"))
 
 
-def language_scores(df: DataFrame, profile: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Score per key and language; a key without any known trigram keeps one null language row.
+def language_scores(df: DataFrame, profile: DataFrame, key: str, text: str = "text",
+                    sample_chars: int | None = None) -> DataFrame:
+    """Score per key and language, for any number of languages; a key without any known trigram keeps
+    one null language row.
 
-    The profile is bounded by languages times K. With few languages it is turned to one row per
-    trigram and one column per language: a text trigram joins once, and the partial aggregation
-    sends one row per key. Trigrams never leave the map side.
+    The profile is bounded by languages times K. Trigrams never leave the map side: the partial
+    aggregation sends one row per key and language.
     """
-    found = profile.select("language").distinct().limit(WIDE_LANGUAGES + 1).collect()
-    languages = sorted(r["language"] for r in found)
-    exploded = df.select(key, F.explode_outer(grams(sample(F.col(text)))).alias("gram"))
-    if len(languages) > WIDE_LANGUAGES:
-        side = broadcast_if_small(profile.select("language", "gram", "weight"))
-        return exploded.join(side, "gram", "left").groupBy(key, "language").agg(
-            F.sum("weight").cast("bigint").alias("score")
-        )
-    wide = profile.groupBy("gram").agg(*[
-        F.sum(F.when(F.col("language") == name, F.col("weight"))).alias(f"_s{i}")
-        for i, name in enumerate(languages)
-    ])
-    sums = exploded.join(broadcast_if_small(wide), "gram", "left").groupBy(key).agg(
-        *[F.sum(f"_s{i}").cast("bigint").alias(f"_s{i}") for i in range(len(languages))]
-    )
-    scored = F.filter(
-        F.array(*[F.struct(F.lit(name).alias("language"), F.col(f"_s{i}").alias("score"))
-                  for i, name in enumerate(languages)]),
-        lambda s: s["score"].isNotNull(),
-    )
-    return sums.select(key, F.inline_outer(scored))
+    exploded = df.select(key, F.explode(grams(sample(F.col(text), sample_chars))).alias("gram"))
+    side = broadcast_if_small(profile.select("language", "gram", "weight"))
+    scored = exploded.join(side, "gram").groupBy(key, "language").agg(
+        F.sum("weight").cast("bigint").alias("score"))
+    keys = df.select(F.col(key).alias("_key")).distinct()
+    return keys.join(scored, F.col("_key").eqNullSafe(F.col(key)), "left").select(
+        F.col("_key").alias(key), "language", "score")
 
 
 def best_language(scores: DataFrame, key: str) -> DataFrame:
@@ -105,14 +91,15 @@ def margin_confidence(score: Column, runner_up: Column) -> Column:
     ).otherwise(0.0)
 
 
-def detector(profile: DataFrame):
+def detector(profile: DataFrame, sample_chars: int | None = None, max_rows: int = MAX_PROFILE_ROWS):
     """Column function text -> struct(language, score, runner_up) for use inside one projection.
 
-    Same scores as ``language_scores`` but row-local: nothing is shuffled and only the sampled head
-    of a text goes to the Python worker, where whole Arrow batches are scored with numpy.
+    Same scores as ``language_scores`` but row-local: nothing is shuffled, and Arrow batches are
+    scored with numpy, ``BATCH_CHARS`` characters at a time. The profile (at most ``max_rows`` rows) travels
+    with the function.
     """
-    rows = profile.select("language", "gram", "weight").limit(MAX_PROFILE_ROWS + 1).collect()
-    if len(rows) > MAX_PROFILE_ROWS:
+    rows = profile.select("language", "gram", "weight").limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
         raise ValueError("language profile is too large")
     languages = sorted({r["language"] for r in rows})
     keyed = {g: i for i, g in enumerate(sorted({r["gram"] for r in rows}, key=_gram_key))}
@@ -123,12 +110,15 @@ def detector(profile: DataFrame):
 
     @F.pandas_udf("language string, score bigint, runner_up bigint")
     def score(samples: pd.Series) -> pd.DataFrame:
-        return _score_batch(samples.fillna(""), languages, codes, weights)
+        samples = samples.fillna("")
+        part = (samples.str.len().cumsum() // BATCH_CHARS).to_numpy()
+        parts = [_score_batch(samples[part == i], languages, codes, weights) for i in pd.unique(part)]
+        return pd.concat(parts, ignore_index=True) if parts else _score_batch(samples, languages, codes, weights)
 
     # Declared non-deterministic only to keep filters on its result above it: pushed below, they
     # would run the function a second time.
     score = score.asNondeterministic()
-    return lambda text: score(sample(text))
+    return lambda text: score(sample(text, sample_chars))
 
 
 def _gram_key(gram: str) -> int:

@@ -35,7 +35,10 @@ def running_sums(df: DataFrame, keys: list[str], seq: str, measures: dict[str, C
         upto = totals
         earlier = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
         carried = {n: F.coalesce(F.sum(c).over(earlier), F.lit(0)) for n, c in own.items()}
-    before = upto.select(*keys, at, *[c.alias(f"_p{levels}_{n}") for n, c in carried.items()])
+    # joined null-safely: rows with a null key are a group of their own
+    before = upto.select(*[F.col(k).alias(f"_k{levels}_{i}") for i, k in enumerate([*keys, at])],
+                         *[c.alias(f"_p{levels}_{n}") for n, c in carried.items()])
+    same = [F.col(k).eqNullSafe(F.col(f"_k{levels}_{i}")) for i, k in enumerate([*keys, at])]
     inside = Window.partitionBy(*keys, at).orderBy(seq).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
@@ -43,7 +46,7 @@ def running_sums(df: DataFrame, keys: list[str], seq: str, measures: dict[str, C
         n: (F.sum(f"_m{levels}_{n}").over(inside) + F.col(f"_p{levels}_{n}")).cast("bigint")
         for n in measures
     }
-    return cut.join(before, [*keys, at]).select(
+    return cut.join(before, same).select(
         *df.columns, *[c.alias(n) for n, c in sums.items()]
     )
 

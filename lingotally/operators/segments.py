@@ -41,9 +41,13 @@ def ordered_concat(df: DataFrame, keys: list[str], idx: str, text: Column, sep:
 
 def transcript(segments: DataFrame, keys: list[str], idx: str = "seg_idx",
                text: str = "text") -> DataFrame:
-    """Trimmed, non-empty segment texts joined by one space."""
+    """Trimmed, non-empty segment texts joined by one space; empty where all segments are blank."""
     kept = segments.withColumn("_t", X.strip(F.col(text))).filter("_t <> ''")
-    return ordered_concat(kept, keys, idx, F.col("_t"), " ").withColumnRenamed("text", "transcript")
+    joined = ordered_concat(kept, keys, idx, F.col("_t"), " ")
+    every = segments.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct()
+    same = [F.col(f"_k{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)]
+    return every.join(joined, same, "left").select(
+        *[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], F.coalesce("text", F.lit("")).alias("transcript"))
 
 
 def cue_concat(segments: DataFrame, keys: list[str], idx: str = "cue_idx",

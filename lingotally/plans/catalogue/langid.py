@@ -21,8 +21,7 @@ from lingotally.session import durable
 # Functions of this module travel to Python workers by value: executors need no install.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SQL_SAMPLE = (r"regexp_replace(regexp_replace(lower(substring({t}, 1, 512)), "
-              r"'[\s\x0b\x{85}\p{Z}]+', ' ', 'g'), '[\x{10000}-\x{10FFFF}]', '�', 'g')")
+SQL_SAMPLE = r"regexp_replace(lower({t}), '[\s\x0b\x{85}\p{Z}]+', ' ', 'g')"
 
 
 def sql_grams(rel: str) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lingotally import refdata as R
 from lingotally.functions import net
 from lingotally.operators import geo, rules
 from lingotally.plans.catalogue.registry import documents, query, table
@@ -92,14 +93,13 @@ def geo_country_counts(spark, sf):
     )
 
 
-IPV4_RE = (r"\b(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
-           r"(?:\.(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)){3}\b")
+IPV4_RE = r"\b" + R.OCTET + r"(?:\." + R.OCTET + r"){3}\b"
 
 
 @query("ipv4_in_docs", f"""SELECT doc_id, ip, count(*) AS n FROM (SELECT doc_id,
  unnest(regexp_extract_all(text, '{IPV4_RE}')) AS ip FROM documents) GROUP BY ALL""")
 def ipv4_in_docs(spark, sf):
-    only = [r for r in rules.default_rules() if r["rule"] == "ipv4_address"]
+    only = [r for r in rules.default_rules() if r["string_id"] == "dotted_quad"]
     hits = rules.rule_hits(documents(spark, sf, "text"), {"source": "text"}, ["doc_id"], only)
     return rules.rule_offsets(hits, ["doc_id"]).groupBy("doc_id", F.col("data").alias("ip")).agg(
         F.count("*").alias("n")

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lingotally import session
 from lingotally.functions import text as X
-from lingotally.sources.readers import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -37,13 +36,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    """Document columns, spread over the cores where the file is a single split."""
+    """Document columns."""
     cols = columns or ("doc_id", "text", "lang", "source", "n_chars")
-    return spread(table(spark, sf, "documents").select(*dict.fromkeys(("doc_id", *cols))), "doc_id")
+    return table(spark, sf, "documents").select(*dict.fromkeys(("doc_id", *cols)))
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "pages"), "page_id")
+    return table(spark, sf, "pages")
 
 
 def values_sql(rows: list[tuple], names: str) -> str:

@@ -24,16 +24,6 @@ FLAG_SCHEMA = (
 )
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a scan that yields fewer splits than the cluster has cores.
-
-    Meant for heavy per-row work over a few small files; a scan with enough splits is returned
-    unchanged, so large inputs are not shuffled. ``key`` is unique per row.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() <= cores else df
-
-
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
     """Every file below ``root``: path, length, modificationTime and content.
 

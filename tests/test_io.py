@@ -89,7 +89,7 @@ def test_metrics_round_trip(spark, tmp_path):
 
 def test_rule_and_range_tables(spark, tmp_path):
     R.rule_table(spark).write.parquet(str(tmp_path / "rules"))
-    assert readers.rule_table(spark, str(tmp_path / "rules")).count() == 9
+    assert readers.rule_table(spark, str(tmp_path / "rules")).count() == 8
     spark.createDataFrame([(0, 9, "US")], "lo bigint, hi bigint, country_code string").write.parquet(
         str(tmp_path / "ranges"))
     assert readers.range_table(spark, str(tmp_path / "ranges")).first().hi == 9

@@ -115,10 +115,10 @@ def test_rule_hits(spark):
     df = spark.createDataFrame(texts, "id int, src string, tr string")
     hits = rules.rule_hits(df, {"translation": "tr", "source": "src"}, ["id"])
     got = rows(hits, "id", "scanned_source", "rule", "n_strings")
-    assert got == [(1, "source", "email_address", 1), (1, "source", "phone_number_intl", 1),
-                   (1, "translation", "url_pattern", 1), (2, "source", "bitcoin_wallet_address", 1),
-                   (3, "source", "ethereum_wallet_address", 1), (3, "source", "ipv4_address", 2)]
-    flat = rules.rule_offsets(hits, ["id"]).filter("id = 3 and rule = 'ipv4_address'")
+    assert got == [(1, "source", "contact_detail", 2), (1, "translation", "web_link", 1),
+                   (2, "source", "coin_account", 1), (3, "source", "coin_account", 1),
+                   (3, "source", "network_host", 2)]
+    flat = rules.rule_offsets(hits, ["id"]).filter("id = 3 and rule = 'network_host'")
     assert rows(flat, "offset", "data") == [(46, "10.0.0.1"), (59, "10.0.0.2")]
     custom = spark.createDataFrame([("r", "s", "needle", True, "Low", None)], R.RULE_SCHEMA)
     loaded = rules.load_rules(custom)
@@ -366,7 +366,7 @@ def test_search_languages(spark):
     assert [r.code for r in found.collect()] == ["prs"]
     tiers = [r.tier for r in filters.search_languages(R.language_catalogue(spark), "a").collect()]
     assert tiers == sorted(tiers, key=R.TIER_ORDER.index)
-    assert R.language_catalogue(spark).count() == 37 and R.rule_table(spark).count() == 9
+    assert R.language_catalogue(spark).count() == 37 and R.rule_table(spark).count() == 8
 
 
 def test_int_to_ipv4(spark):
@@ -384,3 +384,39 @@ def test_results_do_not_depend_on_partitioning(spark):
         seen.add(tuple(rows(out, "k", "transcript")))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert len(seen) == 1
+
+
+@pytest.mark.parametrize("n", [32, 33, 200])
+def test_language_scores_for_any_number_of_languages(spark, n):
+    profile = spark.createDataFrame(
+        [(f"l{i:03d}", g, w) for i in range(n) for g, w in (("abc", i + 1), (f"x{i % 10}y", 5))],
+        "language string, gram string, weight int")
+    df = spark.createDataFrame([(1, "zabcz"), (2, "nothing"), (3, None)], "id int, t string")
+    got = langid.language_scores(df, profile, "id", "t").collect()
+    assert sorted(r["score"] for r in got if r["id"] == 1) == list(range(1, n + 1))
+    assert [(r["language"], r["score"]) for r in got if r["id"] != 1] == [(None, None)] * 2
+    d = df.select("id", langid.detector(profile)(F.col("t")).alias("d")).collect()
+    assert [tuple(r["d"]) for r in sorted(d)][:2] == [(f"l{n - 1:03d}", n, n - 1), ("", 0, 0)]
+
+
+def test_languages_beyond_the_bmp(spark):
+    a, b = "\U0001e922\U0001e923\U0001e924\U0001e925 ", "\U00010330\U00010331\U00010332\U00010333 "
+    profile = langid.train_profile(spark.createDataFrame([("aa", a * 9), ("bb", b * 9)], "lang string, text string"))
+    df = spark.createDataFrame([(1, "x" * 600 + a * 3), (2, b * 3)], "id int, t string")
+    got = {r["id"]: r["d"]["language"] for r in df.select("id", langid.detector(profile)(F.col("t")).alias("d")).collect()}
+    assert got == {1: "aa", 2: "bb"}
+    head = df.select("id", langid.detector(profile, sample_chars=512)(F.col("t")).alias("d")).collect()
+    assert {r["id"]: r["d"]["language"] for r in head} == {1: "", 2: "bb"}
+
+
+def test_null_keys_keep_their_running_sums(spark):
+    df = spark.createDataFrame([("a", 1, 2), (None, 1, 3), (None, 2, 4)], "k string, s bigint, v bigint")
+    got = running.running_sums(df, ["k"], "s", {"t": F.col("v")}).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == [("a", 1, 2, 2), (None, 1, 3, 3), (None, 2, 4, 7)]
+    assert running.rolling_recent(df, ["k"], "s", "v").count() == 3
+
+
+def test_blank_documents_keep_a_transcript(spark):
+    df = spark.createDataFrame([(1, 0, " "), (2, 0, " a "), (2, 1, "b"), (None, 0, None)], "d int, seg_idx int, text string")
+    got = {r["d"]: r["transcript"] for r in segments.transcript(df, ["d"]).collect()}
+    assert got == {1: "", 2: "a b", None: ""}
