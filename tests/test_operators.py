@@ -418,5 +418,5 @@ def test_null_keys_keep_their_running_sums(spark):
 
 def test_blank_documents_keep_a_transcript(spark):
     df = spark.createDataFrame([(1, 0, " "), (2, 0, " a "), (2, 1, "b"), (None, 0, None)], "d int, seg_idx int, text string")
-    got = {r["d"]: r["transcript"] for r in segments.transcript(df, ["d"]).collect()}
+    got = {r["d"]: r["transcript"] for r in G.transcript(df, ["d"]).collect()}
     assert got == {1: "", 2: "a b", None: ""}
