@@ -28,7 +28,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 EPOCHS = 2
 BLOCK = 16
-SHARD_DOCS = 20_000
+SHARD_DOCS = 2_000
 SEED = 17
 
 
