@@ -45,7 +45,12 @@ def _stamp_ms(stamp: Column, sep: str) -> Column:
     def field(i: int) -> Column:
         return F.regexp_extract(stamp, pattern, i).try_cast("bigint")
 
-    return field(1) * 3_600_000 + field(2) * 60_000 + field(3) * 1000 + field(4)
+    def scaled(i: int, ms: int) -> Column:
+        return F.try_multiply(field(i), F.lit(ms).cast("bigint"))
+
+    # A time beyond the number range is a bad stamp of its cue, not the end of the job.
+    return F.try_add(F.try_add(scaled(1, 3_600_000), scaled(2, 60_000)),
+                     F.try_add(scaled(3, 1000), field(4)))
 
 
 def cue_blocks(body: Column) -> Column:

@@ -64,12 +64,16 @@ def to_unix_seconds(value: Column, fmt: Column) -> Column:
     )
 
 
+def _day(seconds: Column, clock: Column) -> Column:
+    return F.call_function("div", seconds - clock, F.lit(86_400)).cast("int")
+
+
 def format_utc(seconds: Column) -> Column:
     """``YYYY-MM-DDTHH:MM:SSZ`` for years 1 to 9999, else the empty string."""
     in_range = seconds.between(YEAR_1, YEAR_9999)
     guarded = F.when(in_range, seconds)
     clock = F.pmod(guarded, F.lit(86_400))
-    day = ((guarded - clock) / 86_400).cast("int")
+    day = _day(guarded, clock)
 
     def two(c: Column) -> Column:
         return F.lpad(c.cast("int").cast("string"), 2, "0")
@@ -84,9 +88,10 @@ def format_utc(seconds: Column) -> Column:
 
 
 def civil_fields(seconds: Column) -> Column:
-    """Year, month, day, hour, minute, second of a Unix time."""
-    clock = F.pmod(seconds, F.lit(86_400))
-    date = F.date_from_unix_date(((seconds - clock) / 86_400).cast("int"))
+    """Year, month, day, hour, minute, second of a Unix time; nulls outside years 1 to 9999."""
+    guarded = F.when(seconds.between(YEAR_1, YEAR_9999), seconds)
+    clock = F.pmod(guarded, F.lit(86_400))
+    date = F.date_from_unix_date(_day(guarded, clock))
     return F.struct(
         F.year(date).alias("year"), F.month(date).alias("month"), F.dayofmonth(date).alias("day"),
         F.floor(clock / 3600).cast("int").alias("hour"),

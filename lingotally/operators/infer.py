@@ -10,6 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lingotally.functions.text import is_blank
+from lingotally.session import stored
 
 # Functions of this module travel to Python workers by value: executors need no install.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -43,19 +44,16 @@ def with_fallback(primary: Factory, secondary: Factory) -> Factory:
 
 
 def _guarded(model: Model, texts: list[str]) -> tuple[list, list]:
-    """Outputs and errors per text; a failing batch is retried text by text to find the bad one."""
+    """Outputs and errors per text; a failing batch is halved until the bad texts stand alone."""
     try:
-        out = model(texts)
+        out = list(model(texts))
         return out, [None if o is not None else "no output" for o in out]
     except Exception as batch_error:
         if len(texts) == 1:
             return [None], [f"{type(batch_error).__name__}: {batch_error}"]
-    out, errors = [], []
-    for t in texts:
-        o, e = _guarded(model, [t])
-        out += o
-        errors += e
-    return out, errors
+    half = len(texts) // 2
+    (a, bad_a), (b, bad_b) = _guarded(model, texts[:half]), _guarded(model, texts[half:])
+    return [*a, *b], [*bad_a, *bad_b]
 
 
 def map_model(df: DataFrame, factory: Factory, text: str = "text", output: str = "output",
@@ -81,9 +79,12 @@ def map_model(df: DataFrame, factory: Factory, text: str = "text", output: str =
 
 
 def infer_distinct(df: DataFrame, factory: Factory, key: Column, text: str = "text",
-                   output: str = "output", partitions: int | None = None) -> DataFrame:
+                   output: str = "output", partitions: int | None = None, store: bool = False) -> DataFrame:
     """Model output for every row, computed once per distinct text and joined back on its digest.
 
+    Two branches read the rows; ``store`` writes them to the shared folder first, for rows that
+    are dear to compute (a detector has judged them).
+
     Copies collapse before the first shuffle. Blank texts are not inferred; they get join keys
     spread by the row key, so that they do not pile up in one partition. The digest side is unique,
     hence a text with very many copies is a one-sided skew, which AQE splits in the left join.
@@ -91,6 +92,8 @@ def infer_distinct(df: DataFrame, factory: Factory, key: Column, text: str = "te
     blank = is_blank(F.col(text))
     spread = F.concat(F.lit("-"), F.pmod(F.xxhash64(key), F.lit(1 << 20)).cast("string"))
     keyed = df.withColumn("_k", F.when(blank, spread).otherwise(F.sha2(F.col(text), 256)))
+    if store:
+        keyed = stored(keyed, "infer")
     # The digest determines the text; grouping by both hashes instead of sorting whole texts.
     texts = keyed.filter(~blank).select("_k", text).distinct()
     if partitions:

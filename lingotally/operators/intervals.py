@@ -5,13 +5,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 BUCKET_MS = 10_000
+# Widths grow by this factor per level; an interval takes the first level where it meets at most
+# FACTOR + 1 buckets, whatever its length.
+FACTOR = 64
+LEVELS = 9
 UNKNOWN_SPEAKER = "UNKNOWN"
 
 
-def _buckets(start: Column, end: Column, width: int) -> Column:
+def _width(width: int, level: int) -> int:
+    return min(width * FACTOR ** level, 2**62)
+
+
+def _level(start: Column, end: Column, width: int) -> Column:
+    """Level of [start, end); the last one takes any length."""
+    length = F.try_subtract(end, start)
+    out = None
+    for level in range(LEVELS - 1):
+        fits = length <= _width(width, level + 1)
+        out = F.when(fits, level) if out is None else out.when(fits, level)
+    return out.otherwise(LEVELS - 1)
+
+
+def _bucket(ms: Column, width: Column) -> Column:
+    """Floor of ``ms / width`` in whole numbers."""
+    below = F.when((ms < 0) & (ms % width != 0), 1).otherwise(0)
+    return F.call_function("div", ms, width) - below
+
+
+def _buckets(start: Column, end: Column, width: Column) -> Column:
     """Time buckets of [start, end); empty intervals get none."""
-    spans = F.sequence(F.floor(start / width), F.floor((end - 1) / width))
-    return F.when(start < end, spans)
+    return F.when(start < end, F.sequence(_bucket(start, width), _bucket(end - 1, width)))
+
+
+def _joined(s: DataFrame, t: DataFrame, key: str, width: int, levels: Column) -> DataFrame:
+    """Overlapping pairs that meet at one of ``levels`` (of a row's own level ``_l``).
+
+    A pair meets at the coarser of its two levels; sharing several buckets there, it is kept in its
+    first common one.
+    """
+    widths = F.array(*[F.lit(_width(width, k)).cast("bigint") for k in range(LEVELS)])
+
+    def cut(df: DataFrame, start: str, end: str) -> DataFrame:
+        wide = df.withColumn("_at", F.explode(levels))
+        return wide.withColumn("_w", widths[F.col("_at")]).withColumn(
+            "_b", F.explode(_buckets(F.col(start), F.col(end), F.col("_w"))))
+
+    a = cut(s, "start_ms", "end_ms").withColumnRenamed("_l", "_sl")
+    b = cut(t, "_ts", "_te").drop("_w").withColumnsRenamed({"_l": "_tl", "_at": "_ta", "_b": "_tb"})
+    first = F.greatest(F.col("start_ms"), F.col("_ts"))
+    cond = (
+        (F.col(key) == F.col("_k")) & (F.col("_b") == F.col("_tb")) & (F.col("_at") == F.col("_ta"))
+        & (F.greatest("_sl", "_tl") == F.col("_at"))
+        & (F.col("start_ms") < F.col("_te")) & (F.col("_ts") < F.col("end_ms"))
+        & (_bucket(first, F.col("_w")) == F.col("_b"))
+    )
+    return a.join(b, cond).drop("_k", "_tb", "_b", "_at", "_ta", "_w", "_sl", "_tl")
 
 
 def overlaps(segments: DataFrame, turns: DataFrame, key: str = "doc_id",
@@ -20,21 +68,27 @@ def overlaps(segments: DataFrame, turns: DataFrame, key: str = "doc_id",
 
     Both sides are cut into time buckets, so the equi-join key is (document, bucket): a document
     that holds a large share of all rows spreads over its buckets, and AQE splits what is left.
-    A pair that shares several buckets is kept in its first common one.
+    Intervals of more than ``FACTOR`` buckets are rare and take wider buckets; only documents that
+    have one join a second time, at the wider levels, so that no row becomes more than
+    ``FACTOR`` + 1 copies at its own level and two at each wider one.
     """
-    s = segments.withColumn("_b", F.explode(_buckets(F.col("start_ms"), F.col("end_ms"), width)))
+    s = segments.withColumn("_l", _level(F.col("start_ms"), F.col("end_ms"), width))
     t = turns.select(
         F.col(key).alias("_k"), F.col("start_ms").alias("_ts"), F.col("end_ms").alias("_te"),
         F.col("turn_idx"), F.col("speaker_id"),
-        F.explode(_buckets(F.col("start_ms"), F.col("end_ms"), width)).alias("_tb"),
+        _level(F.col("start_ms"), F.col("end_ms"), width).alias("_l"),
     )
-    first_common = F.floor(F.greatest(F.col("start_ms"), F.col("_ts")) / width) == F.col("_b")
-    cond = (
-        (F.col(key) == F.col("_k")) & (F.col("_b") == F.col("_tb"))
-        & (F.col("start_ms") < F.col("_te")) & (F.col("_ts") < F.col("end_ms")) & first_common
+    near = _joined(s.filter("_l = 0"), t.filter("_l = 0"), key, width, F.array(F.lit(0)))
+    crowded = s.filter("_l > 0").select(F.col(key).alias("_k")).union(
+        t.filter("_l > 0").select("_k")).distinct()
+    wider = F.sequence(F.greatest(F.col("_l"), F.lit(1)), F.lit(LEVELS - 1))
+    far = _joined(
+        s.join(crowded.withColumnRenamed("_k", key), key, "left_semi"),
+        t.join(crowded, "_k", "left_semi"), key, width, wider,
     )
-    shared = F.least(F.col("end_ms"), F.col("_te")) - F.greatest(F.col("start_ms"), F.col("_ts"))
-    return s.join(t, cond).withColumn("overlap_ms", shared).drop("_k", "_tb", "_b")
+    shared = F.try_subtract(F.least(F.col("end_ms"), F.col("_te")),
+                            F.greatest(F.col("start_ms"), F.col("_ts")))
+    return near.unionByName(far).withColumn("overlap_ms", shared)
 
 
 def attach_speaker(segments: DataFrame, turns: DataFrame, key: str = "doc_id",

@@ -18,6 +18,12 @@ def file_digests(files: DataFrame, content: Column, path: str = "path") -> DataF
     )
 
 
+def artefact_name(path: Column, target: str) -> Column:
+    """Name of the translation artefact of a file within its package."""
+    return F.concat(F.lit("translations/"), X.base_name(path), F.lit("."),
+                    F.substring(F.sha2(path, 256), 1, 8), F.lit(f".{target}.txt"))
+
+
 def manifest_rows(results: DataFrame, digests: DataFrame, target: str) -> DataFrame:
     """One manifest row per result; a missing original has an empty digest and size 0.
 
@@ -25,10 +31,7 @@ def manifest_rows(results: DataFrame, digests: DataFrame, target: str) -> DataFr
     """
     name = X.base_name(F.col("file_path"))
     translated = F.col("translated_text").isNotNull()
-    path_hash = F.substring(F.sha2("file_path", 256), 1, 8)
-    artefact = F.concat(
-        F.lit("translations/"), name, F.lit("."), path_hash, F.lit(f".{target}.txt")
-    )
+    artefact = artefact_name(F.col("file_path"), target)
     slim = results.select(
         "file_path", F.col("detected_language").alias("language"), translated.alias("translated")
     )

@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lingotally import refdata as R
 from lingotally.functions.match import match_offsets
 from lingotally.functions.text import is_blank, preview
 
-MAX_RULES = 5_000
+STRING = "string_id:string,pattern:string,nocase:boolean,literal:string"
+RULE = f"array<struct<rule:string,severity:string,strings:array<struct<{STRING}>>>>"
 HIT = "array<struct<string_id:string,offset:bigint,data:string>>"
 
 
 def load_rules(rules: DataFrame) -> list[dict]:
-    """Rule rows for the plan; the table is code, not data, and its size is checked."""
-    rows = rules.limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} pattern strings; split the rule table")
-    return [r.asDict() for r in rows]
+    """Rule rows for the plan: the table is written by people, hence code rather than data."""
+    return [r.asDict() for r in rules.collect()]
 
 
 def default_rules() -> list[dict]:
@@ -25,18 +25,57 @@ def default_rules() -> list[dict]:
     return [dict(zip(names, row)) for row in R.RULES]
 
 
-def string_hits(text: Column, rule: dict) -> Column:
-    """Hits of one pattern string; cheap tests come first, offsets only where it matches."""
-    pattern = ("(?i)" if rule["nocase"] else "") + rule["pattern"]
-    found = text.rlike(pattern)
-    if rule.get("literal"):
-        plain = F.lower(text) if rule["nocase"] else text
-        found = plain.contains(rule["literal"]) & found
-    hits = F.transform(match_offsets(text, pattern), lambda h: F.struct(
-        F.lit(rule["string_id"]).alias("string_id"), h["offset"].alias("offset"),
-        h["data"].alias("data"),
+def _table(rules: list[dict]) -> Column:
+    """All rules, strings grouped by rule, as one constant: the plan does not grow with them."""
+    by_rule: dict[str, dict] = {}
+    for r in rules:
+        entry = by_rule.setdefault(r["rule"], {"rule": r["rule"], "severity": r["severity"], "strings": []})
+        entry["strings"].append({
+            "string_id": r["string_id"], "nocase": bool(r["nocase"]), "literal": r.get("literal") or "",
+            "pattern": ("(?i)" if r["nocase"] else "") + r["pattern"],
+        })
+    return F.from_json(F.lit(json.dumps(list(by_rule.values()))), RULE)
+
+
+def _may_match(text: Column, s: Column) -> Column:
+    """Cheap test first: the literal of a string occurs in each of its hits."""
+    return F.when(s["nocase"], text["lower"].contains(s["literal"])).otherwise(
+        text["text"].contains(s["literal"]))
+
+
+def string_hits(text: Column, s: Column) -> Column:
+    """Hits of one pattern string with byte offsets."""
+    hits = F.transform(match_offsets(text["text"], s["pattern"]), lambda h: F.struct(
+        s["string_id"].alias("string_id"), h["offset"].alias("offset"), h["data"].alias("data"),
     ))
-    return F.when(found, hits).otherwise(F.array().cast(HIT))
+    return F.when(_may_match(text, s), hits).otherwise(F.array().cast(HIT))
+
+
+def string_count(text: Column, s: Column) -> Column:
+    return F.when(_may_match(text, s), F.regexp_count(text["text"], s["pattern"])).otherwise(0)
+
+
+def _scan(df: DataFrame, texts: dict[str, str], keys: list[str], rules: list[dict] | None, fire) -> DataFrame:
+    """One row per key, text and rule for which ``fire(text, strings)`` says that it fired.
+
+    The texts of a row become one array, so every rule is planned once for all of them.
+    """
+    sources = [
+        F.struct(F.lit(tag).alias("tag"), F.col(c).alias("text"), F.lower(c).alias("lower"))
+        for tag, c in texts.items()
+    ]
+    shown = F.filter(F.array(*sources), lambda t: ~F.coalesce(is_blank(t["text"]), F.lit(True)))
+
+    def fired(t: Column) -> Column:
+        return F.transform(F.col("_rules"), lambda r: F.struct(
+            t["tag"].alias("scanned_source"), r["rule"].alias("rule"), r["severity"].alias("severity"),
+            fire(t, r["strings"]),
+        ))
+
+    table = _table(default_rules() if rules is None else rules)
+    found = df.withColumn("_rules", table).select(*keys, F.inline(F.flatten(F.transform(shown, fired))))
+    return found.filter("n_strings > 0") if "n_strings" in found.columns else found.filter(
+        F.size("strings") > 0).withColumn("n_strings", F.size("strings"))
 
 
 def rule_hits(df: DataFrame, texts: dict[str, str], keys: list[str],
@@ -46,21 +85,15 @@ def rule_hits(df: DataFrame, texts: dict[str, str], keys: list[str],
     ``texts`` maps a source tag to a column, in scan order. All rules and texts are evaluated
     in one narrow projection over the input; blank texts are skipped.
     """
-    rules = default_rules() if rules is None else rules
-    by_rule: dict[str, list[dict]] = {}
-    for r in rules:
-        by_rule.setdefault(r["rule"], []).append(r)
-    fired = []
-    for source, column in texts.items():
-        text = F.when(~is_blank(F.col(column)), F.col(column))
-        for name, strings in by_rule.items():
-            fired.append(F.struct(
-                F.lit(source).alias("scanned_source"), F.lit(name).alias("rule"),
-                F.lit(strings[0]["severity"]).alias("severity"),
-                F.concat(*[string_hits(text, s) for s in strings]).alias("strings"),
-            ))
-    found = F.filter(F.array(*fired), lambda r: F.size(r["strings"]) > 0)
-    return df.select(*keys, F.inline(found)).withColumn("n_strings", F.size("strings"))
+    return _scan(df, texts, keys, rules, lambda t, strings: F.flatten(
+        F.transform(strings, lambda s: string_hits(t, s))).alias("strings"))
+
+
+def rule_counts(df: DataFrame, texts: dict[str, str], keys: list[str],
+                rules: list[dict] | None = None) -> DataFrame:
+    """``rule_hits`` without the strings: hits are counted, no offset is computed."""
+    return _scan(df, texts, keys, rules, lambda t, strings: F.aggregate(
+        strings, F.lit(0), lambda n, s: n + string_count(t, s)).alias("n_strings"))
 
 
 def rule_offsets(hits: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,6 +103,7 @@ def rule_offsets(hits: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def rule_summary(hits: DataFrame) -> DataFrame:
+    """Firings and matches per text and rule, of ``rule_hits`` or ``rule_counts``."""
     return hits.groupBy("scanned_source", "rule").agg(
         F.count("*").alias("n_firings"), F.sum("n_strings").cast("bigint").alias("n_matches")
     )

@@ -109,6 +109,8 @@ def file_state_counts(states: DataFrame) -> DataFrame:
 
 def last_language(segments: DataFrame, keys: list[str], idx: str = "chunk_idx",
                   language: str = "language", placeholder: str = "—") -> DataFrame:
+    """Language of the last segment that has one; keys without any show ``placeholder``."""
+    known = F.when(F.col(language).isNotNull(), F.col(idx))
     return segments.groupBy(*keys).agg(
-        F.coalesce(F.max_by(language, idx), F.lit(placeholder)).alias("last_language")
+        F.coalesce(F.max_by(language, known), F.lit(placeholder)).alias("last_language")
     )

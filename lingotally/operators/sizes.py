@@ -26,5 +26,8 @@ def broadcast_if_small(
 
 
 def restrict_to(big: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """Rows of ``big`` whose key occurs in ``keys``: shrinks it before any outer join."""
-    return big.join(broadcast_if_small(keys.select(*on).distinct()), on, "left_semi")
+    """Rows of ``big`` whose key occurs in ``keys``: shrinks it before any outer join.
+
+    Adaptive execution knows the size of the distinct keys and broadcasts a small set by itself.
+    """
+    return big.join(keys.select(*on).distinct(), on, "left_semi")

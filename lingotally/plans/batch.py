@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from lingotally.functions import kinds as K, tiers as T
 from lingotally.operators import filters, infer, rollups
 from lingotally.plans.classify import classify
+from lingotally.session import stored
 from lingotally.sources import writers
 
 RESULT_COLUMNS = [
@@ -42,7 +43,8 @@ def run_batch(files: DataFrame, detect, factory: infer.Factory, target: str,
 
     Text extraction is upstream: a file whose text could not be read arrives with ``error``.
     Failing files become rows with ``error``; blank ones stay as rows without text. The gates and
-    the classification are narrow; only foreign texts go through the model step.
+    the classification are one narrow pass, stored once; all branches read the stored rows, and only
+    foreign texts go through the model step.
     """
     eligible = filters.filter_kinds(files, allowed)
     gate = K.size_gate(F.col("length"), F.col("text"))
@@ -57,6 +59,7 @@ def run_batch(files: DataFrame, detect, factory: infer.Factory, target: str,
     judged = judged.withColumn(
         "is_foreign", F.col("has_text") & T.is_foreign_plain(F.col("language"), target)
     )
+    judged = stored(judged, "judged")
     return BatchPlan(files, _translated(judged, factory, partitions), target)
 
 
@@ -104,12 +107,12 @@ def write_batch(plan: BatchPlan, out: str, elapsed_seconds: float = 0.0,
     The written table cuts the lineage: a lost executor cannot cause another model run.
     """
     filters.assert_notice(plan.results).write.mode("overwrite").parquet(f"{out}/table")
-    stored = BatchPlan(
+    written = BatchPlan(
         plan.files, plan.results.sparkSession.read.parquet(f"{out}/table"), plan.target
     )
     writers.write_results_json(
-        stored.results, stored.summary(elapsed_seconds), stored.groups(), f"{out}/json", metadata
+        written.results, written.summary(elapsed_seconds), written.groups(), f"{out}/json", metadata
     )
-    writers.write_results_csv(stored.results, f"{out}/csv")
-    writers.write_html_fragments(stored.results, f"{out}/html")
-    return stored
+    writers.write_results_csv(written.results, f"{out}/csv")
+    writers.write_html_fragments(written.results, f"{out}/html")
+    return written

@@ -7,10 +7,11 @@ import sys
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from lingotally import refdata as R
 from lingotally.functions import tiers as T
 from lingotally.operators import infer, langid
 from lingotally.plans.catalogue.registry import (
-    SQL_WS, TARGET, documents, query, sql_word_count, table,
+    SQL_WS, TARGET, documents, query, sql_advisory, sql_word_count, table,
 )
 from lingotally.plans.classify import classify, with_route
 from lingotally.plans.translate import (
@@ -95,12 +96,15 @@ def classified(spark, sf):
 
 @query("classify", f"""WITH {SQL_CLASSIFIED} SELECT doc_id, language, round(confidence, 6) AS confidence,
  language <> '' AND language <> '{TARGET}' AS is_foreign, tier AS confidence_tier,
- CAST(nw AS INTEGER) AS input_word_count, tier = 'HIGH' OR tier = '' AS no_advisory FROM cls""")
+ CAST(nw AS INTEGER) AS input_word_count, tier = 'HIGH' OR tier = '' AS no_advisory,
+ '{TARGET}' AS target_language, {sql_advisory('tier', 'nw')} AS advisory,
+ CASE WHEN language = 'ar' THEN '{R.DIALECT_NOTICE}' END AS dialect_note FROM cls""")
 def classify_documents(spark, sf):
     c = classified(spark, sf)
     return c.select(
         "doc_id", "language", F.round("confidence", 6).alias("confidence"), "is_foreign",
         "confidence_tier", "input_word_count", F.col("advisory").isNull().alias("no_advisory"),
+        "target_language", "advisory", "dialect_note",
     )
 
 

@@ -136,6 +136,14 @@ SQL_RESULTS = f"""results AS (
  FROM (SELECT *, {SQL_PATH} AS p, {sql_word_count('text')} AS nw FROM documents))"""
 
 
+def sql_advisory(tier: str, words: str) -> str:
+    return f"""CASE WHEN {tier} = 'MEDIUM' THEN 'Medium confidence: have a linguist confirm important text.'
+ WHEN {tier} = 'LOW' AND {words} BETWEEN 1 AND 9 THEN 'Only ' || {words} || ' word' ||
+  CASE WHEN {words} = 1 THEN '' ELSE 's' END ||
+  ': the detected language may be wrong, have a linguist confirm it.'
+ WHEN {tier} = 'LOW' THEN 'Low confidence: the detected language may be wrong.' END"""
+
+
 # ---- timed segments of conversations --------------------------------------------------------
 MS_PER_CHAR = 50
 

@@ -229,8 +229,9 @@ def until_end(spark, sf):
  THEN NULL ELSE event_type END, event_id) FILTER (WHERE event_type <> 'error'), '—') AS last_language
  FROM events GROUP BY 1""")
 def last_language(spark, sf):
-    e = table(spark, sf, "events").filter("event_type <> 'error'").select(
+    """Failed chunks have no language; sessions with nothing else show the placeholder."""
+    e = table(spark, sf, "events").select(
         F.col("user_id").alias("session_id"), F.col("event_id").alias("chunk_idx"),
-        F.col("event_type").alias("language"),
+        F.when(F.col("event_type") != "error", F.col("event_type")).alias("language"),
     )
     return running.last_language(e, ["session_id"])

@@ -36,7 +36,7 @@ DOC_MATCHES = f"m AS ({_sql_matches('text', 'doc_id', 'documents', 'source')})"
 @query("rule_hits", f"""WITH {DOC_MATCHES} SELECT doc_id, scanned_source, rule,
  CAST(sum(len(m)) AS BIGINT) AS n_strings FROM m WHERE len(m) > 0 GROUP BY ALL""")
 def rule_hits(spark, sf):
-    hits = rules.rule_hits(documents(spark, sf, "text"), {"source": "text"}, ["doc_id"])
+    hits = rules.rule_counts(documents(spark, sf, "text"), {"source": "text"}, ["doc_id"])
     return hits.select("doc_id", "scanned_source", "rule", F.col("n_strings").cast("bigint"))
 
 
@@ -55,8 +55,8 @@ def rule_summary(spark, sf):
     translation = F.concat(F.lit("[en] "), F.when(F.col("page_id") % 3 == 0, "").otherwise(
         F.concat("url", F.lit(" "), "html")))
     two = pages(spark, sf).select("page_id", "html", translation.alias("translation"))
-    hits = rules.rule_hits(two, {"translation": "translation", "source": "html"}, ["page_id"])
-    return rules.rule_summary(hits)
+    counts = rules.rule_counts(two, {"translation": "translation", "source": "html"}, ["page_id"])
+    return rules.rule_summary(counts)
 
 
 # Offset of hit i = bytes of the pieces before it plus bytes of the hits before it.

@@ -8,8 +8,8 @@ from lingotally import refdata as R
 from lingotally.functions import kinds as K, text as X, tiers as T
 from lingotally.operators import filters, rollups, segments as G
 from lingotally.plans.catalogue.registry import (
-    SQL_EXT, SQL_KIND, SQL_PATH, SQL_WS, documents, file_path, pages, query, sql_word_count,
-    sql_words, table, values_sql,
+    SQL_EXT, SQL_KIND, SQL_PATH, SQL_WS, documents, file_path, pages, query, sql_advisory,
+    sql_word_count, table, values_sql,
 )
 
 
@@ -64,17 +64,16 @@ def short_preview(spark, sf):
 
 
 TIERED = f"""tiered AS (SELECT doc_id, (doc_id % 100) / 100.0 AS score,
- {sql_word_count("array_to_string(" + sql_words('text') + "[1:doc_id % 15], ' ')")} AS n_words
+ {sql_word_count('text')} AS n_words
  FROM documents), t2 AS (SELECT *, CASE WHEN n_words BETWEEN 1 AND 9 THEN 'LOW'
  WHEN score >= 0.85 THEN 'HIGH' WHEN score >= 0.60 THEN 'MEDIUM' ELSE 'LOW' END AS tier
  FROM tiered)"""
 
 
 def _tiered(spark, sf):
-    head = F.array_join(F.slice(X.words(F.col("text")), 1, (F.col("doc_id") % 15).cast("int")), " ")
     d = documents(spark, sf, "text").select(
         "doc_id", ((F.col("doc_id") % 100) / 100.0).alias("score"),
-        X.word_count(head).cast("bigint").alias("n_words"),
+        X.word_count(F.col("text")).cast("bigint").alias("n_words"),
     )
     return d.withColumn("tier", T.confidence_tier(F.col("score"), F.col("n_words")))
 
@@ -84,13 +83,8 @@ def confidence_tiers(spark, sf):
     return _tiered(spark, sf).select("doc_id", "n_words", "tier")
 
 
-@query("confidence_advisories", f"""WITH {TIERED} SELECT doc_id, tier, CASE
- WHEN tier = 'MEDIUM' THEN 'Medium confidence: have a linguist confirm important text.'
- WHEN tier = 'LOW' AND n_words BETWEEN 1 AND 9 THEN 'Only ' || n_words || ' word' ||
-  CASE WHEN n_words = 1 THEN '' ELSE 's' END ||
-  ': the detected language may be wrong, have a linguist confirm it.'
- WHEN tier = 'LOW' THEN 'Low confidence: the detected language may be wrong.' END AS advisory
- FROM t2""")
+@query("confidence_advisories", f"""WITH {TIERED} SELECT doc_id, tier, {sql_advisory('tier', 'n_words')}
+ AS advisory FROM t2""")
 def confidence_advisories(spark, sf):
     return _tiered(spark, sf).select(
         "doc_id", "tier", T.confidence_advisory(F.col("tier"), F.col("n_words")).alias("advisory")

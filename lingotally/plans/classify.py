@@ -12,8 +12,9 @@ from lingotally.functions.binding import let
 from lingotally.operators import langid
 
 CLASSIFIED = [
-    "language", "confidence", "is_foreign", "confidence_tier", "input_word_count", "advisory",
-    "disambiguation_note", "dialect", "dialect_confidence", "dialect_indicators",
+    "language", "confidence", "is_foreign", "target_language", "confidence_tier",
+    "input_word_count", "advisory", "disambiguation_note", "dialect", "dialect_confidence",
+    "dialect_indicators", "dialect_note",
 ]
 
 
@@ -58,12 +59,13 @@ def classify(df: DataFrame, detect, target: str, text: str = "text",
     return found.select(
         *df.columns, "language", F.col("_j.conf").alias("confidence"),
         T.is_foreign_strict(F.col("language"), target).alias("is_foreign"),
-        "confidence_tier", "input_word_count",
+        F.lit(target).alias("target_language"), "confidence_tier", "input_word_count",
         T.confidence_advisory(F.col("confidence_tier"), words).alias("advisory"),
         F.col("_f.note").alias("disambiguation_note"),
         dialect.alias("dialect"),
         F.col("_dia.confidence").alias("dialect_confidence"),
         F.col("_dia.indicators").alias("dialect_indicators"),
+        F.when(dialect.isNotNull(), R.DIALECT_NOTICE).alias("dialect_note"),
     )
 
 

@@ -18,7 +18,7 @@ def build_package(batch: BatchPlan, digests: DataFrame, out: str, source: str,
     rows = M.manifest_rows(batch.results, digests, batch.target)
     writers.write_manifest(rows, f"{out}/manifest", source, notice, facts)
     artefacts = writers.translation_text(batch.results, segments, notice)
-    writers.write_translation_text(artefacts, f"{out}/translations")
+    writers.write_translation_text(artefacts, f"{out}/translations", batch.target)
     writers.write_html_fragments(batch.results, f"{out}/report")
     M.custody_facts(batch.counters(), facts).write.mode("overwrite").json(f"{out}/custody")
     if flags is not None:

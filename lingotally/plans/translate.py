@@ -15,11 +15,12 @@ def translate_documents(classified: DataFrame, factory: infer.Factory, target: s
                         partitions: int | None = None) -> DataFrame:
     """Foreign rows with ``translated_text``, ``error`` and ``notice``; each distinct text once.
 
-    The language filter runs before the model, and only key and text go through it.
+    The language filter runs before the model, and only key and text go through it. The foreign
+    rows are stored once, so each text is classified once.
     """
     foreign = with_route(filters.foreign_only(classified, target), alt_available, text)
     done = infer.infer_distinct(
-        foreign, factory, F.col(key), text, "translated_text", partitions
+        foreign, factory, F.col(key), text, "translated_text", partitions, store=True
     )
     return done.withColumn(
         "notice",

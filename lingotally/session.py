@@ -59,3 +59,10 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint that survives the loss of executors."""
     checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write the rows to the shared folder and read them back: later steps branch from the table."""
+    folder = work_dir(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

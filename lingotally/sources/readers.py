@@ -17,6 +17,9 @@ EVENT_SCHEMA = (
     "`to` string, total_segments bigint, duration_ms bigint, message string, "
     "machine_translation_notice string"
 )
+# Largest file whose content the binary reader takes; longer ones would fail the job.
+MAX_CONTENT = 2**31 - 1 - 64
+SUBTITLE_GLOB = "*.{[sS][rR][tT],[vV][tT][tT]}"
 FLAG_SCHEMA = (
     "flags array<struct<filePath:string,file_path:string,segmentIndex:bigint,segment_index:bigint,"
     "examinerNote:string,examiner_note:string,reviewStatus:string,review_status:string,"
@@ -33,9 +36,15 @@ def scan_tree(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
 
 
-def read_heads(files: DataFrame, n: int = 16) -> DataFrame:
-    """Replace the content by its first bytes; write the result out to sniff each file once."""
-    return files.withColumn("head", F.substring("content", 1, n)).drop("content")
+def read_heads(files: DataFrame, n: int = 16, max_bytes: int = MAX_CONTENT) -> DataFrame:
+    """Replace the content by its first bytes; write the result out to sniff each file once.
+
+    Files above ``max_bytes`` cannot be a cell: they are never opened and have a null head.
+    """
+    opened = files.filter(F.col("length") <= max_bytes).withColumn("head", F.substring("content", 1, n))
+    rest = files.filter(F.col("length") > max_bytes).drop("content").withColumn(
+        "head", F.lit(None).cast("binary"))
+    return opened.drop("content").unionByName(rest)
 
 
 def sniff_kinds(files: DataFrame) -> DataFrame:
@@ -97,14 +106,17 @@ def scan_ip_list(spark: SparkSession, path: str, numbered: bool = True) -> DataF
 
 
 def scan_subtitles(spark: SparkSession, root: str) -> DataFrame:
-    """Bodies of ``.srt`` and ``.vtt`` files; other names carry ``error``."""
-    body = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
+    """Bodies of ``.srt`` and ``.vtt`` files; other names carry ``error`` and are never opened."""
+    deep = spark.read.option("recursiveFileLookup", "true")
+    body = deep.option("pathGlobFilter", SUBTITLE_GLOB).text(root, wholetext=True).select(
+        F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
     ext = kinds.extension(F.col("path"))
-    return body.select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("body")
-    ).withColumn("kind", F.when(ext.isin("srt", "vtt"), ext)).withColumn(
-        "error", F.when(F.col("kind").isNull(), "not a subtitle file")
-    )
+    is_cue = F.coalesce(ext.isin("srt", "vtt"), F.lit(False))
+    body = body.filter(is_cue).select("*", ext.alias("kind"), F.lit(None).cast("string").alias("error"))
+    other = scan_tree(spark, root).filter(~is_cue).select(
+        F.col("path"), *[F.lit(None).cast("string").alias(c) for c in ("body", "kind")],
+        F.lit("not a subtitle file").alias("error"))
+    return body.unionByName(other)
 
 
 def flag_rows(raw: DataFrame) -> DataFrame:

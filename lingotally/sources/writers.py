@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lingotally import refdata as R
 from lingotally.functions import text as X
 from lingotally.operators.filters import assert_notice
-from lingotally.operators.manifest import manifest_header
+from lingotally.operators.manifest import artefact_name, manifest_header
 from lingotally.operators.segments import ordered_concat
 
 CSV_COLUMNS = ["file_path", "input_type", "detected_language", "is_foreign", "transcript",
@@ -110,10 +110,15 @@ def translation_text(results: DataFrame, segments: DataFrame | None = None,
     return done.select("file_path", language.alias("language"), body.alias("body"))
 
 
-def write_translation_text(artefacts: DataFrame, out: str) -> None:
-    artefacts.select("language", F.col("body").alias("value")).write.mode("overwrite").partitionBy(
-        "language"
-    ).text(out)
+def write_translation_text(artefacts: DataFrame, out: str, target: str) -> None:
+    """JSON rows (translation_file, file_path, body), addressed by the manifest's ``translation_file``.
+
+    A row holds a whole artefact, line breaks included; one object per artefact would be millions of
+    tiny files.
+    """
+    named = artefacts.withColumn("translation_file", artefact_name(F.col("file_path"), target))
+    named.select("language", "translation_file", "file_path", "body").write.mode(
+        "overwrite").partitionBy("language").json(out)
 
 
 def write_manifest(rows: DataFrame, out: str, source: str, notice: str = R.MT_NOTICE,

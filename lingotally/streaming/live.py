@@ -82,9 +82,13 @@ def split_sink(good_path: str, error_path: str) -> Callable[[DataFrame, int], No
     Files of a batch live in a folder named by its number, so a repeated batch replaces itself.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        good, bad = isolate_errors(batch)
-        good.write.mode("overwrite").parquet(f"{good_path}/batch={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{error_path}/batch={batch_id}")
+        kept = batch.persist()  # both outputs come from one run of the stream and its model
+        good, bad = isolate_errors(kept)
+        try:
+            good.write.mode("overwrite").parquet(f"{good_path}/batch={batch_id}")
+            bad.write.mode("overwrite").parquet(f"{error_path}/batch={batch_id}")
+        finally:
+            kept.unpersist()
 
     return write
 

@@ -92,24 +92,29 @@ def until_end(events: DataFrame, run: str = "run_id", seq: str = "seq") -> DataF
     ends = events.filter(F.col("type").isin(TERMINAL)).groupBy(run).agg(
         F.min(seq).alias("_end")
     )
-    cut = events.join(broadcast_if_small(ends), run, "left")
+    cut = events.join(ends, run, "left")  # adaptive execution knows how many runs have ended
     return cut.filter(F.col("_end").isNull() | (F.col(seq) <= F.col("_end"))).drop("_end")
 
 
 def follow_sink(path: str, run: str = "run_id", seq: str = "seq") -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` form of ``until_end``: one row per ended run is carried in ``path``."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        ends = batch.filter(F.col("type").isin(TERMINAL)).select(run, F.col(seq).alias("_end"))
-        if batch_id > 0:
-            before = batch.sparkSession.read.parquet(f"{path}/ends/batch={batch_id - 1}")
-            ends = ends.unionByName(before)
-        first = ends.groupBy(run).agg(F.min("_end").alias("_end"))
-        first.write.mode("overwrite").parquet(f"{path}/ends/batch={batch_id}")
-        stored = batch.sparkSession.read.parquet(f"{path}/ends/batch={batch_id}")
-        cut = batch.join(broadcast_if_small(stored), run, "left")
-        cut.filter(F.col("_end").isNull() | (F.col(seq) <= F.col("_end"))).drop("_end").write.mode(
-            "overwrite"
-        ).parquet(f"{path}/events/batch={batch_id}")
+        kept = batch.persist()  # read for its ends and for its events
+        try:
+            ends = kept.filter(F.col("type").isin(TERMINAL)).select(run, F.col(seq).alias("_end"))
+            if batch_id > 0:
+                before = batch.sparkSession.read.parquet(f"{path}/ends/batch={batch_id - 1}")
+                ends = ends.unionByName(before)
+            first = ends.groupBy(run).agg(F.min("_end").alias("_end"))
+            first.write.mode("overwrite").parquet(f"{path}/ends/batch={batch_id}")
+            stored = batch.sparkSession.read.parquet(f"{path}/ends/batch={batch_id}")
+            cut = kept.join(broadcast_if_small(stored), run, "left")
+            open_yet = F.col("_end").isNull() | (F.col(seq) <= F.col("_end"))
+            cut.filter(open_yet).drop("_end").write.mode("overwrite").parquet(
+                f"{path}/events/batch={batch_id}"
+            )
+        finally:
+            kept.unpersist()
 
     return write
 

@@ -20,25 +20,26 @@ def run_available(stream: DataFrame, mode: str, name: str, keys: list[str] | Non
     """Process all input now and return the written result.
 
     Batches go to one folder each, so a repeated batch replaces itself. Append output is the union
-    of all batches, complete output the last one, update output the newest row per key.
+    of all batches, update output the newest row per key. In complete mode a batch replaces the one
+    before, so only the newest state is stored.
     """
     spark = stream.sparkSession
     base = work_dir(spark, name)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
+        name = "last" if mode == "complete" else f"batch={batch_id}"
+        batch.write.mode("overwrite").parquet(f"{base}/out/{name}")
 
     query = (
         stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint")
         .trigger(availableNow=True).foreachBatch(write).start()
     )
     query.awaitTermination()
+    if mode == "complete":
+        return spark.read.parquet(f"{base}/out/last")
     out = spark.read.parquet(f"{base}/out")
     if mode == "append":
         return out.drop("batch")
-    if mode == "complete":
-        last = out.agg(F.max("batch"))
-        return out.filter(F.col("batch") == last.scalar()).drop("batch")
     rest = [c for c in out.columns if c not in (*keys, "batch")]
     newest = out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r"))
     return newest.select(*keys, "_r.*")

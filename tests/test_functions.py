@@ -272,3 +272,24 @@ def test_match_offsets_are_bytes(spark):
     raw = text.encode()
     assert [(o["offset"], o["data"]) for o in r["o"]] == [
         (raw.index(x.encode()), x) for x in ("a@b.com", "x@y.org", "z@q.de")]
+
+
+def test_match_offsets_of_many_hits(spark):
+    import time
+
+    n = 32_000
+    df = spark.createDataFrame([("é xx1 " * n,), ("none",), (None,)], "t string")
+    found = df.select(M.match_offsets(F.col("t"), "xx1").alias("o"))
+    found.collect()
+    start = time.perf_counter()
+    full, none, null = [r["o"] for r in found.collect()]
+    assert time.perf_counter() - start < 10
+    assert [o["offset"] for o in full] == [7 * i + 3 for i in range(n)] and none == [] and not null
+
+
+def test_values_beyond_the_range_stay_rows(spark):
+    body = "1\n" + "9" * 16 + ":00:00,000 --> 00:00:02,000\nx\n"
+    [r] = one(spark, [(body,)], "t string", c=C.parse_cues(F.col("t"), F.lit("srt")))
+    assert [c["error"] for c in r["c"]] == ["bad time stamp"]
+    got = one(spark, [(2**63 - 1,), (-2**63,), (86_399,)], "s bigint", c=E.civil_fields(F.col("s")))
+    assert [g["c"]["year"] for g in got] == [None, None, 1970] and got[2]["c"]["second"] == 59

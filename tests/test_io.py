@@ -154,7 +154,11 @@ def test_batch_and_package(spark, tmp_path):
     assert man.count() == 7 and man.filter("translated").count() == 2
     head = spark.read.json(out + "/pkg/manifest/header").first()
     assert head.file_count == 7 and head.translated_count == 2 and head.machine_translation_notice
-    text = "".join(p.value for p in spark.read.text(out + "/pkg/translations/language=de", wholetext=True).collect())
+    bodies = {r.translation_file: r.body for r in spark.read.json(out + "/pkg/translations").collect()}
+    named = {r.original_path: r.translation_file for r in man.filter("translated").collect()}
+    assert sorted(bodies) == sorted(named.values()) and len(bodies) == 2
+    text = bodies[named["/e/2.txt"]]
+    assert "# Source file: /e/2.txt\n" in text
     assert "[0 - 100 ms] der → [en] der\n[100 - 200 ms] hund → [en] hund\n" in text
     review = {r.file_path: r for r in spark.read.json(out + "/pkg/review").collect()}
     assert review["/e/2.txt"].original == "hund" and review["/e/2.txt"].status == "IN PROGRESS"

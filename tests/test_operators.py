@@ -3,6 +3,7 @@
 import random
 import sys
 
+import pandas as pd
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import Row, functions as F
@@ -26,6 +27,11 @@ TURN_SCHEMA = "doc_id string, turn_idx int, start_ms bigint, end_ms bigint, spea
 SEG_SCHEMA = "doc_id string, seg_idx int, start_ms bigint, end_ms bigint, text string"
 
 
+def test_last_language_of_failed_sessions(spark):
+    df = spark.createDataFrame([(1, 0, "de"), (1, 1, None), (2, 0, None)], "s int, chunk_idx int, language string")
+    assert rows(running.last_language(df, ["s"]), "s", "last_language") == [(1, "de"), (2, "—")]
+
+
 def test_attach_speaker_cases(spark):
     segs = spark.createDataFrame(
         [("d", 0, 0, 5000, "a"), ("d", 1, 5000, 7500, "b"), ("d", 2, 100000, 101000, "c"),
@@ -69,6 +75,24 @@ def test_attach_speaker_against_brute_force(spark, width):
     assert talk == brute
 
 
+def test_long_and_extreme_intervals(spark):
+    """Any length joins; copies of a row stay few, and no time value ends the job."""
+    day, far = 86_400_000, 10**14
+    segs = [("d", 0, 0, 5000, "a"), ("d", 1, 3 * day, 3 * day + 10, "b"), ("d", 2, 0, far, "c"),
+            ("d", 3, -2**62, 2**62, "d"), ("e", 0, 5, 9, "e"), ("d", 4, -50, -20, "f"), ("d", 5, far - 9, far + 9, "g")]
+    turns = [("d", 0, 0, 2 * day, "S0"), ("d", 1, 2 * day, far, "S1"), ("d", 2, 4000, 4100, "S2"), ("d", 3, -30, 0, "S3")]
+    want = []
+    for d, i, s, e, _ in segs:
+        over = [(min(e, te) - max(s, ts), -ti, n) for td, ti, ts, te, n in turns if td == d and min(e, te) > max(s, ts)]
+        want.append((d, i, max(over)[2] if over else "UNKNOWN"))
+    sdf, tdf = spark.createDataFrame(segs, SEG_SCHEMA), spark.createDataFrame(turns, TURN_SCHEMA)
+    assert rows(intervals.attach_speaker(sdf, tdf), "doc_id", "seg_idx", "speaker_id") == sorted(want)
+    pairs = intervals.overlaps(sdf.select("doc_id", "seg_idx", "start_ms", "end_ms"), tdf)
+    found = [(r.seg_idx, r.turn_idx) for r in pairs.collect()]
+    assert sorted(found) == sorted(
+        (i, ti) for d, i, s, e, _ in segs for td, ti, ts, te, _ in turns if td == d and min(e, te) > max(s, ts))
+
+
 RANGE_SCHEMA = ("lo bigint, hi bigint, country_code string, country_name string, city string, "
                 "latitude double, longitude double")
 
@@ -334,6 +358,64 @@ def failing():
     return run
 
 
+def test_thousands_of_rules(spark):
+    many = [dict(rule=f"r{i}", string_id=f"s{i}", pattern=f"needle{i}x", nocase=i % 2 == 0, severity="Low",
+                 literal=f"needle{i}" if i % 3 else None) for i in range(3000)]
+    df = spark.createDataFrame([(1, "é needle2999x NEEDLE2998X needle7x needle7x NEEDLE7X"), (2, None), (3, " ")],
+                               "id int, t string")
+    hits = rules.rule_hits(df, {"s": "t"}, ["id"], many)
+    assert rows(hits, "id", "rule", "n_strings") == [(1, "r2998", 1), (1, "r2999", 1), (1, "r7", 2)]
+    assert rows(rules.rule_counts(df, {"s": "t"}, ["id"], many), "id", "rule", "n_strings") == [
+        (1, "r2998", 1), (1, "r2999", 1), (1, "r7", 2)]
+    flat = rules.rule_offsets(hits, ["id"]).filter("rule = 'r7'")
+    assert rows(flat, "offset", "data") == [(27, "needle7x"), (36, "needle7x")]
+
+
+def test_a_failing_batch_is_halved():
+    calls = []
+
+    def model(texts):
+        calls.append(len(texts))
+        if "bad" in texts:
+            raise ValueError("no")
+        return [t.upper() for t in texts]
+
+    texts = [f"t{i}" for i in range(1023)] + ["bad"]
+    out, errors = infer._guarded(model, texts)
+    assert out == [t.upper() for t in texts[:-1]] + [None]
+    assert errors[:-1] == [None] * 1023 and errors[-1] == "ValueError: no" and len(calls) == 21
+
+
+def test_one_detector_and_one_model_pass(spark):
+    from lingotally.plans import batch, translate
+
+    docs = spark.createDataFrame([(1, "der hund", "de", 0.9), (2, "the dog", "en", 0.9)],
+                                 "doc_id int, text string, language string, confidence double")
+    docs = docs.withColumns({"dialect": F.lit(None).cast("string"), "dialect_confidence": F.lit(None).cast("double")})
+    # a Python detector in front of the translation runs once: the model is the only Python node left
+    @F.pandas_udf("string")
+    def spoken(texts: pd.Series) -> pd.Series:
+        return pd.Series(["de" if t.startswith("der") else "en" for t in texts])
+
+    judged = docs.withColumn("language", spoken("text"))
+    done = translate.translate_documents(judged, infer.tagging_model("en"), "en")
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "ArrowEvalPython" not in plan
+    assert rows(done, "doc_id", "translated_text") == [(1, "[en] der hund")]
+
+    @F.pandas_udf("struct<language:string,score:long,runner_up:long>")
+    def detect(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"language": ["de"] * len(texts), "score": [9] * len(texts), "runner_up": [1] * len(texts)})
+
+    files = spark.createDataFrame([("/a.txt", "audio", 9, "der hund", "", None)],
+                                  "file_path string, kind string, length bigint, text string, "
+                                  "upstream_language string, error string")
+    results = batch.run_batch(files, detect, infer.tagging_model("en"), "en").results
+    plan = results._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "ArrowEvalPython" not in plan
+    assert rows(results, "translated_text") == [("[en] der hund",)]
+
+
 def test_infer_distinct(spark):
     texts = ["abc"] * 200 + ["bad one", "xyz", "none", "", None, " "]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
