@@ -20,18 +20,23 @@ WATERMARK = "10 minutes"
 
 
 def live_chunks(samples: DataFrame, length: str = "3 seconds", watermark: str = WATERMARK,
-                source: str = "source_id", value: str = "value", ts: str = "ts") -> DataFrame:
+                source: str = "source_id", value: str = "value", ts: str = "ts",
+                full: int | None = None) -> DataFrame:
     """RMS and sample count per source and fixed window; works on streams and on tables.
 
+    ``full`` is the number of samples of a whole chunk: chunks with fewer, such as the last one of
+    a recording that stopped, are left out.
+
     Samples combine before the shuffle, so a source with most of the rows sends one row per
     window and task. Event time is cast to a UTC timestamp, as a watermark requires.
     """
     timed = samples.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
     v = F.col(value)
-    return timed.groupBy(F.window(ts, length), F.col(source)).agg(
+    chunks = timed.groupBy(F.window(ts, length), F.col(source)).agg(
         F.sqrt(F.avg(v * v)).alias("rms"), F.count("*").alias("n_samples")
     ).select(source, F.col("window.start").alias("chunk_start"),
              F.col("window.end").alias("chunk_end"), "rms", "n_samples")
+    return chunks if full is None else chunks.filter(F.col("n_samples") >= full)
 
 
 def drop_silence(chunks: DataFrame, threshold: float = SILENCE_RMS) -> DataFrame:

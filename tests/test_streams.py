@@ -135,3 +135,11 @@ def test_durable_cuts_lineage(spark):
     df = session.durable(spark.range(10).withColumn("x", F.col("id") * 2))
     assert df.count() == 10 and "Range" not in df._jdf.queryExecution().toString().split("Physical")[1]
     assert session.work_dir(spark, "w") != session.work_dir(spark, "w")
+
+
+def test_last_partial_chunk_can_be_left_out(spark):
+    """Three samples a second for seven seconds: two whole chunks of nine samples, one of three."""
+    df = spark.range(21).select(F.lit("s").alias("source_id"), F.lit(1.0).alias("value"),
+                                F.timestamp_millis(F.floor(F.col("id") * 1000 / 3).cast("bigint")).alias("ts"))
+    assert [r.n_samples for r in live.live_chunks(df).orderBy("chunk_start").collect()] == [9, 9, 3]
+    assert [r.n_samples for r in live.live_chunks(df, full=9).orderBy("chunk_start").collect()] == [9, 9]
