@@ -21,16 +21,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lingotally.functions.binding import let
-from lingotally.llm.common import lower_ascii
+from lingotally.llm.common import lower_ascii, runs
 from lingotally.operators.sizes import broadcast_if_small
 
 N = 10
 RAREST = 3
-TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # between words, in lower-cased text
 
 
 def terms(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(text), F.lit(TERM), F.lit(0))
+    return runs(lower_ascii(text), GAP)
 
 
 def windows(items: DataFrame, item_id: str = "item_id", text: str = "text", n: int = N) -> DataFrame:

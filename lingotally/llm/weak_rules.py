@@ -18,7 +18,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lingotally.llm.common import WORD, whole
+from lingotally.llm.common import SPACE, UPPER, WORD, char_count, whole, words
 
 ROUNDS = 12
 KEEP = 0.5
@@ -41,7 +41,7 @@ def _repeat_words(words: Column) -> Column:
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the measures, each named ``_q_<measure>``, to every row."""
     t = whole(F.col(text))
-    d = docs.withColumn(f"{P}words", F.regexp_extract_all(t, F.lit(WORD), F.lit(0)))
+    d = docs.withColumn(f"{P}words", words(t))
     w = F.col(f"{P}words")
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))
     d = d.withColumn(f"{P}lines", lines).withColumn(f"{P}grams", _repeat_words(w))
@@ -60,12 +60,12 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     d = d.select(
         *keep,
         F.size(w).cast("bigint").alias(f"{P}n_words"),
-        (F.length(t) - count(r"[\x20\x09-\x0D]")).cast("bigint").alias(f"{P}word_chars"),
+        (F.length(t) - char_count(t, SPACE)).alias(f"{P}word_chars"),
         count(r"[#*$%&|<>]").alias(f"{P}n_symbols"),
         F.size(f"{P}lines").cast("bigint").alias(f"{P}n_lines"),
         (F.size(f"{P}lines") - F.size(F.array_distinct(f"{P}lines"))).cast("bigint").alias(f"{P}n_dup_lines"),
         covered.cast("bigint").alias(f"{P}n_repeat_words"),
-        count(r"[A-Z]").alias(f"{P}n_upper"),
+        char_count(t, UPPER).alias(f"{P}n_upper"),
         count(r"[!?]").alias(f"{P}n_marks"),
         count(r"[0-9]").alias(f"{P}n_digits"),
         count(r"[.,;:](?=[\x20\x09-\x0D]|$)").alias(f"{P}n_stops"),
