@@ -27,6 +27,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 KINDS = ("assign", "access", "hex", "guess")
 MIN_GUESSES = 10.0  # log10
 SEGMENT_COST = math.log10(2.0)
+FAR = 64  # longer repeats and walks end where their run ends, which keeps very long values linear
 
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -58,12 +59,23 @@ def _steps() -> set[str]:
 STEPS = _steps()
 
 
+def _run_ends(linked: list[bool]) -> list[int]:
+    """End of the run at every place; ``linked[i]``: places i and i + 1 belong together."""
+    ends = list(range(1, len(linked) + 2))
+    for i in range(len(linked) - 1, -1, -1):
+        if linked[i]:
+            ends[i] = ends[i + 1]
+    return ends
+
+
 def guess_cost(value: str, ranks: dict[str, int] | None = None) -> float:
     """log10 of the guesses for the cheapest segmentation of ``value``."""
     ranks = {w: i + 1 for i, w in enumerate(WORDS)} if ranks is None else ranks
     longest = max(map(len, ranks), default=0)
     low, n = value.lower(), len(value)
     best, brute = [0.0] + [math.inf] * n, [math.inf] * (n + 1)
+    same = _run_ends([a == b for a, b in zip(value, value[1:])])
+    walk = _run_ends([low[i:i + 2] in STEPS for i in range(n - 1)])  # keyboard walks and alphabet runs
 
     def offer(i: int, j: int, cost: float) -> None:
         best[j] = min(best[j], best[i] + cost + SEGMENT_COST)
@@ -81,16 +93,11 @@ def guess_cost(value: str, ranks: dict[str, int] | None = None) -> float:
         m = DATE.match(value, i)
         if m:
             offer(i, m.end(), math.log10(365 * 120) if m.end() - i > 4 else math.log10(120))
-        j = i + 1
-        while j < n and value[j] == c:  # repeats
-            j += 1
-            if j - i >= 3:
-                offer(i, j, math.log10(size * (j - i)))
-        j = i + 1
-        while j < n and low[j - 1:j + 1] in STEPS:  # keyboard walks and alphabet runs
-            j += 1
-            if j - i >= 3:
-                offer(i, j, math.log10(2 * len(STEPS) * (j - i)))
+        for ends, choices in ((same, size), (walk, 2 * len(STEPS))):
+            stop = ends[i]
+            for j in (*range(i + 3, min(stop, i + FAR)), stop):
+                if j - i >= 3:
+                    offer(i, j, math.log10(choices * (j - i)))
         best[i + 1] = min(best[i + 1], brute[i + 1])
     return best[n]
 

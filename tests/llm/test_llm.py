@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -210,6 +211,15 @@ def test_secrets(spark, sf, docs, odd):
     assert [k for k, _, _ in found] == [3]
 
 
+def test_guess_cost_of_very_long_values():
+    began = time.time()
+    for value in ("a" * 300_000, "é" * 300_000, "qwertyuiop" * 20_000):
+        secrets.guess_cost(value)
+    assert time.time() - began < 60
+    assert secrets.guess_cost("z" * 100_000) < 8
+    assert secrets.guess_cost("") == 0.0
+
+
 def test_quality_measures(spark, sf, docs):
     text = dict(docs)
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
