@@ -3,14 +3,15 @@
 A restaurant per preceding word seats that word's followers; all of them share one parent, whose
 customers are their tables; the parent's base is uniform over the vocabulary and one unknown word.
 Seating is sampled by Gibbs sweeps of the Chinese restaurant process (a customer opens a table with
-chance (strength + discount * tables) * parent chance against count - discount * own tables), several
-sweeps are averaged, and a text scores the sum of log10 predictive probabilities of its tokens.
+chance (strength + discount * tables) * parent chance against count - discount * own tables), the table
+counts of several sweeps are averaged, and a text scores the sum of log10 predictive probabilities of its
+tokens under these averages (not the average of one prediction per sweep).
 
 Counts and restaurants never become rows. Blocks of documents report their distinct words and pairs
 with training counts as packed keys. Pairs meet in the cells of a grid (preceding word x word), so that
-neither a frequent context nor a frequent word fills one cell; a cell sees a share of a context's
-followers and scales that share up where a sweep needs the context's tables. Sums per context and per
-word go on to the buckets of words, which seat the parent and answer the blocks. Contexts and words of
+neither a frequent context nor a frequent word fills one cell; a cell of one of ``cols`` columns sees
+that share of a context's followers, and its parent is normalised over these words alone, so the share's
+tables, and the same share of the strength, weigh against it. Sums per context and per word go on to the buckets of words, which seat the parent and answer the blocks. Contexts and words of
 pairs are 32-bit hashes, word counts use 64 bits. The model grows with the corpus; the driver holds none.
 
 Normalisation is exact whatever was sampled: what a context's followers do not hold goes to the parent.
@@ -149,9 +150,9 @@ def model_scores(docs: DataFrame, training: Column, doc_id: str = "doc_id", text
             t = np.ones(len(used))
             kept = np.zeros(len(used))
             for sweep in range(sweeps):
-                context = np.bincount(uu, t, len(us)) * cols
+                context = np.bincount(uu, t, len(us))
                 parent = (np.bincount(ww, t, len(ws)) + 0.5) / (t.sum() + 0.5 * len(ws))
-                t = seat(own, (strength + discount * context[uu]) * parent[ww], rng, discount)
+                t = seat(own, (strength / cols + discount * context[uu]) * parent[ww], rng, discount)
                 if sweep >= burn_in:
                     kept += t / (sweeps - burn_in)
             tables[used] = kept

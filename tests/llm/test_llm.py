@@ -435,3 +435,14 @@ def test_pipeline_stages_take_odd_rows(spark, sf, odd):
         assert stage(spark, odd.limit(0), sf).count() == 0, name
     near = corpus_pipeline.near_dedup(spark, odd, sf)
     assert sorted((r.doc_id for r in near.collect()), key=repr) == sorted([1, 4, 5, 8, 9, None], key=repr)
+def test_pitman_yor_scores_do_not_depend_on_cells(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    held = common.remainder(F.col("doc_id"), 7) == 2
+
+    def per_token(block_bytes):
+        rows = pitman_yor.model_scores(d, ~held, block_bytes=block_bytes).withColumn("h", held).collect()
+        return [sum(r.score for r in rows if r.h == h) / sum(r.n_tokens for r in rows if r.h == h) for h in (0, 1)]
+
+    assert per_token(4_000) == pytest.approx(per_token(1 << 30), abs=0.03)
+
+
