@@ -3,8 +3,9 @@
 Patterns (leftmost, non-overlapping per kind) report ``assign``, ``access`` and ``hex`` spans. Beyond
 them, a value after a credential word gets its guess cost: the cheapest segmentation into dictionary
 words, dates, repeats, keyboard walks and brute-force spans, by dynamic programming over prefixes (after
-Wheeler, 2016). Values that cost ``MIN_GUESSES`` or more and lie outside the pattern spans are reported
-as ``guess``.
+Wheeler, 2016). Values that cost ``MIN_GUESSES`` or more (of letters alone: ``LETTERS_GUESSES``) and lie
+outside the pattern spans are reported as ``guess``. A credential word may follow an underscore, and
+a value may follow ``Bearer`` directly.
 
 Row-local; a text is scanned whole, whatever its length. Offsets are code points, end exclusive.
 
@@ -26,6 +27,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 KINDS = ("assign", "access", "hex", "guess")
 MIN_GUESSES = 10.0  # log10
+LETTERS_GUESSES = 16.0  # for values of letters alone, which prose after a credential word has too
 SEGMENT_COST = math.log10(2.0)
 FAR = 64  # longer repeats and walks end where their run ends, which keeps very long values linear
 
@@ -34,8 +36,9 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CONTEXT = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|(?:access|private|secret)[_-]key|"""
-    r"""credentials?|auth|login|bearer)["']?\s{0,3}(?:is|was|=>|:=|[:=]|->)\s{0,3}["']?([^\s"'<>,;()]{6,})""",
+    r"""(?<![^\W_])(?:(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|(?:access|private|secret)[_-]key|"""
+    r"""credentials?|auth(?:orization)?|login|bearer)["']?\s{0,3}(?:is|was|=>|:=|[:=]|->)\s{0,3}|bearer\s{1,3})"""
+    r"""["']?(?:(?:bearer|basic|token)\s{1,3})?["']?([^\s"'<>,;()]{6,})""",
     re.A | re.I)
 
 # Own short list of frequent words in passwords, most frequent first; callers pass a larger one.
@@ -45,8 +48,25 @@ WORDS = (
     "change changeme default guest demo example sample temp none null true false required optional "
     "value name the and for you with this that from your not new my our is are was were be to of in on at "
     "it or an as by secure private public access account server database system service house river "
-    "green blue black white red dog cat tiger lion eagle apple orange happy lucky money world"
+    "green blue black white red dog cat tiger lion eagle apple orange happy lucky money world "
+    # stems and endings that long words of prose and code are made of
+    "ation ations ition tion sion ing ings ment ments ness less able ably ible ibly ability ibility ibilities "
+    "ance ence ent ant ive ively ical ically ally ity ities ous ously ful fully ship hood ism ist ists ize ized "
+    "izing ization ise ised isation ify ified ification ated ating ator ators ically ologies ology ological graph "
+    "graphy graphic inter intra trans super under over counter multi micro macro extra hyper pseudo semi anti auto "
+    "auth authentic author config configur commun char character crypt encrypt decrypt respons respond represent "
+    "require recommend communic compre compreh hens conven consider consequ constit construct institut instruct "
+    "struct distribut distinguish differen environ establish experi express identif inform implement independ "
+    "industr intellig interest interna nation national know ledge manage manufactur mathemat measure necess "
+    "object occasion opera organ partic particular perform person philosoph photo physic polit possib potent "
+    "practic prefer present princip proced process produc profess program psych publish qualif quest reason refer "
+    "regist regular relation religi resist retriev revol satisf scien sequen signif simil special stand standard "
+    "substan success suffic syst techn temper tempor theor tradit transform transport understand univers "
+    "valid variab verif vulner work shop share holder holders place holder string number credential file field "
+    "function method return request response client session cookie store storage manager handler provider "
+    "factory builder helper context current update create delete get set has can will should would could"
 ).split()
+RANKS = {w: i + 1 for i, w in enumerate(dict.fromkeys(WORDS))}
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz", "yxcvbnm", "azertyuiop")
 DATE = re.compile(r"(?:(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?"
                   r"|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d)")
@@ -70,7 +90,7 @@ def _run_ends(linked: list[bool]) -> list[int]:
 
 def guess_cost(value: str, ranks: dict[str, int] | None = None) -> float:
     """log10 of the guesses for the cheapest segmentation of ``value``."""
-    ranks = {w: i + 1 for i, w in enumerate(WORDS)} if ranks is None else ranks
+    ranks = RANKS if ranks is None else ranks
     longest = max(map(len, ranks), default=0)
     low, n = value.lower(), len(value)
     best, brute = [0.0] + [math.inf] * n, [math.inf] * (n + 1)
@@ -102,10 +122,9 @@ def guess_cost(value: str, ranks: dict[str, int] | None = None) -> float:
     return best[n]
 
 
-def _mixed(value: str) -> bool:
-    """At least two of letters, digits and other characters: prose after a credential word is not."""
-    return (any(c.isalpha() for c in value) + any(c.isdigit() for c in value)
-            + any(not c.isalnum() for c in value.strip(".!?"))) >= 2
+def least_guesses(value: str, min_guesses: float) -> float:
+    """Guess cost from which ``value`` is a secret: prose after a credential word is of letters alone."""
+    return max(min_guesses, LETTERS_GUESSES) if value.isalpha() else min_guesses
 
 
 def find_spans(text: str | None, ranks: dict[str, int] | None = None,
@@ -122,8 +141,8 @@ def find_spans(text: str | None, ranks: dict[str, int] | None = None,
         a, b = m.span(1)
         value = m.group(1).rstrip(".!?:")
         b = a + len(value)
-        if b - a >= 6 and _mixed(value) and not any(x < b and a < y for x, y in inside):
-            if guess_cost(value, ranks) >= min_guesses:
+        if b - a >= 6 and not any(x < b and a < y for x, y in inside):
+            if guess_cost(value, ranks) >= least_guesses(value, min_guesses):
                 found.append((3, a, b))
     return sorted(found, key=lambda s: (s[1], s[0], s[2]))
 

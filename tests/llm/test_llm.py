@@ -211,6 +211,18 @@ def test_secrets(spark, sf, docs, odd):
     assert [k for k, _, _ in found] == [3]
 
 
+@pytest.mark.parametrize("text, value", [
+    ("DB_PASSWORD=xK9$vQ2!mZ7p", "xK9$vQ2!mZ7p"), ("DB_PASS=xK9vQ2mZ7pLw", "xK9vQ2mZ7pLw"),
+    ('SMTP_PWD: "xK9vQ2mZ7pLw"', "xK9vQ2mZ7pLw"), ("Authorization: Bearer xK9vQ2mZ7pLwAA", "xK9vQ2mZ7pLwAA"),
+    ('"Authorization": "Bearer xK9vQ2mZ7pLwAA"', "xK9vQ2mZ7pLwAA"), ("pwd = kjhzqwvxbtnmrp", "kjhzqwvxbtnmrp"),
+    ("login: 83910472650192", "83910472650192"),
+    ("the secret is responsibilities", None), ("token is representation", None), ("compass is kjhzqwvxbtnmrp", None),
+    ("bearer shareholders", None), ("pwd = 11111111111111", None)])
+def test_credential_contexts(text, value):
+    found = [(k, text[a:b]) for k, a, b in secrets.find_spans(text)]
+    assert found == ([(3, value)] if value else [])
+
+
 def test_guess_cost_of_very_long_values():
     began = time.time()
     for value in ("a" * 300_000, "é" * 300_000, "qwertyuiop" * 20_000):
