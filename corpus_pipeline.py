@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each stage's rows as
 Parquet in the shared folder and rereads them as the next one's input, so a lost executor costs at most
-one stage. Stages 1 to 3 drop rows, stage 4 rewrites texts, stage 5 adds how many words to take. All
+one stage. Stages 1 to 3 drop rows, stage 4 rewrites texts, stage 5 adds what the mix takes of every
+row (``mixed_text``, null where nothing); ``mixing.mixture`` of its rows is the training corpus. All
 stages take null texts (empty), null sources, repeated rows, empty tables and extra columns.
 """
 
@@ -43,7 +44,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with the words the mix takes of each."""
+    """All rows with the words the mix takes of each: how many, where, and written out in ``mixed_text``."""
     ready(spark)
     return mixing.mix_documents(docs)
 

@@ -7,7 +7,9 @@
    blocks to sources (votes: targets) and, within each source, to its shards (votes: their tokens).
 3. A shard is the stream of its documents in seeded order, cut into equal blocks. Whole passes come
    first; of the last pass, the quota's rest is spread evenly over the blocks from a seeded phase.
-   What a document gives follows from running sums, so blocks never become rows.
+   What a document gives follows from running sums, so blocks never become rows: ``passes`` whole copies
+   of it and, of the last pass, the word ranges ``spans`` (start, end exclusive), whose lengths make
+   ``taken``. ``mixed_text`` writes them out.
 
 Documents are dealt to shards by id, so a source with any share of the rows is spread over shards of
 bounded size. The only unpartitioned window runs over the table of sources.
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lingotally.llm import common
 from lingotally.llm.common import word_count
 from lingotally.operators.sizes import broadcast_if_small
 
@@ -30,6 +33,7 @@ EPOCHS = 2
 BLOCK = 16
 SHARD_DOCS = 2_000
 SEED = 17
+MADE = ("size", "source_size", "target", "taken", "passes", "spans", "mixed_text")
 
 
 def token_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -39,15 +43,37 @@ def token_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                        word_count(F.col(text)).alias("size"))
 
 
+def mixed_text(text: Column, passes: Column, spans: Column) -> Column:
+    """Text the mix takes of a document: whole copies as they are, then the words of each span, one per line.
+
+    It has ``taken`` words; null where the mix takes none.
+    """
+    own = common.words(text)
+    cut = F.transform(spans, lambda s: F.array_join(F.slice(own, s["start"] + 1, s["end"] - s["start"]), " "))
+    whole = F.array_repeat(common.whole(text), passes.cast("int"))
+    parts = F.concat(F.when(F.size(own) > 0, whole).otherwise(F.array().cast("array<string>")), cut)
+    return F.when(F.size(parts) > 0, F.array_join(parts, "\n"))
+
+
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """All rows and columns of ``docs`` with size, source_size, target and taken (replacing such columns)."""
-    made = ("size", "source_size", "target", "taken")
-    rest = [c for c in docs.columns if c not in (*made, "doc_id", "source")]
+    """All rows and columns of ``docs`` with size, source_size, target, taken, passes, spans and mixed_text
+    (replacing such columns)."""
+    rest = [c for c in docs.columns if c not in (*MADE, "doc_id", "source")]
     packed = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
                          *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(rest)])
     out = mix(packed, carry=tuple(f"_c{i}" for i in range(len(rest))), **options)
     back = {c: F.col(f"_c{i}") for i, c in enumerate(rest)}
-    return out.select(*[back[c].alias(c) if c in back else F.col(c) for c in docs.columns if c not in made], *made)
+    return out.select(
+        *[back[c].alias(c) if c in back else F.col(c) for c in docs.columns if c not in MADE],
+        *MADE[:-1], mixed_text(back["text"], F.col("passes"), F.col("spans")).alias("mixed_text"))
+
+
+def mixture(mixed: DataFrame) -> DataFrame:
+    """The mix itself, from rows of ``mix_documents``: their own columns, texts as the mix takes them, rows
+    that give nothing left out. A length column ``n_chars``, if any, is renewed."""
+    new = {"text": F.col("mixed_text"), "n_chars": F.length("mixed_text").cast("bigint")}
+    return mixed.filter("taken > 0").select(
+        *[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in mixed.columns if c not in MADE])
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE,
@@ -101,7 +127,7 @@ def sainte_lague(cells: DataFrame, group: list[str], votes: str, seats: str,
 def mix(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS,
         block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: int = SEED,
         carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken (tokens the mix takes, repeats counted).
+    """doc_id, size, source, source_size, target, taken (tokens the mix takes, repeats counted), passes, spans.
 
     ``carry``: further columns of ``sizes`` to keep.
 
@@ -134,12 +160,17 @@ def mix(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = E
         """Blocks chosen among the first ``j``."""
         return F.floor((j * F.col("_rest") + F.col("_phase")) / F.col("_n")).cast("bigint")
 
-    def tokens(x: Column) -> Column:
-        """Tokens chosen among the first ``x`` of the shard."""
-        j = F.floor(x / block).cast("bigint")
-        return chosen(j) * block + (x - j * block) * (chosen(j + 1) - chosen(j))
-
+    # of the last pass: the part of each chosen block that lies in the document
     end, start = F.col("_end"), F.col("_end") - F.col("size")
-    taken = F.col("_full") * F.col("size") + tokens(end) - tokens(start)
-    return d.select("doc_id", "size", "source", "source_size", "target", taken.cast("bigint").alias("taken"),
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    first, last = F.floor(start / block).cast("bigint"), F.floor((end - 1) / block).cast("bigint")
+    picked = F.filter(F.sequence(first, last), lambda j: chosen(j + 1) > chosen(j))
+    spans = F.transform(picked, lambda j: F.struct(
+        (F.greatest(j * block, start) - start).cast("int").alias("start"),
+        (F.least((j + 1) * block, end) - start).cast("int").alias("end")))
+    d = d.withColumn("passes", F.col("_full").cast("bigint")).withColumn(
+        "spans", F.when((F.col("size") > 0) & (F.col("_rest") > 0), spans).otherwise(none))
+    taken = F.col("passes") * F.col("size") + F.aggregate(
+        "spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return d.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), "passes", "spans",
                     *[F.col(f"`{c}`") for c in carry])

@@ -299,6 +299,28 @@ def test_mixing(spark, sf, shard_docs):
     assert all(abs(taken[s] - target[s]) <= 2 * mixing.BLOCK * n_shards for s in size)
 
 
+@pytest.mark.parametrize("table", ["given", "odd"])
+def test_mixed_texts_hold_the_taken_words(spark, sf, odd, table):
+    docs = spark.read.parquet(f"{sf}/documents.parquet") if table == "given" else odd
+    mixed = mixing.mix_documents(docs)
+    rows = mixed.collect()
+    for r in rows:
+        w = words(r.text)
+        want = w * r.passes + [x for s in r.spans for x in w[s.start:s.end]]
+        assert words(r.mixed_text) == want and len(want) == r.taken and (r.mixed_text is None) == (not want)
+        assert all(0 <= s.start < s.end <= len(w) for s in r.spans)
+    out = mixing.mixture(mixed)
+    got = out.collect()
+    assert out.columns == [c for c in docs.columns if c not in mixing.MADE]
+    assert len(got) == sum(r.taken > 0 for r in rows) and all(r.n_chars == len(r.text) for r in got)
+    share, target = Counter(), {}
+    for r in got:
+        share[r.source] += len(words(r.text))
+    for r in rows:
+        target[r.source] = r.target
+    assert all(abs(share[s] - t) <= 2 * mixing.BLOCK for s, t in target.items())
+
+
 def test_mixing_odd_rows(odd):
     out = mixing.mix_documents(odd).collect()
     assert len(out) == len(ROWS) and all(0 <= r.taken <= 2 * r.size for r in out)
