@@ -12,7 +12,8 @@
    ``taken``. ``mixed_text`` writes them out.
 
 Documents are dealt to shards by id, so a source with any share of the rows is spread over shards of
-bounded size. The only unpartitioned window runs over the table of sources.
+bounded size. Quotas pass down a tree: source, groups of ``GROUP_SHARDS`` shards, shards; so no window
+ranks all shards of a hot source. The only unpartitioned window runs over the table of sources.
 
 Defined results: a null source is a source of its own (last); null or empty texts have size 0 and
 give 0; a source without tokens has target 0; repeated rows count each time; an empty table gives an
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lingotally.functions.binding import let
 from lingotally.llm import common
 from lingotally.llm.common import word_count
 from lingotally.operators.sizes import broadcast_if_small
@@ -32,6 +34,7 @@ SHARE = 1.5
 EPOCHS = 2
 BLOCK = 16
 SHARD_DOCS = 2_000
+GROUP_SHARDS = 1_024
 SEED = 17
 MADE = ("size", "source_size", "target", "taken", "passes", "spans", "mixed_text")
 
@@ -48,20 +51,23 @@ def mixed_text(text: Column, passes: Column, spans: Column) -> Column:
 
     It has ``taken`` words; null where the mix takes none.
     """
-    own = common.words(text)
-    cut = F.transform(spans, lambda s: F.array_join(F.slice(own, s["start"] + 1, s["end"] - s["start"]), " "))
-    whole = F.array_repeat(common.whole(text), passes.cast("int"))
-    parts = F.concat(F.when(F.size(own) > 0, whole).otherwise(F.array().cast("array<string>")), cut)
-    return F.when(F.size(parts) > 0, F.array_join(parts, "\n"))
+    copies = F.array_repeat(common.whole(text), passes.cast("int"))
+
+    def parts(own: Column) -> Column:  # the words are split once, however many spans there are
+        cut = F.transform(spans, lambda s: F.array_join(F.slice(own, s["start"] + 1, s["end"] - s["start"]), " "))
+        return F.concat(F.when(F.size(own) > 0, copies).otherwise(F.array().cast("array<string>")), cut)
+
+    return let(let(common.words(text), parts), lambda x: F.when(F.size(x) > 0, F.array_join(x, "\n")))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """All rows and columns of ``docs`` with size, source_size, target, taken, passes, spans and mixed_text
-    (replacing such columns)."""
+    (replacing such columns). Texts are read twice: to count words, and to be cut; in between only sizes are used."""
     rest = [c for c in docs.columns if c not in (*MADE, "doc_id", "source")]
+    sizes = token_sizes(docs).checkpoint(eager=True)
     packed = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
                          *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(rest)])
-    out = mix(packed, carry=tuple(f"_c{i}" for i in range(len(rest))), **options)
+    out = mix(sizes, rows=packed, carry=tuple(f"_c{i}" for i in range(len(rest))), **options)
     back = {c: F.col(f"_c{i}") for i, c in enumerate(rest)}
     return out.select(
         *[back[c].alias(c) if c in back else F.col(c) for c in docs.columns if c not in MADE],
@@ -126,33 +132,42 @@ def sainte_lague(cells: DataFrame, group: list[str], votes: str, seats: str,
 
 def mix(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS,
         block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: int = SEED,
-        carry: tuple[str, ...] = ()) -> DataFrame:
+        rows: DataFrame | None = None, carry: tuple[str, ...] = (), group_shards: int = GROUP_SHARDS) -> DataFrame:
     """doc_id, size, source, source_size, target, taken (tokens the mix takes, repeats counted), passes, spans.
 
-    ``carry``: further columns of ``sizes`` to keep.
-
-    ``sizes`` (doc_id, source, size) is read several times: pass a stored table.
+    ``sizes`` (doc_id, source, size) is read several times: pass a stored table. ``rows``: the same rows
+    with further columns ``carry`` to keep; read once.
     """
     targets = source_targets(sizes, weights, share, epochs).withColumn(
         "_seats_all", F.round(F.sum("target").over(Window.partitionBy()) / block).cast("bigint")
-    ).withColumn("_all", F.lit(1))
+    ).withColumn("_all", F.lit(1)).checkpoint(eager=True)
     targets = sainte_lague(targets, ["_all"], "target", "_seats_all", ["source"], "_seats").withColumn(
         "_shards", F.ceil(F.col("n_docs") / shard_docs).cast("bigint"))
-    targets = targets.select(F.col("source").alias("_source"), "source_size", "target", "_seats", "_shards")
+    targets = targets.select(
+        F.col("source").alias("_source"), "source_size", "target", "_seats", "_shards").checkpoint(eager=True)
     small = broadcast_if_small(targets)
-    d = sizes.join(small, F.col("source").eqNullSafe(F.col("_source")), "inner")
-    d = d.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("_shards")))
-    cells = d.groupBy("_source", "_shard", "_seats").agg(F.sum("size").alias("_tokens"))
-    cells = sainte_lague(cells, ["_source"], "_tokens", "_seats", ["_shard"], "_quota")
+    shard = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("_shards"))
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.join(small, F.col("source").eqNullSafe(F.col("_source")), "inner").withColumn("_shard", shard)
+
+    cells = dealt(sizes).groupBy("_source", "_shard", "_seats").agg(F.sum("size").alias("_tokens"))
+    cells = cells.withColumn("_group", F.floor(F.col("_shard") / group_shards)).checkpoint(eager=True)
+    groups = cells.groupBy("_source", "_group", "_seats").agg(F.sum("_tokens").alias("_votes"))
+    groups = sainte_lague(groups, ["_source"], "_votes", "_seats", ["_group"], "_own").select(
+        F.col("_source").alias("_gs"), F.col("_group").alias("_gg"), "_own")
+    cells = cells.join(groups, F.col("_source").eqNullSafe(F.col("_gs")) & (F.col("_group") == F.col("_gg")))
+    cells = cells.select("_source", "_shard", "_group", "_tokens", "_own").checkpoint(eager=True)
+    cells = sainte_lague(cells, ["_source", "_group"], "_tokens", "_own", ["_shard"], "_quota")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("_tokens") / block)).cast("bigint")
     cells = cells.select(F.col("_source").alias("_cs"), F.col("_shard").alias("_ch"), "_tokens", "_quota",
                          blocks.alias("_n")).withColumn(
         "_full", F.least(F.floor(F.col("_quota") / F.col("_n")), F.lit(epochs))).withColumn(
         "_rest", F.when(F.col("_full") < epochs, F.col("_quota") % F.col("_n")).otherwise(0)).withColumn(
-        "_phase", F.pmod(F.xxhash64(F.lit(seed), "_cs", "_ch"), F.col("_n")))
+        "_phase", F.pmod(F.xxhash64(F.lit(seed), "_cs", "_ch"), F.col("_n"))).checkpoint(eager=True)
     run = Window.partitionBy("_source", "_shard").orderBy(
         F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_end", F.sum("size").over(run))
+    d = dealt(sizes if rows is None else rows).withColumn("_end", F.sum("size").over(run))
     d = d.join(broadcast_if_small(cells),
                F.col("_source").eqNullSafe(F.col("_cs")) & (F.col("_shard") == F.col("_ch")), "left")
 

@@ -321,6 +321,35 @@ def test_mixed_texts_hold_the_taken_words(spark, sf, odd, table):
     assert all(abs(share[s] - t) <= 2 * mixing.BLOCK for s, t in target.items())
 
 
+def test_mixing_cost_grows_with_the_text(spark):
+    """Eight times the words in one text: linear work, not one split of the text per span."""
+    def seconds(n):
+        text = " ".join(f"w{i % 977}" for i in range(n))
+        df = spark.createDataFrame([(1, text, "a"), (2, "x " * 10 * n, "b")], "doc_id bigint, text string, source string")
+        began = time.time()
+        assert mixing.mix_documents(df, share=0.1).count() == 2
+        row = mixing.mix_documents(df, share=0.1).filter("doc_id = 1").first()
+        assert len(words(row.mixed_text)) == row.taken > 0 and len(row.spans) > n // 40
+        return time.time() - began
+
+    seconds(1000)
+    small, large = seconds(8000), seconds(64000)
+    assert large <= 4 * small + 3
+
+
+@pytest.mark.parametrize("group_shards", [1, 3])
+def test_mixing_through_groups_of_shards(spark, sf, group_shards):
+    sizes = mixing.token_sizes(spark.read.parquet(f"{sf}/documents.parquet")).checkpoint()
+    rows = mixing.mix(sizes, shard_docs=5, group_shards=group_shards).collect()
+    taken, target = Counter(), {}
+    for r in rows:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert 0 <= r.taken <= 2 * r.size
+    n_shards = Counter(r.source for r in rows)
+    assert all(abs(taken[s] - target[s]) <= 2 * mixing.BLOCK * (n_shards[s] // 5 + 2) for s in target)
+
+
 def test_mixing_odd_rows(odd):
     out = mixing.mix_documents(odd).collect()
     assert len(out) == len(ROWS) and all(0 <= r.taken <= 2 * r.size for r in out)
@@ -478,5 +507,8 @@ def test_pipeline_stages_take_odd_rows(spark, sf, odd):
     for name, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, odd, sf).columns == odd.columns, name
         assert stage(spark, odd.limit(0), sf).count() == 0, name
+    name, last = corpus_pipeline.STAGES[4]
+    assert set(odd.columns) <= set(last(spark, odd, sf).columns) and last(spark, odd, sf).count() == len(ROWS), name
+    assert last(spark, odd.limit(0), sf).count() == 0, name
     near = corpus_pipeline.near_dedup(spark, odd, sf)
     assert sorted((r.doc_id for r in near.collect()), key=repr) == sorted([1, 4, 5, 8, 9, None], key=repr)
