@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lingotally import session
+from lingotally.functions.binding import let
 from lingotally.llm import (
-    common, decontaminate, gam, mixing, pitman_yor, secrets, simhash, spans_langid, suffix_dedup,
-    weak_rules, window_dedup,
+    common, decontaminate, gam, importance, mixing, periodic_runs, piece_bpe, pitman_yor, secrets, simhash,
+    spans_langid, suffix_dedup, weak_rules, window_dedup,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +165,80 @@ def op4(spark, sf):
     held = common.remainder(F.col("doc_id"), 7) == 2
     return pitman_yor.model_scores(d, ~held).select(
         "doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+OP11_SQL = r"""
+WITH tbl AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i:
+  CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+dw AS (SELECT doc_id, unnest(w) AS word FROM d), bw AS (SELECT unnest(w) AS word FROM b),
+hexed AS (SELECT word, hex(word) AS x FROM (SELECT word FROM dw UNION SELECT word FROM bw)),
+coded AS (SELECT word, list_transform(range(length(x) // 2), lambda i:
+  CAST(16 * (strpos('0123456789ABCDEF', x[2 * i + 1]) - 1) + strpos('0123456789ABCDEF', x[2 * i + 2]) - 1 AS BIGINT)) AS bytes
+  FROM hexed),
+hashed AS (SELECT word, xor(list_reduce(bytes, lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1]),
+  CAST(4294967295 AS BIGINT)), 4294967295) % 10000 AS bucket FROM coded, tbl),
+s AS (SELECT bucket, count(*) AS n FROM dw JOIN hashed USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM bw JOIN hashed USING (word) GROUP BY bucket),
+total AS (SELECT (SELECT count(*) FROM dw) AS s, (SELECT count(*) FROM bw) AS t),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1e0) * (total.s + 1e4)
+  / ((s.n + 1e0) * (total.t + 1e4)))) AS BIGINT) AS g FROM s LEFT JOIN t USING (bucket), total),
+weights AS (SELECT doc_id, sum(g) AS weight FROM dw JOIN hashed USING (word) JOIN gain USING (bucket) GROUP BY doc_id),
+noise AS (SELECT doc_id, len(w) AS n, (list_reduce(list_transform(range(1, 9), lambda i: CAST(strpos('0123456789abcdef',
+  sha256('2024:' || doc_id)[i]) - 1 AS BIGINT)), lambda a, c: 16 * a + c) + 0.5e0) / 4294967296e0 AS u FROM d),
+scored AS (SELECT doc_id, CAST(n AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+  CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln(u))) AS BIGINT) AS score FROM noise LEFT JOIN weights USING (doc_id)),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n
+  FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank
+FROM scored LEFT JOIN placed USING (doc_id)
+"""
+
+
+@query("op11_importance_resampling", OP11_SQL)
+def op11(spark, sf):
+    """Importance weights of all documents towards the benchmark, and the ranks of the drawn tenth."""
+    drawn = importance.resample(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def planted(doc_id: Column, text: Column) -> Column:
+    """Texts of which a tenth, by crc32 of the id, repeat from a word on with a period."""
+    h = F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")))
+    g = F.floor(h / 10)
+
+    def repeat(w: Column) -> Column:
+        a = (g % F.size(w)).cast("int")
+        p = (1 + F.floor((F.size(w) - a) / (3 + g % 8))).cast("int")
+        return F.array_join(F.transform(w, lambda x, i: F.when(i >= a, F.get(w, a + (i - a) % p)).otherwise(x)), " ")
+
+    return F.when((h % 10 == 0) & text.rlike(common.WORD), let(common.words(text), repeat)).otherwise(text)
+
+
+@query("op12_periodic_runs")
+def op12(spark, sf):
+    """Runs of words that repeat with a period in every document."""
+    d = documents(spark, sf).select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text"))
+    d = periodic_runs.periodic_runs(d).withColumn("best", periodic_runs.strongest(F.col("runs")))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    best = F.col("best")
+    return d.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), best["start"].alias("start"),
+        best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).cast("bigint").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op13_sentencepiece")
+def op13(spark, sf):
+    """SentencePiece ids of every document, and the text they decode to."""
+    import public_tokenizers
+
+    made = piece_bpe.token_text(public_tokenizers.path("piece_bpe_32k.model"))
+    d = documents(spark, sf).select("doc_id", made(F.col("text")).alias("made"))
+    return d.select("doc_id", F.col("made.n_tokens").alias("n_tokens"), F.sha2("made.ids_text", 256).alias("ids_sha256"),
+                    F.sha2("made.decoded", 256).alias("decoded_sha256"))
