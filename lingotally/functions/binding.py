@@ -14,3 +14,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     shared by construction.
     """
     return F.transform(F.array(value), body)[0]
+
+
+def free_prefix(columns: list[str], stem: str = "_") -> str:
+    """A prefix that no column begins with, for working columns beside a user's own (names ignore case)."""
+    while any(c.lower().startswith(stem) for c in columns):
+        stem += "_"
+    return stem

@@ -78,6 +78,60 @@ def geo_lookup(spark, sf):
     return geo.geo_lookup(_addresses(spark, sf), _ranges(spark, sf)).drop("asn", "org")
 
 
+V6_SLICE, V6_USED = 40, 30  # blocks of 2a00::/16 per nation, and how many of them its range covers
+
+
+def _addresses_v6(spark, sf):
+    """Both families: every third event has an IPv6 address in one of 1024 blocks."""
+    e = F.col("event_id")
+
+    def h(c):
+        return F.lower(F.hex(c))
+
+    v6 = F.concat(F.lit("2a00:"), h(F.col("user_id") % 1024), F.lit("::"), h(F.floor(e / 65536)), F.lit(":"), h(e % 65536))
+    return _addresses(spark, sf).join(
+        table(spark, sf, "events").select("event_id", "user_id"), "event_id").select(
+        "event_id", F.when(e % 3 == 0, v6).otherwise(F.col("ip")).alias("ip"))
+
+
+def _ranges_v6(spark, sf):
+    k = F.col("n_nationkey")
+
+    def block(c, fill):
+        return F.rpad(F.concat(F.lit("2a00"), F.lpad(F.lower(F.hex(c)), 4, "0")), 32, fill)
+
+    return table(spark, sf, "nation").select(
+        block(k * V6_SLICE, "0").alias("lo"), block(k * V6_SLICE + V6_USED - 1, "f").alias("hi"),
+        F.upper(F.substring("n_name", 1, 2)).alias("country_code"), F.col("n_name").alias("country_name"),
+        F.concat(F.lit("six-"), k.cast("string")).alias("city"), (k * 1.5).alias("latitude"), (k * -2.5).alias("longitude"))
+
+
+@query("geo_lookup_v6", f"""WITH {SQL_ADDR}, {SQL_RANGES},
+ six AS (SELECT event_id, printf('%x', user_id % 1024) AS a, user_id % 1024 AS block, printf('%x', event_id // 65536) AS b,
+  printf('%x', event_id % 65536) AS c FROM events WHERE event_id % 3 = 0),
+ n6 AS (SELECT n_nationkey * {V6_SLICE} AS lo, n_nationkey * {V6_SLICE} + {V6_USED} - 1 AS hi,
+  upper(substring(n_name, 1, 2)) AS country_code, n_name AS country_name, 'six-' || n_nationkey AS city,
+  n_nationkey * 1.5 AS latitude, n_nationkey * -2.5 AS longitude FROM nation)
+ SELECT event_id, '2a00:' || a || '::' || b || ':' || c AS ip, false AS is_private, country_code, country_name, city,
+ CAST(latitude AS DOUBLE) AS latitude, CAST(longitude AS DOUBLE) AS longitude, CAST(NULL AS VARCHAR) AS error
+ FROM six LEFT JOIN n6 ON block BETWEEN lo AND hi
+ UNION ALL SELECT event_id, ip, is_private, country_code, country_name, city, CAST(latitude AS DOUBLE),
+ CAST(longitude AS DOUBLE), CASE WHEN NOT valid THEN 'not a valid IP address' END
+ FROM priv LEFT JOIN ranges ON NOT is_private AND n BETWEEN lo AND hi WHERE event_id % 3 <> 0""")
+def geo_lookup_v6(spark, sf):
+    """Addresses of both families, looked up in one pass."""
+    return geo.geo_lookup(_addresses_v6(spark, sf), _ranges(spark, sf), _ranges_v6(spark, sf)).drop("asn", "org")
+
+
+@query("geo_lookup_merged", f"""WITH {SQL_ADDR}, {SQL_RANGES} SELECT event_id, ip, is_private,
+ country_code, city, CASE WHEN NOT valid THEN 'not a valid IP address' END AS error
+ FROM priv LEFT JOIN ranges ON NOT is_private AND n BETWEEN lo AND hi""")
+def geo_lookup_merged(spark, sf):
+    """The way of tables beyond the bound of the index: a sorted merge of ranges and distinct addresses."""
+    found = geo.geo_lookup(_addresses(spark, sf), _ranges(spark, sf), index_bytes=0)
+    return found.drop("asn", "org", "country_name", "latitude", "longitude")
+
+
 @query("geo_country_counts", f"""WITH {SQL_ADDR}, {SQL_RANGES}
  SELECT coalesce(country_name, CASE WHEN NOT valid THEN 'invalid' WHEN is_private THEN 'private'
  ELSE 'unknown' END) AS place, count(*) AS n_events FROM priv

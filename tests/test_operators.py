@@ -97,9 +97,9 @@ RANGE_SCHEMA = ("lo bigint, hi bigint, country_code string, country_name string,
                 "latitude double, longitude double")
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_geo_lookup(spark, monkeypatch, small):
-    if not small:
+@pytest.mark.parametrize("index_bytes", [geo.INDEX_BYTES, 0])
+def test_geo_lookup(spark, monkeypatch, index_bytes):
+    if not index_bytes:
         monkeypatch.setattr(geo, "broadcast_if_small", lambda df: df)
     block = (8 << 24) + (8 << 16)
     ranges = spark.createDataFrame(
@@ -110,7 +110,7 @@ def test_geo_lookup(spark, monkeypatch, small):
         RANGE_SCHEMA.replace("lo bigint, hi bigint", "lo string, hi string"))
     ips = ["8.8.0.0", "8.10.255.255", "8.11.0.0", "8.11.0.1", "10.0.0.1", "bad", "2001:db8::1",
            "2002::1", "fe80::1"] + ["8.8.8.8"] * 50
-    got = geo.geo_lookup(spark.createDataFrame([(i,) for i in ips], "ip string"), ranges, v6)
+    got = geo.geo_lookup(spark.createDataFrame([(i,) for i in ips], "ip string"), ranges, v6, index_bytes=index_bytes)
     by_ip = {}
     for r in got.collect():
         by_ip.setdefault(r.ip, []).append(r)
