@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lingotally import refdata as R
+from lingotally import refdata as R, session
 from lingotally.functions import dialect as D
 from lingotally.operators import infer, langid, segments as G
 from lingotally.plans import translate as P
@@ -12,7 +12,7 @@ from lingotally.plans.catalogue.langid import SQL_PROFILE, SQL_SAMPLE, profile_o
 from lingotally.plans.catalogue.registry import SQL_WS, TARGET, documents, query, table
 from lingotally.plans.catalogue.scripts import PLANT, SQL_SCORES
 from lingotally.sources import readers, writers
-from lingotally.streaming import live, progress, runner
+from lingotally.streaming import live, progress, runner, stateful
 
 SQL_CHUNKS = """chunks AS (SELECT user_id AS source_id, CAST(epoch(date_trunc('hour', ts)) AS BIGINT)
  AS chunk_start, sqrt(avg(value * value)) AS rms, count(*) AS n_samples FROM events GROUP BY ALL)"""
@@ -44,6 +44,12 @@ def live_chunks_stream(spark, sf):
     return _flat(runner.run_available(live.live_chunks(stream, "1 hour"), "complete", "chunks"))
 
 
+@query("live_chunks_full", LIVE + " WHERE n_samples >= 2")
+def live_chunks_full(spark, sf):
+    """Chunks with fewer samples than a whole one are left out."""
+    return _flat(live.live_chunks(_samples(table(spark, sf, "events")), "1 hour", full=2))
+
+
 @query("live_silence", LIVE + " WHERE rms >= 40.0")
 def live_silence(spark, sf):
     chunks = live.live_chunks(_samples(table(spark, sf, "events")), "1 hour")
@@ -200,7 +206,8 @@ SQL_PLANTED = f"""pl AS (SELECT doc_id, lang, {PLANT} AS text FROM documents),
  len(l) AS n FROM pl JOIN dv USING (doc_id) JOIN us USING (doc_id))"""
 
 
-def _run_events(spark, sf):
+def _translated(spark, sf):
+    """Documents with language and dialect, their sentences, and the foreign ones translated."""
     d = documents(spark, sf, "text", "lang").select(
         "doc_id", F.expr(PLANT).alias("text"),
         F.when(F.col("doc_id") % 3 == 0, "ar").otherwise(F.col("lang")).alias("language"),
@@ -212,7 +219,11 @@ def _run_events(spark, sf):
     ).drop("d")
     units = P.sentence_units(docs, ["doc_id"])
     foreign = units.join(docs.filter(F.col("language") != TARGET).select("doc_id"), "doc_id", "left_semi")
-    segs = P.translate_segments(foreign, infer.tagging_model(TARGET), ["doc_id"])
+    return docs, units, P.translate_segments(foreign, infer.tagging_model(TARGET), ["doc_id"])
+
+
+def _run_events(spark, sf):
+    docs, units, segs = _translated(spark, sf)
     return P.run_events(docs, segs, TARGET, units=units)
 
 
@@ -229,13 +240,95 @@ def run_events(spark, sf):
     )
 
 
-@query("event_lines", f"""WITH {SQL_SCORES}, {SQL_PLANTED} SELECT '{{"doc_id":' || doc_id ||
- ',"stage":3,"index":0,"type":"complete","total_segments":' || CASE WHEN language <> '{TARGET}' THEN n
- ELSE 0 END || ',"machine_translation_notice":"{R.MT_NOTICE}"}}' AS value FROM rn""")
+SQL_EVENTS = f"""{SQL_SCORES}, {SQL_PLANTED}, rv AS (SELECT rn.*, dv.confidence, CASE
+  WHEN rn.dialect = 'Egyptian' AND dv.confidence >= 0.70 THEN 'NllbEgyptian'
+  WHEN rn.dialect = 'Levantine' AND dv.confidence >= 0.65 THEN 'NllbLevantine'
+  WHEN rn.dialect = 'Iraqi' AND dv.confidence >= 0.65 THEN 'NllbIraqi' ELSE 'NllbDefault' END AS route
+  FROM rn JOIN dv USING (doc_id)),
+ un AS (SELECT doc_id, i, trim(l[i + 1], {SQL_WS}) AS t FROM (SELECT doc_id, l, unnest(range(len(l))) AS i
+  FROM us JOIN rn USING (doc_id) WHERE language <> '{TARGET}')),
+ ev AS (SELECT doc_id, 0 AS stage, CAST(0 AS BIGINT) AS "index", 'dialect' AS type, dialect, NULL AS route, confidence,
+  NULL AS original, NULL AS translated, NULL AS is_complete, NULL AS total_segments, NULL AS notice
+  FROM rv WHERE language = 'ar' AND dialect <> 'Unknown'
+ UNION ALL SELECT doc_id, 1, 0, 'dialect_routing', dialect, route, confidence, NULL, NULL, NULL, NULL, NULL
+  FROM rv WHERE language = 'ar'
+ UNION ALL SELECT doc_id, 2, i, 'segment', NULL, NULL, NULL, t, '[{TARGET}] ' || t, true, NULL, NULL FROM un
+ UNION ALL SELECT doc_id, 3, 0, 'complete', NULL, NULL, NULL, NULL, NULL, NULL,
+  CASE WHEN language <> '{TARGET}' THEN n ELSE 0 END, '{R.MT_NOTICE}' FROM rv)"""
+
+
+@query("event_lines", f"""WITH {SQL_EVENTS} SELECT '{{"doc_id":' || doc_id || ',"stage":' || stage || ',"index":' ||
+ "index" || ',"type":"' || type || '"' || CASE type
+ WHEN 'dialect' THEN ',"dialect":"' || dialect || '","confidence":' || to_json(confidence)
+ WHEN 'dialect_routing' THEN ',"dialect":"' || dialect || '","route":"' || route || '","confidence":' || to_json(confidence)
+ WHEN 'segment' THEN ',"original":' || to_json(original) || ',"translated":' || to_json(translated) || ',"is_complete":true'
+ ELSE ',"total_segments":' || total_segments || ',"machine_translation_notice":"' || notice || '"' END || '}}' AS value
+ FROM ev""")
 def event_lines(spark, sf):
-    e = _run_events(spark, sf).filter("type = 'complete'")
-    return writers.event_lines(e, ["doc_id", "stage", "index", "type", "original", "total_segments",
-                                   "machine_translation_notice"])
+    """Lines of all event types with all their fields."""
+    return writers.event_lines(_run_events(spark, sf), [
+        "doc_id", "stage", "index", "type", "dialect", "route", "confidence", "original", "translated", "message",
+        "is_complete", "total_segments", "machine_translation_notice"])
+
+
+@query("segment_stream", f"""WITH {SQL_EVENTS} SELECT doc_id, CASE WHEN stage = 2 THEN "index" ELSE total_segments END
+ AS sent, stage, "index", type, original, translated, CAST(NULL AS VARCHAR) AS message, is_complete,
+ CAST(total_segments AS BIGINT) AS total_segments, notice AS machine_translation_notice FROM ev WHERE stage >= 2""")
+def segment_stream(spark, sf):
+    """Sentences that arrive in micro-batches in any order, released in order of index; ``complete`` last."""
+    docs, units, segs = _translated(spark, sf)
+    foreign = F.col("language") != TARGET
+    totals = docs.join(units.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").select(
+        "doc_id", F.when(foreign, F.coalesce("n", F.lit(0))).otherwise(0).alias("total_segments"))
+    folder = session.work_dir(stateful.stateful(spark), "segments")
+    rows = stateful.segment_rows(segs, totals)
+    rows.repartition(6, F.xxhash64("doc_id", "index")).write.parquet(folder)
+    return runner.run_available(
+        stateful.segment_stream(runner.file_stream(spark, folder, "*.parquet", 2)), "append", "segment_events")
+
+
+SESSION_GAP, SESSION_DELAY = 6 * 3600 * 1000, 10_000
+
+
+@query("session_events_stream", f"""WITH c AS (SELECT user_id AS session_id, epoch_us(ts) // 1000 AS ms, event_id, event_type,
+  epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS pause FROM events),
+ k AS (SELECT *, sum(CASE WHEN pause IS NULL OR pause > {SESSION_GAP} THEN 1 ELSE 0 END) OVER (
+  PARTITION BY session_id ORDER BY ms, event_id) AS no FROM c),
+ s AS (SELECT session_id, min(ms) AS started_ms, max(ms) AS last, count(*) AS n_chunks, max(event_id) + 1 AS total_chunks,
+  (max(event_id) + 1) * 3000 AS duration_ms, count(*) FILTER (WHERE event_type = 'error') AS n_errors,
+  coalesce(arg_max(event_type, event_id) FILTER (WHERE event_type <> 'error'), '—') AS last_language
+  FROM k GROUP BY session_id, no)
+ SELECT session_id, 'live_started' AS type, started_ms, started_ms AS at_ms, NULL AS n_chunks, NULL AS total_chunks,
+  NULL AS duration_ms, NULL AS n_errors, NULL AS last_language FROM s
+ UNION ALL SELECT session_id, 'live_stopped', started_ms, last + {SESSION_GAP}, n_chunks, total_chunks, duration_ms,
+  n_errors, last_language FROM s
+  WHERE last + {SESSION_GAP} + 1 <= (SELECT max(epoch_us(ts) // 1000) FROM events) - {SESSION_DELAY}""")
+def session_events_stream(spark, sf):
+    """Sessions of a stream that a timer ends after hours of silence; those still open at its end have no stop."""
+    e = runner.file_stream(stateful.stateful(spark), sf, "events.parquet")
+    bad = F.col("event_type") == "error"
+    chunks = e.select(
+        F.col("user_id").alias("session_id"), "ts", F.col("event_id").alias("chunk_idx"),
+        F.when(~bad, F.col("event_type")).alias("language"), F.when(bad, "chunk failed").alias("error"))
+    return runner.run_available(
+        stateful.live_sessions(chunks, gap_ms=SESSION_GAP, delay=f"{SESSION_DELAY} milliseconds"), "append", "session_events")
+
+
+@query("run_progress_stream", """WITH log AS (SELECT user_id % 3 AS run_id, event_id, '/f/' || user_id AS path, value,
+  event_type = 'error' AND event_id % 3 = 0 AS bad FROM events WHERE event_type NOT IN ('signup', 'click'))
+ SELECT run_id, count(*) FILTER (WHERE NOT bad) AS processed, count(*) FILTER (WHERE bad) AS errors,
+ count(*) FILTER (WHERE NOT bad AND value > 50) AS foreign_files,
+ count(*) FILTER (WHERE NOT bad AND value > 75) AS translated_files,
+ array_to_string(list(path ORDER BY event_id)[-8:], ',') AS recent FROM log GROUP BY 1""")
+def run_progress_stream(spark, sf):
+    """Counters and the last eight paths of every run, kept per run in the state store."""
+    from lingotally.plans.catalogue.review import file_log
+
+    folder = session.work_dir(stateful.stateful(spark), "file_log")
+    file_log(spark, sf).repartition(4, "seq").write.parquet(folder)
+    stream = stateful.run_progress(runner.file_stream(spark, folder, "*.parquet", 1))
+    newest = runner.run_available(stream, "update", "run_progress", ["run_id"])
+    return newest.withColumn("recent", F.array_join("recent", ","))
 
 
 @query("batch_progress", """SELECT user_id % 3 AS run_id, count(*) FILTER (WHERE done AND NOT bad)

@@ -40,8 +40,10 @@ def progress_snapshot(path: str, run: str = "run_id", seq: str = "seq", keep: in
     counters = ["processed", "errors", "foreign_files", "translated_files"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        done = batch.filter("type = 'done'")
-        fresh = batch_progress(done, run).join(last_paths(done, run, seq, keep), run)
+        done = batch.filter("type = 'done'").persist()  # read for the counters and for the paths
+        paths = last_paths(done, run, seq, keep).withColumnRenamed(run, "_run")
+        fresh = batch_progress(done, run)
+        fresh = fresh.join(paths, F.col(run).eqNullSafe(F.col("_run"))).drop("_run")
         if batch_id > 0:
             before = batch.sparkSession.read.parquet(f"{path}/batch={batch_id - 1}")
             fresh = fresh.unionByName(before.select(*fresh.columns))
@@ -60,6 +62,7 @@ def progress_snapshot(path: str, run: str = "run_id", seq: str = "seq", keep: in
             "elapsed_seconds": F.lit(elapsed).cast("double"),
             "complete": F.lit(False),
         }).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        done.unpersist()
 
     return write
 
@@ -92,8 +95,10 @@ def until_end(events: DataFrame, run: str = "run_id", seq: str = "seq") -> DataF
     ends = events.filter(F.col("type").isin(TERMINAL)).groupBy(run).agg(
         F.min(seq).alias("_end")
     )
-    cut = events.join(ends, run, "left")  # adaptive execution knows how many runs have ended
-    return cut.filter(F.col("_end").isNull() | (F.col(seq) <= F.col("_end"))).drop("_end")
+    ends = ends.withColumnRenamed(run, "_run")
+    # adaptive execution knows how many runs have ended; a null run is a run of its own
+    cut = events.join(ends, F.col(run).eqNullSafe(F.col("_run")), "left")
+    return cut.filter(F.col("_end").isNull() | (F.col(seq) <= F.col("_end"))).drop("_end", "_run")
 
 
 def follow_sink(path: str, run: str = "run_id", seq: str = "seq") -> Callable[[DataFrame, int], None]:
@@ -108,9 +113,10 @@ def follow_sink(path: str, run: str = "run_id", seq: str = "seq") -> Callable[[D
             first = ends.groupBy(run).agg(F.min("_end").alias("_end"))
             first.write.mode("overwrite").parquet(f"{path}/ends/batch={batch_id}")
             stored = batch.sparkSession.read.parquet(f"{path}/ends/batch={batch_id}")
-            cut = kept.join(broadcast_if_small(stored), run, "left")
+            stored = stored.withColumnRenamed(run, "_run")
+            cut = kept.join(broadcast_if_small(stored), F.col(run).eqNullSafe(F.col("_run")), "left")
             open_yet = F.col("_end").isNull() | (F.col(seq) <= F.col("_end"))
-            cut.filter(open_yet).drop("_end").write.mode("overwrite").parquet(
+            cut.filter(open_yet).drop("_end", "_run").write.mode("overwrite").parquet(
                 f"{path}/events/batch={batch_id}"
             )
         finally:

@@ -251,14 +251,13 @@ def session_log(chunks: DataFrame, session: str = "session_id", ts: str = "ts",
 
 # ---- progress of runs --------------------------------------------------------------------------
 
-TTL_MS = 7 * 24 * 3600 * 1000
 COUNTERS = ["processed", "errors", "foreign_files", "translated_files"]
 
 
 class _Ring(StatefulProcessor):
-    """Counters and the last paths of a run; both are forgotten after a time without news."""
+    """Counters and the last paths of a run; both are forgotten after a time without news, if one is given."""
 
-    def __init__(self, keep: int, ttl_ms: int, names: list[str]):
+    def __init__(self, keep: int, ttl_ms: int | None, names: list[str]):
         self.size, self.ttl, self.names = keep, ttl_ms, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -291,16 +290,18 @@ class _Ring(StatefulProcessor):
         pass
 
 
-def run_progress(events: DataFrame, run: str = "run_id", keep: int = 8, ttl_ms: int = TTL_MS) -> DataFrame:
+def run_progress(events: DataFrame, run: str = "run_id", keep: int = 8, ttl_ms: int | None = None) -> DataFrame:
     """Counters and last ``keep`` paths (oldest first) of every run that a micro-batch touches, in update mode.
 
     ``events``: run, seq, path, type, error, is_foreign, translated; only ``done`` events count. Each run keeps its
     counters and a ring of ``keep`` paths, so a batch costs its own rows and not the number of runs. A null run is
-    a run of its own. State of runs without news for ``ttl_ms`` goes away.
+    a run of its own. State of runs without news for ``ttl_ms`` goes away; as that runs on the clock, such a query
+    makes a batch at every trigger, with or without rows, and never ends by itself.
     """
     failed = F.nullif(F.col("error"), F.lit(""))
     own = events.filter("type = 'done'").select(
         run, F.col("seq").cast("bigint"), "path", failed.alias("error"), "is_foreign", "translated")
     made = ", ".join(f"{c} bigint" for c in COUNTERS) + ", recent array<string>"
     return own.groupBy(run).transformWithState(
-        _Ring(keep, ttl_ms, [run, *_names(made)]), _schema(events, run, made), "Update", "ProcessingTime")
+        _Ring(keep, ttl_ms, [run, *_names(made)]), _schema(events, run, made), "Update",
+        "None" if ttl_ms is None else "ProcessingTime")

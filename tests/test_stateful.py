@@ -166,8 +166,10 @@ def test_progress_keeps_null_runs_and_flat_cost(spark, tmp_path):
         F.when(F.col("id") % 5 == 0, "bad").when(F.col("id") % 5 == 1, "").alias("error"),
         (F.col("id") % 2 == 0).alias("is_foreign"), (F.col("id") % 4 == 0).alias("translated"))
     as_files(events, str(tmp_path / "in"), n, "seq")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
     out = str(tmp_path / "out")
     q = run(stateful.run_progress(runner.file_stream(spark, str(tmp_path / "in"), "*.parquet", 1)), out, "update")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
     took = [p["durationMs"]["triggerExecution"] for p in q.recentProgress if p["numInputRows"]]
     assert len(took) >= 40
     early, late = sorted(took[2:12])[5], sorted(took[-10:])[5]
@@ -192,10 +194,20 @@ def test_idle_runs_are_forgotten(spark, tmp_path):
 
     def send(i):
         spark.createDataFrame([(i, "a", f"/{i}", "done", None, True, False)], schema).coalesce(1).write.mode("append").parquet(folder)
-        run(stateful.run_progress(runner.file_stream(spark, folder, "*.parquet"), ttl_ms=3000), out, "update")
 
     send(1)
-    time.sleep(4)
-    send(2)
-    got = spark.read.parquet(out).orderBy("batch").collect()
-    assert [list(r.recent) for r in got][-1] == ["/2"] and got[-1].processed == 1
+    seen = []
+    rows = stateful.run_progress(runner.file_stream(spark, folder, "*.parquet"), ttl_ms=3000)
+    q = (rows.writeStream.outputMode("update").option("checkpointLocation", f"{out}-ck").trigger(processingTime="1 second")
+         .foreachBatch(lambda batch, _: seen.extend(batch.collect())).start())
+    try:
+        until = time.time() + 60
+        while time.time() < until and not seen:
+            time.sleep(1)
+        time.sleep(5)
+        send(2)
+        while time.time() < until and len(seen) < 2:
+            time.sleep(1)
+    finally:
+        q.stop()
+    assert [list(r.recent) for r in seen] == [["/1"], ["/2"]] and seen[-1].processed == 1
