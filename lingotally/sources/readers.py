@@ -1,13 +1,16 @@
 """Readers: file trees, text corpora, lists, subtitles, flags, event logs, reference tables.
 
-Spark hides files whose names start with ``_`` or ``.``; such files are not listed.
+``scan_tree`` lists every file; the readers of texts are Spark's own, which leave out names that start with ``_``
+or ``.``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lingotally.functions import kinds, net, text as X
+from lingotally.operators.sizes import broadcast_if_small
+from lingotally.sources import tree
 
 EVENT_TYPES = ["segment", "dialect", "code_switch", "complete", "error"]
 EVENT_SCHEMA = (
@@ -17,8 +20,6 @@ EVENT_SCHEMA = (
     "`to` string, total_segments bigint, duration_ms bigint, message string, "
     "machine_translation_notice string"
 )
-# Largest file whose content the binary reader takes; longer ones would fail the job.
-MAX_CONTENT = 2**31 - 1 - 64
 SUBTITLE_GLOB = "*.{[sS][rR][tT],[vV][tT][tT]}"
 FLAG_SCHEMA = (
     "flags array<struct<filePath:string,file_path:string,segmentIndex:bigint,segment_index:bigint,"
@@ -27,24 +28,17 @@ FLAG_SCHEMA = (
 )
 
 
-def scan_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below ``root``: path, length, modificationTime and content.
+def scan_tree(spark: SparkSession, root: str, head: int = 0) -> DataFrame:
+    """Every file below ``root``, hidden ones too, symbolic links left out: path, length, modificationTime, and with
+    ``head`` the first bytes of each. Filters on path and length are made before a file is opened."""
+    return tree.load_tree(spark, root, head)
 
-    ``content`` is read only if a later step uses it; a filter on ``length`` or
-    ``modificationTime`` skips files without opening them.
-    """
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-
-
-def read_heads(files: DataFrame, n: int = 16, max_bytes: int = MAX_CONTENT) -> DataFrame:
-    """Replace the content by its first bytes; write the result out to sniff each file once.
 
-    Files above ``max_bytes`` cannot be a cell: they are never opened and have a null head.
-    """
-    opened = files.filter(F.col("length") <= max_bytes).withColumn("head", F.substring("content", 1, n))
-    rest = files.filter(F.col("length") > max_bytes).drop("content").withColumn(
-        "head", F.lit(None).cast("binary"))
-    return opened.drop("content").unionByName(rest)
+def read_heads(files: DataFrame, n: int = 16) -> DataFrame:
+    """The first ``n`` bytes of every file, whatever its length; only these are read. Null if it cannot be opened."""
+    if "head" in files.columns:
+        return files.withColumn("head", F.substring("head", 1, n))
+    return tree.with_heads(files, n)
 
 
 def sniff_kinds(files: DataFrame) -> DataFrame:
@@ -84,12 +78,21 @@ def parse_labelled_values(df: DataFrame, line: str = "value") -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with file and line number; whole files are read, so list files must fit a row."""
-    body = spark.read.text(path, wholetext=True)
-    return body.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.posexplode(F.split("value", "\r?\n")).alias("_p", "value"),
-    ).select("path", (F.col("_p") + 1).alias("line_no"), "value")
+    """path, line_no, value of every line of list files of any size.
+
+    Files are read in splits. A first pass counts the lines of every split, running sums over a file's splits give
+    the number each begins with, and the second pass adds a line's place in its split: no file is ever one row, and
+    only one row per split is shuffled.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", "\r$", "").alias("value"))
+    splits = lines.groupBy("path", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    begins = splits.select(F.col("path").alias("_p"), F.col("_block").alias("_b"), "_first",
+                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = lines.join(broadcast_if_small(begins), (F.col("path") == F.col("_p")) & (F.col("_block") == F.col("_b")))
+    return numbered.select("path", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "value")
 
 
 def scan_labelled_values(spark: SparkSession, path: str, numbered: bool = True) -> DataFrame:
