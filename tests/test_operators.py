@@ -1,6 +1,7 @@
 """Operators on small fixtures, against brute force where SQL is not the natural check."""
 
 import random
+import time
 import sys
 
 import pandas as pd
@@ -65,6 +66,8 @@ def test_attach_speaker_against_brute_force(spark, width):
     tdf = spark.createDataFrame([(*x, f"S{x[1] % 5}") for x in turns], TURN_SCHEMA)
     got = rows(intervals.attach_speaker(sdf, tdf, width=width), "doc_id", "seg_idx", "speaker_id")
     assert got == sorted(want)
+    swept = intervals.attach_speaker(sdf, tdf, width=width, crowd=0)
+    assert rows(swept, "doc_id", "seg_idx", "speaker_id") == sorted(want)
     talk = {(r.doc_id, r.speaker_id): r.talk_ms for r in intervals.talk_time(sdf, tdf).collect()}
     brute = {}
     for d, i, s, e in segs:
@@ -86,13 +89,50 @@ def test_long_and_extreme_intervals(spark):
         over = [(min(e, te) - max(s, ts), -ti, n) for td, ti, ts, te, n in turns if td == d and min(e, te) > max(s, ts)]
         want.append((d, i, max(over)[2] if over else "UNKNOWN"))
     sdf, tdf = spark.createDataFrame(segs, SEG_SCHEMA), spark.createDataFrame(turns, TURN_SCHEMA)
-    assert rows(intervals.attach_speaker(sdf, tdf), "doc_id", "seg_idx", "speaker_id") == sorted(want)
+    for crowd in (intervals.CROWD, 0):
+        assert rows(intervals.attach_speaker(sdf, tdf, crowd=crowd), "doc_id", "seg_idx", "speaker_id") == sorted(want)
     pairs = intervals.overlaps(sdf.select("doc_id", "seg_idx", "start_ms", "end_ms"), tdf)
     found = [(r.seg_idx, r.turn_idx) for r in pairs.collect()]
     assert sorted(found) == sorted(
         (i, ti) for d, i, s, e, _ in segs for td, ti, ts, te, _ in turns if td == d and min(e, te) > max(s, ts))
 
 
+def test_sweep_against_brute_force():
+    rnd = random.Random(5)
+    for _ in range(300):
+        high = rnd.choice([6, 40, 1000])
+        turns = []
+        for i in rnd.sample(range(1000), rnd.randint(0, 25)):
+            a = rnd.randrange(high)
+            turns.append((a, a + rnd.randint(1, high), i))
+        spans = [(a, a + rnd.randint(1, high)) for a in (rnd.randrange(high) for _ in range(25))]
+        for (s, e), got in zip(spans, intervals.best_turns(spans, turns)):
+            all_of = [(min(e, te) - max(s, ts), -i) for ts, te, i in turns if min(e, te) > max(s, ts)]
+            assert got == ((max(all_of)[0], -max(all_of)[1]) if all_of else None)
+
+
+def test_a_crowded_minute_costs_n_log_n(spark):
+    """10^5 turns and as many segments of one document inside one minute."""
+    n = 100_000
+    r = F.col("id")
+    spans = spark.range(n).select(
+        F.lit("d").alias("doc_id"), r.cast("int").alias("n"), F.pmod(F.xxhash64(r), F.lit(60_000)).alias("start_ms"),
+        (F.pmod(F.xxhash64(r), F.lit(60_000)) + 1 + F.pmod(F.xxhash64(r, F.lit(1)), F.lit(700))).alias("end_ms"))
+    turns = spans.withColumnRenamed("n", "turn_idx").withColumn("speaker_id", F.concat(F.lit("S"), F.col("turn_idx") % 97))
+    segs = spark.range(n).select(
+        F.lit("d").alias("doc_id"), r.cast("int").alias("seg_idx"), F.pmod(F.xxhash64(r, F.lit(2)), F.lit(60_000)).alias("start_ms"),
+        (F.pmod(F.xxhash64(r, F.lit(2)), F.lit(60_000)) + 1 + F.pmod(F.xxhash64(r, F.lit(3)), F.lit(700))).alias("end_ms"),
+        F.lit("t").alias("text"))
+    began = time.time()
+    got = {x.seg_idx: x for x in intervals.attach_speaker(segs, turns).collect()}
+    assert len(got) == n and time.time() - began < 120
+    table = [tuple(x) for x in turns.select("start_ms", "end_ms", "turn_idx", "speaker_id").collect()]
+    for i in range(0, n, 2003):
+        s, e = got[i].start_ms, got[i].end_ms
+        want = max(((min(e, te) - max(s, ts), -k, who) for ts, te, k, who in table if min(e, te) > max(s, ts)), default=None)
+        assert got[i].speaker_id == (want[2] if want else "UNKNOWN")
+
+
 RANGE_SCHEMA = ("lo bigint, hi bigint, country_code string, country_name string, city string, "
                 "latitude double, longitude double")
 
