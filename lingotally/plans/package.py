@@ -13,12 +13,16 @@ from lingotally.sources import writers
 def build_package(batch: BatchPlan, digests: DataFrame, out: str, source: str,
                   flags: DataFrame | None = None, segments: DataFrame | None = None,
                   facts: dict[str, str] | None = None, notice: str = R.MT_NOTICE) -> None:
-    """Write every part of a package below ``out``. ``batch.results`` should be a stored table."""
+    """Write every part of a package below ``out``. ``batch.results`` should be a stored table.
+
+    Translations are files under the manifest's names; ``translation_rows`` has the same as a table.
+    """
     facts = facts or {}
     rows = M.manifest_rows(batch.results, digests, batch.target)
     writers.write_manifest(rows, f"{out}/manifest", source, notice, facts)
     artefacts = writers.translation_text(batch.results, segments, notice)
-    writers.write_translation_text(artefacts, f"{out}/translations", batch.target)
+    writers.write_translation_text(artefacts, f"{out}/translation_rows", batch.target)
+    writers.write_translation_files(writers.translation_parts(batch.results, segments, notice), out, batch.target)
     writers.write_html_fragments(batch.results, f"{out}/report")
     M.custody_facts(batch.counters(), facts).write.mode("overwrite").json(f"{out}/custody")
     if flags is not None:

@@ -8,7 +8,8 @@ from lingotally import refdata as R
 from lingotally.functions import text as X
 from lingotally.operators.filters import assert_notice
 from lingotally.operators.manifest import artefact_name, manifest_header
-from lingotally.operators.segments import ordered_concat
+from lingotally.operators.segments import ordered_concat, ordered_parts
+from lingotally.sources.artefacts import write_artefacts
 
 CSV_COLUMNS = ["file_path", "input_type", "detected_language", "is_foreign", "transcript",
                "translation", "error"]
@@ -82,22 +83,21 @@ def write_html_fragments(results: DataFrame, out: str) -> None:
     ).partitionBy("language_code").text(out)
 
 
-def translation_text(results: DataFrame, segments: DataFrame | None = None,
-                     notice: str = R.MT_NOTICE) -> DataFrame:
-    """Text artefact per translated file: head lines, source, translation, segment lines."""
-    done = results.filter("translated_text is not null")
-    if segments is not None:
-        line = F.concat(
-            F.lit("["), F.col("start_ms").cast("string"), F.lit(" - "),
-            F.col("end_ms").cast("string"), F.lit(" ms] "), F.col("source_text"), F.lit(" → "),
-            F.col("translated_text"), F.lit("\n"),
-        )
-        lines = ordered_concat(segments, ["file_path"], "segment_index", line, "")
-        done = done.join(lines.withColumnRenamed("text", "_lines"), "file_path", "left")
-    else:
-        done = done.withColumn("_lines", F.lit(None).cast("string"))
+def _segment_line() -> Column:
+    return F.concat(
+        F.lit("["), F.col("start_ms").cast("string"), F.lit(" - "),
+        F.col("end_ms").cast("string"), F.lit(" ms] "), F.col("source_text"), F.lit(" → "),
+        F.col("translated_text"), F.lit("\n"),
+    )
+
+
+SEGMENT_HEAD = "\n--- SEGMENTS ---\n"
+
+
+def _artefact_head(done: DataFrame, notice: str) -> tuple[Column, Column]:
+    """Language shown, and head lines, source and translation of an artefact."""
     language = F.coalesce(X.missing_if_empty(F.col("detected_language")), F.lit("(unknown)"))
-    body = F.concat(
+    return language, F.concat(
         F.lit("# Machine translation\n# Source file: "), F.col("file_path"),
         F.lit("\n# Detected language: "), language,
         F.coalesce(F.concat(F.lit("\n# Confidence advisory: "), F.col("confidence_advisory")),
@@ -105,16 +105,49 @@ def translation_text(results: DataFrame, segments: DataFrame | None = None,
         F.lit(f"\n# {notice}\n\n--- SOURCE ---\n"),
         F.coalesce("source_text", F.lit("(no source text)")),
         F.lit("\n\n--- TRANSLATION ---\n"), F.col("translated_text"), F.lit("\n"),
-        F.coalesce(F.concat(F.lit("\n--- SEGMENTS ---\n"), F.col("_lines")), F.lit("")),
     )
+
+
+def translation_text(results: DataFrame, segments: DataFrame | None = None,
+                     notice: str = R.MT_NOTICE) -> DataFrame:
+    """Text artefact per translated file: head lines, source, translation, segment lines."""
+    done = results.filter("translated_text is not null")
+    if segments is not None:
+        lines = ordered_concat(segments, ["file_path"], "segment_index", _segment_line(), "")
+        done = done.join(lines.withColumnRenamed("text", "_lines"), "file_path", "left")
+    else:
+        done = done.withColumn("_lines", F.lit(None).cast("string"))
+    language, head = _artefact_head(done, notice)
+    body = F.concat(head, F.coalesce(F.concat(F.lit(SEGMENT_HEAD), F.col("_lines")), F.lit("")))
     return done.select("file_path", language.alias("language"), body.alias("body"))
 
 
+def translation_parts(results: DataFrame, segments: DataFrame | None = None,
+                      notice: str = R.MT_NOTICE) -> DataFrame:
+    """``translation_text`` in parts (file_path, part, body): head, source and translation first, then the segment
+    lines by thousands, so that no cell grows with the segments of a file."""
+    done = results.filter("translated_text is not null")
+    first = done.select("file_path", F.lit(-2).cast("bigint").alias("part"), _artefact_head(done, notice)[1].alias("body"))
+    if segments is None:
+        return first
+    lines = ordered_parts(segments, ["file_path"], "segment_index", _segment_line(), "").select(
+        "file_path", F.col("part").cast("bigint"), F.col("text").alias("body"))
+    lines = lines.join(done.select("file_path"), "file_path", "left_semi")
+    title = lines.select("file_path").distinct().select(
+        "file_path", F.lit(-1).cast("bigint").alias("part"), F.lit(SEGMENT_HEAD).alias("body"))
+    return first.unionByName(title).unionByName(lines)
+
+
+def write_translation_files(parts: DataFrame, out: str, target: str) -> None:
+    """One text file per artefact below ``out``, under the manifest's ``translation_file``."""
+    write_artefacts(parts.select(artefact_name(F.col("file_path"), target).alias("name"), "part", "body"), out)
+
+
 def write_translation_text(artefacts: DataFrame, out: str, target: str) -> None:
     """JSON rows (translation_file, file_path, body), addressed by the manifest's ``translation_file``.
 
-    A row holds a whole artefact, line breaks included; one object per artefact would be millions of
-    tiny files.
+    A row holds a whole artefact, line breaks included: the form for millions of them, beside
+    ``write_translation_files``.
     """
     named = artefacts.withColumn("translation_file", artefact_name(F.col("file_path"), target))
     named.select("language", "translation_file", "file_path", "body").write.mode(

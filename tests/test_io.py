@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lingotally import refdata as R
 from lingotally.operators import langid, segments as G
 from lingotally.plans import batch, package
-from lingotally.sources import readers, writers
+from lingotally.sources import artefacts, readers, writers
 
 
 @pytest.fixture
@@ -154,9 +154,12 @@ def test_batch_and_package(spark, tmp_path):
     assert man.count() == 7 and man.filter("translated").count() == 2
     head = spark.read.json(out + "/pkg/manifest/header").first()
     assert head.file_count == 7 and head.translated_count == 2 and head.machine_translation_notice
-    bodies = {r.translation_file: r.body for r in spark.read.json(out + "/pkg/translations").collect()}
+    bodies = {r.translation_file: r.body for r in spark.read.json(out + "/pkg/translation_rows").collect()}
     named = {r.original_path: r.translation_file for r in man.filter("translated").collect()}
     assert sorted(bodies) == sorted(named.values()) and len(bodies) == 2
+    # the files of the package are those of its manifest, and no others
+    found = {f"translations/{f.name}": f.read_text() for f in (tmp_path / "out" / "pkg" / "translations").iterdir()}
+    assert found == bodies and not list((tmp_path / "out" / "pkg").glob("_staging*"))
     text = bodies[named["/e/2.txt"]]
     assert "# Source file: /e/2.txt\n" in text
     assert "[0 - 100 ms] der → [en] der\n[100 - 200 ms] hund → [en] hund\n" in text
@@ -184,3 +187,63 @@ def test_html_rows_of_one_language_span_ordered_files(spark, tmp_path):
         files.setdefault(r.f, []).append(r.value)
     assert len(files) > 1 and sum(map(len, files.values())) == 400
     assert all(v == sorted(v) for v in files.values())
+
+
+def listing(folder):
+    return sorted(str(f.relative_to(folder)) for f in folder.rglob("*") if f.is_file())
+
+
+def test_artefacts_are_all_or_none(spark, tmp_path):
+    """A task that fails leaves nothing; repeated and later sets leave exactly their own files."""
+    out = tmp_path / "set"
+    rows = [(f"t/{i % 7}/{i}.txt", p, f"{i}:{p};") for i in range(40) for p in (2, 0, 1)]
+    df = spark.createDataFrame(rows, "name string, part int, body string").repartition(5)
+    bad = df.withColumn("body", F.when(F.col("name") == "t/3/17.txt", F.raise_error(F.lit("broken"))).otherwise(F.col("body")))
+    with pytest.raises(Exception):
+        artefacts.write_artefacts(bad, str(out))
+    assert not out.exists() or listing(out) == []
+    artefacts.write_artefacts(df, f"file:{out}")
+    names = sorted({n for n, _, _ in rows})
+    assert listing(out) == ["_ARTEFACTS", *names] and (out / "_ARTEFACTS").read_text().split() == names
+    assert (out / "t/3/17.txt").read_text() == "17:0;17:1;17:2;"
+    with pytest.raises(Exception):
+        artefacts.write_artefacts(df.limit(3), str(out), overwrite=False)
+    assert listing(out) == ["_ARTEFACTS", *names]
+    (out / "own.txt").write_text("kept")  # a file of somebody else
+    artefacts.write_artefacts(df.filter("name < 't/2'").withColumn("body", F.lit("é")), str(out))
+    left = sorted(n for n in names if n < "t/2")
+    assert listing(out) == sorted(["_ARTEFACTS", "own.txt", *left]) and (out / left[0]).read_text() == "ééé"
+    for name in ("../x.txt", "/x.txt", "", None, "a/../../x"):
+        with pytest.raises(Exception):
+            artefacts.write_artefacts(spark.createDataFrame([(name, 0, "x")], "name string, part int, body string"), str(out))
+    assert listing(out) == sorted(["_ARTEFACTS", "own.txt", *left]) and not list(tmp_path.glob("*.txt"))
+
+
+def test_a_repeated_attempt_does_not_count(tmp_path):
+    """Two attempts of one task wrote files; the message of one comes back."""
+    import pyarrow as pa
+
+    out = tmp_path / "set"
+    w = artefacts.ArtefactWriter(str(out), False)
+    batch = pa.RecordBatch.from_pydict({"name": ["a/x.txt", "a/x.txt", "b.txt"], "part": [0, 1, 0], "body": ["1", "2", None]})
+    first, again = w.write(iter([batch.slice(0, 2)])), w.write(iter([batch]))
+    assert first.folder != again.folder and not (out / "a").exists()
+    w.commit([again, None])
+    assert listing(out) == ["_ARTEFACTS", "a/x.txt", "b.txt"] and (out / "a/x.txt").read_text() == "12"
+    w = artefacts.ArtefactWriter(str(out), True)
+    w.write(iter([batch]))
+    w.abort([None])
+    assert listing(out) == ["_ARTEFACTS", "a/x.txt", "b.txt"]
+
+
+def test_artefact_parts_equal_whole_texts(spark):
+    results = make_plan(spark).results
+    seg = spark.range(9000).select(
+        F.lit("/e/2.txt").alias("file_path"), F.col("id").alias("segment_index"), F.col("id").alias("start_ms"),
+        (F.col("id") + 1).alias("end_ms"), F.lit("a").alias("source_text"), F.lit("b").alias("translated_text"))
+    seg = seg.unionByName(seg.limit(2).withColumn("file_path", F.lit("/e/other")))
+    whole = {r.file_path: r.body for r in writers.translation_text(results, seg).collect()}
+    parts = {}
+    for r in writers.translation_parts(results, seg).orderBy("file_path", "part").collect():
+        parts.setdefault(r.file_path, []).append(r.body)
+    assert {k: "".join(v) for k, v in parts.items()} == whole and len(parts["/e/2.txt"]) == 5
