@@ -1,4 +1,8 @@
-"""Pattern rules over texts: one projection per scan, whatever the number of rules."""
+"""Pattern rules over texts: one projection per scan, whatever the number of rules.
+
+Up to ``FEW`` rules are tried on every text inside the JVM. Of more, an automaton over their literals first picks
+the candidates of each text (``operators.literals``), and only these are tried.
+"""
 
 from __future__ import annotations
 
@@ -8,8 +12,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lingotally import refdata as R
 from lingotally.functions.match import match_offsets
+from lingotally.functions.binding import let
 from lingotally.functions.text import is_blank, preview
+from lingotally.operators import literals
 
+FEW = 64
 STRING = "string_id:string,pattern:string,nocase:boolean,literal:string"
 RULE = f"array<struct<rule:string,severity:string,strings:array<struct<{STRING}>>>>"
 HIT = "array<struct<string_id:string,offset:bigint,data:string>>"
@@ -25,8 +32,8 @@ def default_rules() -> list[dict]:
     return [dict(zip(names, row)) for row in R.RULES]
 
 
-def _table(rules: list[dict]) -> Column:
-    """All rules, strings grouped by rule, as one constant: the plan does not grow with them."""
+def _grouped(rules: list[dict]) -> list[dict]:
+    """Strings grouped by rule."""
     by_rule: dict[str, dict] = {}
     for r in rules:
         entry = by_rule.setdefault(r["rule"], {"rule": r["rule"], "severity": r["severity"], "strings": []})
@@ -34,7 +41,12 @@ def _table(rules: list[dict]) -> Column:
             "string_id": r["string_id"], "nocase": bool(r["nocase"]), "literal": r.get("literal") or "",
             "pattern": ("(?i)" if r["nocase"] else "") + r["pattern"],
         })
-    return F.from_json(F.lit(json.dumps(list(by_rule.values()))), RULE)
+    return list(by_rule.values())
+
+
+def _table(grouped: list[dict]) -> Column:
+    """All rules as one constant: the plan does not grow with them."""
+    return F.from_json(F.lit(json.dumps(grouped)), RULE)
 
 
 def _may_match(text: Column, s: Column) -> Column:
@@ -60,20 +72,30 @@ def _scan(df: DataFrame, texts: dict[str, str], keys: list[str], rules: list[dic
 
     The texts of a row become one array, so every rule is planned once for all of them.
     """
+    grouped = _grouped(default_rules() if rules is None else rules)
+    many = sum(len(r["strings"]) for r in grouped) > FEW
+    table = _table(grouped)
+    if many:
+        pick = literals.candidates(df.sparkSession, grouped)
+        df = df.withColumns({f"_cand{i}": pick(F.col(c)) for i, c in enumerate(texts.values())})
     sources = [
-        F.struct(F.lit(tag).alias("tag"), F.col(c).alias("text"), F.lower(c).alias("lower"))
-        for tag, c in texts.items()
+        F.struct(F.lit(tag).alias("tag"), F.col(c).alias("text"), F.lower(c).alias("lower"),
+                 *([F.col(f"_cand{i}").alias("candidates")] if many else []))
+        for i, (tag, c) in enumerate(texts.items())
     ]
     shown = F.filter(F.array(*sources), lambda t: ~F.coalesce(is_blank(t["text"]), F.lit(True)))
 
+    def one(t: Column, r: Column) -> Column:
+        return F.struct(t["tag"].alias("scanned_source"), r["rule"].alias("rule"), r["severity"].alias("severity"),
+                        fire(t, r["strings"]))
+
     def fired(t: Column) -> Column:
-        return F.transform(F.col("_rules"), lambda r: F.struct(
-            t["tag"].alias("scanned_source"), r["rule"].alias("rule"), r["severity"].alias("severity"),
-            fire(t, r["strings"]),
-        ))
+        if many:
+            return F.transform(t["candidates"], lambda i: let(table[i], lambda r: one(t, r)))
+        return F.transform(F.col("_rules"), lambda r: one(t, r))
 
-    table = _table(default_rules() if rules is None else rules)
-    found = df.withColumn("_rules", table).select(*keys, F.inline(F.flatten(F.transform(shown, fired))))
+    rows = df if many else df.withColumn("_rules", table)
+    found = rows.select(*keys, F.inline(F.flatten(F.transform(shown, fired))))
     return found.filter("n_strings > 0") if "n_strings" in found.columns else found.filter(
         F.size("strings") > 0).withColumn("n_strings", F.size("strings"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Row, functions as F
 from lingotally import refdata as R
 from lingotally.functions import net
 from lingotally.operators import (
-    filters, geo, infer, intervals, langid, lookups, manifest, review, rollups, rules, running,
+    filters, geo, infer, intervals, langid, literals, lookups, manifest, review, rollups, rules, running,
     segments as G, sizes,
 )
 
@@ -133,6 +133,68 @@ def test_a_crowded_minute_costs_n_log_n(spark):
         assert got[i].speaker_id == (want[2] if want else "UNKNOWN")
 
 
+@pytest.mark.parametrize("pattern, want", [
+    ("abc", ["abc"]), ("ab", []), ("ABCd+ef", ["abc"]), ("x?needle[0-9]{2}", ["needle"]), ("(?:foo)bar", ["foobar"]),
+    ("(?:first|second)x", ["first", "second"]), ("(?:first|b)x", []), ("(abc)*", []), ("(abcd)+e", ["abcd"]),
+    (r"\bword\b", ["word"]), (r"\p{L}+abc", []), ("(?x) a b c d", []), ("[a]bc", ["abc"]), ("a.b", []),
+    ("(?i)HeLLo", ["hello"]), ("(?iu)kelvin", []), ("(", []), ("(?:abc|abcd)?longer", ["longer"]), ("abc{0,3}defg", ["defg"])])
+def test_required_literals(pattern, want):
+    assert literals.required(pattern) == want
+
+
+def many_rules(n):
+    """Rules with literals of their own; a few have none, some have several strings, one in three ignores case."""
+    out = []
+    for i in range(n):
+        name = f"rule{i // 2:05d}"
+        pattern = f"tok{i:05d}[0-9]+" if i % 50 else f"[q-z]{{2}}{i % 10}+y"
+        out.append({"rule": name, "string_id": f"s{i}", "pattern": pattern, "nocase": i % 3 == 0, "severity": "low",
+                    "literal": f"tok{i:05d}" if i % 4 == 0 and i % 50 else ""})
+    return out
+
+
+def test_candidates_change_no_hit(spark, monkeypatch):
+    r = random.Random(2)
+    table = many_rules(300)
+    texts = [(k, " ".join(r.choice([f"tok{r.randrange(320):05d}{r.randrange(50)}", f"TOK{r.randrange(320):05d}7",
+                                    f"zz{r.randrange(10)}y", "é", "plain"]) for _ in range(30)), None if k % 5 else "tok000017 ")
+             for k in range(60)] + [(99, None, " ")]
+    df = spark.createDataFrame(texts, "id int, src string, tr string").repartition(3)
+    keyed = {"translation": "tr", "source": "src"}
+
+    def run():
+        hits = rules.rule_hits(df, keyed, ["id"], table).collect()
+        counts = rules.rule_counts(df, keyed, ["id"], table).collect()
+        return sorted(map(repr, hits)), sorted(map(repr, counts))
+
+    few = run()
+    monkeypatch.setattr(rules, "FEW", 0)
+    picked = run()
+    assert few == picked and len(few[0]) > 100
+
+
+def test_ten_thousand_rules_cost_little_more_than_a_hundred(spark):
+    r = random.Random(3)
+    texts = [(k, " ".join(r.choice(["plain", "words", "of", f"tok{r.randrange(100):05d}{k}"]) for _ in range(300)))
+             for k in range(2000)]
+    df = spark.createDataFrame(texts, "id int, src string").repartition(8).persist()
+
+    def seconds(n):
+        table = [x for x in many_rules(n) if x["pattern"].startswith("tok")]
+        best = None
+        for _ in range(3):
+            began = time.time()
+            rules.rule_counts(df, {"source": "src"}, ["id"], table).write.format("noop").mode("overwrite").save()
+            took = time.time() - began
+            best = took if best is None else min(best, took)
+        return best
+
+    df.count()
+    small, large = seconds(100), seconds(10_000)
+    df.unpersist()
+    assert large <= 2 * small + 1.0
+
+
 RANGE_SCHEMA = ("lo bigint, hi bigint, country_code string, country_name string, city string, "
                 "latitude double, longitude double")
 
