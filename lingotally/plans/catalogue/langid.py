@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lingotally import refdata as R
 from lingotally.functions import tiers as T
-from lingotally.operators import infer, langid
+from lingotally.operators import calibration as C, infer, langid
 from lingotally.plans.catalogue.registry import (
     SQL_WS, TARGET, documents, query, sql_advisory, sql_word_count, table,
 )
@@ -81,6 +81,71 @@ def langid_confusion(spark, sf):
     return d.groupBy("truth", F.col("d.language").alias("language")).agg(F.count("*").alias("n_docs"))
 
 
+# Parts by the first 32 bits of md5("11:doc_id"): 0.6 train, 0.2 calibrate, 0.2 are held out.
+SQL_PART = """part AS (SELECT doc_id, CASE WHEN u < 0.6e0 THEN 0 WHEN u < 0.6e0 + 0.2e0 THEN 1 ELSE 2 END AS part FROM (
+ SELECT doc_id, list_reduce(list_transform(range(1, 9), lambda i: CAST(strpos('0123456789abcdef',
+ md5('11:' || doc_id)[i]) - 1 AS BIGINT)), lambda a, c: 16 * a + c) / 4294967296e0 AS u FROM documents))"""
+SQL_HELD = f"""WITH {SQL_PART}, grams AS (SELECT * FROM {sql_grams('documents')}),
+ profile AS (SELECT lang AS language, gram, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, gram) AS rank
+ FROM grams JOIN part USING (doc_id) WHERE part = 0 GROUP BY lang, gram
+ QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, gram) <= 300),
+ sc AS (SELECT doc_id, language, CAST(sum(301 - rank) AS BIGINT) AS score
+ FROM grams JOIN profile USING (gram) GROUP BY doc_id, language),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, language) AS r FROM sc),
+ lid AS (SELECT doc_id, part, d.lang, coalesce(a.language, '') AS language, coalesce(a.score, 0) AS score,
+ coalesce(b.score, 0) AS runner_up FROM documents d JOIN part USING (doc_id)
+ LEFT JOIN (SELECT * FROM rk WHERE r = 1) a USING (doc_id)
+ LEFT JOIN (SELECT * FROM rk WHERE r = 2) b USING (doc_id)),
+ judged AS (SELECT *, least(CAST(floor(margin * 20) AS INTEGER), 19) AS bin, coalesce(language = lang, false) AS good
+ FROM (SELECT *, {SQL_CONF} AS margin FROM lid)),
+ cal AS (SELECT bin, count(*) AS n, count(*) FILTER (WHERE good) AS n_right FROM judged WHERE part = 1 GROUP BY bin),
+ iso AS (SELECT bin, n, n_right, (SELECT max(low) FROM (SELECT j.bin, (SELECT min(share) FROM (SELECT k.bin,
+  (SELECT CAST(sum(x.n_right) AS DOUBLE) / sum(x.n) FROM cal x WHERE x.bin BETWEEN j.bin AND k.bin) AS share
+  FROM cal k WHERE k.bin >= c.bin)) AS low FROM cal j WHERE j.bin <= c.bin)) AS probability FROM cal c)"""
+
+
+def held_out(spark, sf):
+    """Documents with part, truth, detected language and margin; the profile has seen part 0 only."""
+    d = documents(spark, sf, "lang", "text").withColumn("part", C.split(F.col("doc_id")))
+    profile = durable(langid.train_profile(d.filter("part = 0")))
+    found = d.select("doc_id", "part", F.col("lang").alias("truth"), langid.detector(profile)(F.col("text")).alias("d"))
+    found = found.select("doc_id", "part", "truth", F.col("d.language").alias("language"),
+                         langid.margin_confidence(F.col("d.score"), F.col("d.runner_up")).alias("margin"))
+    return durable(found.withColumn("good", F.coalesce(F.col("language") == F.col("truth"), F.lit(False))))
+
+
+@query("langid_calibration", f"""{SQL_HELD} SELECT bin, n, n_right, round(probability, 9) AS probability FROM iso""")
+def langid_calibration(spark, sf):
+    """Bins of the calibration part with their isotonic probabilities."""
+    d = held_out(spark, sf).filter("part = 1")
+    table = C.fit(d, "margin", "good")
+    counts = C.bin_counts(d, "margin", "good")
+    return counts.withColumn("probability", F.round(C.probability((F.col("bin") + 0.5) / len(table), table), 9))
+
+
+@query("langid_held_out", f"""{SQL_HELD} SELECT lang AS truth, language, count(*) AS n_docs FROM judged WHERE part = 2
+ GROUP BY ALL""")
+def langid_held_out(spark, sf):
+    """Confusion of documents that trained and calibrated nothing."""
+    return held_out(spark, sf).filter("part = 2").groupBy("truth", "language").agg(F.count("*").alias("n_docs"))
+
+
+@query("langid_reliability", f"""{SQL_HELD}, h AS (SELECT j.bin, j.margin, good, probability FROM judged j LEFT JOIN iso USING (bin)
+ WHERE part = 2 AND probability IS NOT NULL)
+ SELECT bin, count(*) AS n, round(avg(margin), 6) AS mean_margin, round(avg(probability), 6) AS probability,
+ round(avg(CAST(good AS INTEGER)), 6) AS accuracy FROM h GROUP BY bin""")
+def langid_reliability(spark, sf):
+    """Held-out documents by bin: mean margin, calibrated probability, and the share that is right."""
+    d = held_out(spark, sf)
+    table = C.fit(d.filter("part = 1"), "margin", "good")
+    seen = C.bin_counts(d.filter("part = 1"), "margin", "good").select("bin")
+    held = d.filter("part = 2").withColumn("bin", C.bin_of(F.col("margin"))).join(seen, "bin", "left_semi")
+    return held.groupBy("bin").agg(
+        F.count("*").alias("n"), F.round(F.avg("margin"), 6).alias("mean_margin"),
+        F.round(F.avg(C.probability(F.col("margin"), table)), 6).alias("probability"),
+        F.round(F.avg(F.col("good").cast("int")), 6).alias("accuracy"))
+
+
 SQL_CLASSIFIED = f"""{SQL_LANGID}, cl AS (SELECT doc_id, text, CASE WHEN trim(text, {SQL_WS}) = '' THEN ''
  ELSE language END AS language, CASE WHEN trim(text, {SQL_WS}) = '' THEN 0.0 ELSE {SQL_CONF} END
  AS confidence, {sql_word_count('text')} AS nw FROM lid JOIN documents USING (doc_id)),

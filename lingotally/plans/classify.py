@@ -10,6 +10,7 @@ from lingotally import refdata as R
 from lingotally.functions import dialect as D, script as S, text as X, tiers as T
 from lingotally.functions.binding import let
 from lingotally.operators import langid
+from lingotally.operators.calibration import probability
 
 CLASSIFIED = [
     "language", "confidence", "is_foreign", "target_language", "confidence_tier",
@@ -20,22 +21,24 @@ CLASSIFIED = [
 
 def classify(df: DataFrame, detect, target: str, text: str = "text",
              model_label: str | None = None,
-             lexicon: Mapping[str, Sequence[str]] = R.DIALECT_LEXICON) -> DataFrame:
+             lexicon: Mapping[str, Sequence[str]] = R.DIALECT_LEXICON,
+             calibration: Sequence[float] | None = None) -> DataFrame:
     """Language, confidence, tier, advisory and dialect of every text.
 
-    ``detect`` maps the text column to (language, score, runner_up), see ``langid.detector``; the
-    detector reads the head of the text, everything else the whole text. Rows keep their place:
-    nothing is shuffled. ``model_label`` names a column with external dialect labels, which win
+    ``detect`` maps the text column to (language, score, runner_up), see ``langid.detector``. Rows keep
+    their place: nothing is shuffled. Confidence is the margin of the two best languages, or with
+    ``calibration`` (see ``calibration.fit``) the probability that the language is right. ``model_label`` names a column with external dialect labels, which win
     over the lexicon where present.
     """
     t = F.col(text)
     found = df.withColumns({
         "_d": detect(t), "_blank": X.is_blank(t), "input_word_count": X.word_count(t),
     })
+    margin = langid.margin_confidence(F.col("_d.score"), F.col("_d.runner_up"))
     judged = F.struct(
         F.when(F.col("_blank"), "").otherwise(F.coalesce("_d.language", F.lit(""))).alias("lang"),
         F.when(F.col("_blank"), 0.0).otherwise(
-            langid.margin_confidence(F.col("_d.score"), F.col("_d.runner_up"))
+            margin if calibration is None else probability(margin, calibration)
         ).alias("conf"),
     )
     found = found.withColumn("_j", judged)

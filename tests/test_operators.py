@@ -11,8 +11,9 @@ from pyspark.sql import Row, functions as F
 
 from lingotally import refdata as R
 from lingotally.functions import net
+from lingotally.plans.classify import classify
 from lingotally.operators import (
-    filters, geo, infer, intervals, langid, literals, lookups, manifest, review, rollups, rules, running,
+    calibration, filters, geo, infer, intervals, langid, literals, lookups, manifest, review, rollups, rules, running,
     segments as G, sizes,
 )
 
@@ -195,6 +196,52 @@ def test_ten_thousand_rules_cost_little_more_than_a_hundred(spark):
     assert large <= 2 * small + 1.0
 
 
+def test_pooling_against_the_minmax_form():
+    """Isotonic means are the largest over starts of the smallest over ends of plain means."""
+    r = random.Random(1)
+    for _ in range(200):
+        counts = [(n, r.randint(0, n)) for n in (r.choice([0, 0, 1, 5, 100]) for _ in range(r.randint(1, 20)))]
+        kept = [(i, c) for i, c in enumerate(counts) if c[0]]
+        got = calibration.pool(counts)
+        for at, (i, _) in enumerate(kept):
+            def mean(a, b):
+                return sum(c[1] for _, c in kept[a:b + 1]) / sum(c[0] for _, c in kept[a:b + 1])
+            want = max(min(mean(a, b) for b in range(at, len(kept))) for a in range(at + 1))
+            assert got[i] == pytest.approx(want)
+        assert all(p is None for p, c in zip(got, counts) if not c[0])
+
+
+def test_calibration_mends_confidence(spark):
+    """Scores that overstate: right in score squared of the cases."""
+    df = spark.range(40_000).select(
+        "id", (F.pmod(F.xxhash64("id"), F.lit(10_000)) / 10_000).alias("score"),
+        (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(10_000)) / 10_000).alias("u"), calibration.split(F.col("id")).alias("part"))
+    df = df.withColumn("good", F.col("u") < F.col("score") * F.col("score"))
+    shares = {r.part: r["count"] / 40_000 for r in df.groupBy("part").count().collect()}
+    assert all(abs(shares[i] - p) < 0.02 for i, p in enumerate(calibration.PARTS))
+    table = calibration.fit(df.filter("part = 1"), "score", "good")
+    assert table == sorted(table) and len(table) == calibration.BINS
+    held = df.filter("part = 2").withColumn("p", calibration.probability(F.col("score"), table))
+    before = calibration.expected_error(held, "score", "good").first().calibration_error
+    after = calibration.expected_error(held, "p", "good").first().calibration_error
+    assert after < 0.03 < 0.1 < before
+    none = calibration.fit(df.limit(0), "score", "good", 4)
+    assert none == [0.125, 0.375, 0.625, 0.875]
+    odd = spark.createDataFrame([(None,), (float("nan"),), (1.0,), (7.0,), (-1.0,)], "s double")
+    assert [r[0] for r in odd.select(calibration.bin_of(F.col("s"))).collect()] == [0, 0, 19, 19, 0]
+
+
+def test_classify_takes_a_calibration(spark):
+    train = spark.createDataFrame([("en", "the cat and the dog are here"), ("de", "der hund und die katze sind hier")],
+                                  "lang string, text string")
+    detect = langid.detector(langid.train_profile(train))
+    df = spark.createDataFrame([("the dog and the cat are here and there they are now",), ("",)], "text string")
+    plain = classify(df, detect, "en").collect()
+    sure = classify(df, detect, "en", calibration=[0.7] * 20).collect()
+    assert [r.confidence for r in sure] == [0.7, 0.0] and plain[0].confidence != 0.7
+    assert sure[0].confidence_tier == "MEDIUM"
+
+
 RANGE_SCHEMA = ("lo bigint, hi bigint, country_code string, country_name string, city string, "
                 "latitude double, longitude double")
 
