@@ -55,19 +55,39 @@ def char_script(c: Column) -> Column:
     return F.coalesce(_ranged_script(c), letter)
 
 
+def _mixed_runs(text: Column) -> Column:
+    return F.transform(
+        F.regexp_extract_all(text, F.lit(RUN_PATTERN), F.lit(1)),
+        lambda c: F.coalesce(_ranged_script(c), F.lit("latin")),
+    )
+
+
+def _plain_runs(has_letter: Column) -> Column:
+    return F.when(has_letter, F.array(F.lit("latin"))).otherwise(F.array().cast("array<string>"))
+
+
+def is_ranged(text: Column) -> Column:
+    """Whether the text has a character of the ranges."""
+    return text.rlike(f"[{_RANGED}]")
+
+
 def script_runs(text: Column) -> Column:
     """Scripts of the maximal same-script runs in order, one regex pass, no explode.
 
     Text without any character of the ranges is one latin run, if it has a letter at all.
     """
-    runs = F.transform(
-        F.regexp_extract_all(text, F.lit(RUN_PATTERN), F.lit(1)),
-        lambda c: F.coalesce(_ranged_script(c), F.lit("latin")),
-    )
-    plain = F.when(text.rlike(r"\p{IsAlphabetic}"), F.array(F.lit("latin"))).otherwise(
-        F.array().cast("array<string>")
-    )
-    return F.when(text.rlike(f"[{_RANGED}]"), runs).otherwise(plain)
+    return F.when(is_ranged(text), _mixed_runs(text)).otherwise(_plain_runs(text.rlike(r"\p{IsAlphabetic}")))
+
+
+def script_profile(text: Column) -> Column:
+    """Struct of runs, n_alpha and n_latin. Texts without a character of the ranges are counted once: all their
+    letters are latin; only the others take further passes."""
+    def build(alpha: Column) -> Column:
+        mixed = F.struct(_mixed_runs(text).alias("runs"), alpha.alias("n_alpha"), latin_count(text).alias("n_latin"))
+        plain = F.struct(_plain_runs(alpha > 0).alias("runs"), alpha.alias("n_alpha"), alpha.alias("n_latin"))
+        return F.when(is_ranged(text), mixed).otherwise(plain)
+
+    return let(alpha_count(text), build)
 
 
 def alpha_count(text: Column) -> Column:
@@ -79,9 +99,11 @@ def latin_count(text: Column) -> Column:
 
 
 def latin_ratio(text: Column) -> Column:
-    return let(
-        alpha_count(text), lambda n: F.when(n > 0, latin_count(text) / n).otherwise(0.0)
-    )
+    def ratio(n: Column) -> Column:
+        latin = F.when(is_ranged(text), latin_count(text)).otherwise(n)
+        return F.when(n > 0, latin / n).otherwise(0.0)
+
+    return let(alpha_count(text), ratio)
 
 
 def switch_count(runs: Column) -> Column:
@@ -96,17 +118,19 @@ def code_switch_confidence(n_scripts: Column, switches: Column, alpha: Column) -
 
 
 def code_switch(text: Column) -> Column:
-    def judge(runs: Column) -> Column:
-        scripts = F.array_distinct(runs)
-        switches = switch_count(runs)
+    def judge(seen: Column) -> Column:
+        scripts, switches = F.array_distinct(seen["runs"]), switch_count(seen["runs"])
         return F.struct(
             ((F.size(scripts) >= 2) & (switches >= 1)).alias("is_code_switched"),
-            code_switch_confidence(F.size(scripts), switches, alpha_count(text)).alias("confidence"),
+            code_switch_confidence(F.size(scripts), switches, seen["alpha"]).alias("confidence"),
             scripts.alias("scripts"),
             switches.alias("switch_count"),
         )
 
-    return let(script_runs(text), judge)
+    # letters are counted for texts that can switch only: a plain text has one run or none
+    plain = F.struct(_plain_runs(text.rlike(r"\p{IsAlphabetic}")).alias("runs"), F.lit(0).alias("alpha"))
+    mixed = F.struct(_mixed_runs(text).alias("runs"), alpha_count(text).alias("alpha"))
+    return let(F.when(is_ranged(text), mixed).otherwise(plain), judge)
 
 
 def glyph_count(text: Column, glyphs: str) -> Column:

@@ -9,9 +9,11 @@ results do not depend on the order of rows. Training reads whole texts, and so d
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -41,16 +43,49 @@ def train_profile(df: DataFrame, language: str = "lang", text: str = "text",
                   k: int = TOP_K) -> DataFrame:
     """Top-k trigrams per language with rank and worth.
 
-    Counting combines before the shuffle; the rank filter is pushed below it as a group limit, so
-    each task sends at most k rows per language to the final ranking.
+    Arrow batches are counted with numpy, so a batch sends one row per language and distinct trigram to the
+    partial aggregate; the rank filter is pushed below the last shuffle as a group limit, so each task sends
+    at most k rows per language to the final ranking.
     """
+    kind = df.schema[language].dataType.simpleString()
     counts = (
-        df.select(F.col(language).alias("language"), F.explode(grams(sample(F.col(text)))).alias("gram"))
-        .groupBy("language", "gram").agg(F.count("*").alias("n"))
+        df.select(F.col(language).alias("language"), sample(F.col(text)).alias("text"))
+        .mapInArrow(_count_grams, f"language {kind}, key bigint, n bigint")
+        .groupBy("language", "key").agg(F.sum("n").alias("n"))
     )
-    order = Window.partitionBy("language").orderBy(F.desc("n"), "gram")
+    order = Window.partitionBy("language").orderBy(F.desc("n"), "key")  # keys sort as the trigrams do
     ranked = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.withColumn("weight", F.lit(k + 1) - F.col("rank"))
+    points = F.array(*[F.shiftrightunsigned("key", s).bitwiseAND(F.lit(0x1FFFFF)) for s in (42, 21, 0)])
+    # a code point as text: four bytes, most significant first (as without a mark)
+    letters = F.transform(points, lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32"))
+    return ranked.select("language", F.array_join(letters, "").alias("gram"), "n", "rank",
+                         (F.lit(k + 1) - F.col("rank")).alias("weight"))
+
+
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Trigrams of (language, text) by language: (language, key, n)."""
+    for batch in batches:
+        rows: dict = {}
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if text:
+                rows.setdefault(lang, []).append(text)
+        for lang, texts in rows.items():
+            at = 0
+            while at < len(texts):
+                room, start = 0, at
+                while at < len(texts) and (at == start or room + len(texts[at]) <= BATCH_CHARS):
+                    room += len(texts[at])
+                    at += 1
+                part = texts[start:at]
+                points = np.frombuffer("".join(part).encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.int64)
+                if len(points) < 3:
+                    continue
+                owner = np.repeat(np.arange(len(part)), [len(t) for t in part])
+                key = (points[:-2] << 42) | (points[1:-1] << 21) | points[2:]
+                found, n = np.unique(key[owner[:-2] == owner[2:]], return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(found), type=batch.schema.field(0).type), pa.array(found), pa.array(n)],
+                    names=["language", "key", "n"])
 
 
 def language_scores(df: DataFrame, profile: DataFrame, key: str, text: str = "text",

@@ -49,12 +49,11 @@ SQL_CHARS = f"""{SQL_MIXED}, ch AS (SELECT doc_id, i, c, unicode(c) AS u,
  round(CASE WHEN alpha > 0 THEN latin / CAST(alpha AS DOUBLE) ELSE 0.0 END, 6) AS latin_ratio
  FROM prof LEFT JOIN firsts USING (doc_id)""")
 def script_profile(spark, sf):
-    t = F.col("text")
-    d = _mixed(spark, sf).withColumn("runs", S.script_runs(t))
+    d = _mixed(spark, sf).select("doc_id", S.script_profile(F.col("text")).alias("p")).select("doc_id", "p.*")
+    ratio = F.when(F.col("n_alpha") > 0, F.col("n_latin") / F.col("n_alpha")).otherwise(0.0)
     return d.select(
         "doc_id", F.array_join(F.array_distinct("runs"), ",").alias("scripts"),
-        S.switch_count(F.col("runs")).alias("switch_count"), S.alpha_count(t).alias("n_alpha"),
-        F.round(S.latin_ratio(t), 6).alias("latin_ratio"),
+        S.switch_count(F.col("runs")).alias("switch_count"), "n_alpha", F.round(ratio, 6).alias("latin_ratio"),
     )
 
 

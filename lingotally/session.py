@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,8 @@ RUNTIME_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+_MADE: dict[str, list[str]] = {}  # application -> folders of ``work_dir``
+
 
 def build_session(app: str = "lingotally", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -36,16 +39,39 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else a folder in the warehouse."""
+    """The folder all executors share: ``spark.checkpoint.dir``, else a folder in the warehouse.
+
+    Outside local mode a warehouse on a local file system is no such folder, hence an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if not is_shared(spark.sparkContext.master, warehouse):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        named = f"{warehouse}/_work"
     return named.rstrip("/")
 
 
+def is_shared(master: str, folder: str) -> bool:
+    """Whether all executors see the folder: any does in local mode, else it needs a scheme that is not ``file``."""
+    return master == "local" or master.startswith("local[") or urlsplit(folder).scheme not in ("", "file")
+
+
+def drop_work(spark: SparkSession) -> int:
+    """Remove the folders that ``work_dir`` made in this session, and say how many; call it once the results that
+    were read from them are written."""
+    made = _MADE.pop(spark.sparkContext.applicationId, [])
+    for folder in made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(made)
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for written intermediates below the shared one."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
 
 
 def checkpoints(spark: SparkSession) -> SparkSession:

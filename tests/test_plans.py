@@ -42,7 +42,7 @@ def test_columns_and_filters_reach_the_scan(spark, sf):
 def test_profile_ranking_is_limited_before_the_shuffle(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     text = plan(langid.train_profile(docs))
-    assert text.count("WindowGroupLimit") == 2 and "partial_count" in text
+    assert text.count("WindowGroupLimit") == 2 and "partial_sum" in text
 
 
 @pytest.fixture

@@ -143,3 +143,34 @@ def test_last_partial_chunk_can_be_left_out(spark):
                                 F.timestamp_millis(F.floor(F.col("id") * 1000 / 3).cast("bigint")).alias("ts"))
     assert [r.n_samples for r in live.live_chunks(df).orderBy("chunk_start").collect()] == [9, 9, 3]
     assert [r.n_samples for r in live.live_chunks(df, full=9).orderBy("chunk_start").collect()] == [9, 9]
+
+
+def test_work_folders_are_removed(spark):
+    import pathlib
+
+    folder = session.work_dir(spark, "gone")
+    spark.range(3).write.parquet(folder)
+    own = pathlib.Path(folder.removeprefix("file:"))
+    assert own.exists() and session.drop_work(spark) >= 1 and not own.exists()
+    assert session.drop_work(spark) == 0
+
+
+def test_clusters_need_a_shared_folder():
+    assert session.is_shared("local[4]", "file:/x") and session.is_shared("yarn", "hdfs://n/x")
+    assert not session.is_shared("yarn", "file:/x") and not session.is_shared("local-cluster[2,1,1024]", "/x")
+
+
+def test_snapshots_and_ends_of_null_runs(spark, tmp_path):
+    schema = "seq int, run_id string, path string, type string, error string, is_foreign boolean, translated boolean"
+    rows = [(1, None, "/a", "done", None, True, False), (2, "r", "/b", "done", "x", False, False),
+            (3, None, "/c", "complete", None, None, None), (4, None, "/d", "done", None, False, True), (5, "r", "/e", "error", None, None, None)]
+    df = spark.createDataFrame(rows, schema)
+    out = str(tmp_path / "p")
+    progress.progress_snapshot(out)(df, 0)
+    progress.progress_snapshot(out)(df, 1)
+    snap = {r.run_id: r for r in spark.read.parquet(out + "/batch=1").collect()}
+    assert snap[None].processed == 4 and snap["r"].errors == 2 and len(snap[None].recent) == 4
+    ended = progress.until_end(df)
+    assert sorted(r.seq for r in ended.collect()) == [1, 2, 3, 5]
+    progress.follow_sink(out + "/f")(df, 0)
+    assert sorted(r.seq for r in spark.read.parquet(out + "/f/events").collect()) == [1, 2, 3, 5]
