@@ -37,16 +37,18 @@ SCRIPTS = [
     (0x0980, 0x09FF, 9), (0x0A00, 0x0A7F, 10), (0x0B80, 0x0BFF, 11), (0x0E00, 0x0E7F, 12), (0x10A0, 0x10FF, 13),
     (0x1100, 0x11FF, 14), (0x1E00, 0x1EFF, 1), (0x1F00, 0x1FFF, 2), (0x3040, 0x30FF, 15), (0x3400, 0x4DBF, 16),
     (0x4E00, 0x9FFF, 16), (0xAC00, 0xD7AF, 14), (0xF900, 0xFAFF, 16), (0x20000, 0x2FA1F, 16),
+    (0x30000, 0x323AF, 16),
 ]
 N_SCRIPTS = 17
+POINTS = 0x32400  # code points beyond hold no letter
 _TABLE: dict = {}
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """Code point -> is a letter, -> script; built once per worker."""
     if not _TABLE:
-        alpha = np.fromiter((chr(i).isalpha() for i in range(0x30000)), dtype=bool, count=0x30000)
-        script = np.zeros(0x30000, dtype=np.int64)
+        alpha = np.fromiter((chr(i).isalpha() for i in range(POINTS)), dtype=bool, count=POINTS)
+        script = np.zeros(POINTS, dtype=np.int64)
         for lo, hi, s in SCRIPTS:
             script[lo:hi + 1] = s
         _TABLE["t"] = alpha, script
@@ -65,7 +67,7 @@ def _words(texts: list[str]) -> dict[str, np.ndarray]:
     points = np.frombuffer(joined.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.int64)
     lengths = np.array([len(t) + 1 for t in texts], dtype=np.int64)
     alpha, script = _tables()
-    safe = np.minimum(points, 0x2FFFF)
+    safe = np.minimum(points, POINTS - 1)
     space = (points == 32) | ((points >= 9) & (points <= 13))
     letter = alpha[safe]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).astype(np.int8)))
@@ -194,6 +196,13 @@ def detector(model: dict, switch: float = SWITCH):
         mass = np.bincount(w["owner"][got] * (k + 1) + label[got], w["letters"][got],
                            len(texts) * (k + 1)).reshape(len(texts), k + 1)
         total = np.bincount(w["owner"], w["letters"], len(texts))
+        # a text in scripts that no language was learned in: all languages compete for it
+        lone = np.flatnonzero((mass.max(axis=1) == 0) & (total > 0))
+        if len(lone) and k:
+            w, label = label_batch([texts.iloc[i] for i in lone], {**model, "script": np.ones_like(model["script"])}, switch)
+            got = label >= 0
+            mass[lone] = np.bincount(w["owner"][got] * (k + 1) + label[got], w["letters"][got],
+                                     len(lone) * (k + 1)).reshape(len(lone), k + 1)
         best = mass.argmax(axis=1)
         some = mass.max(axis=1) > 0
         score = np.where(some, mass.max(axis=1) / np.maximum(total, 1), 0.0)

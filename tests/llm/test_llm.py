@@ -401,11 +401,21 @@ def test_language_spans_mixed(spark):
     assert [(text[s.start:s.end].split()[0], s.lang) for s in spans[0]] == [("the", "en"), ("и", "ru"), ("das", "de")]
     assert spans[1][0].lang == "und" and spans[2] == spans[3] == []
     got = [tuple(r[0]) for r in df.select(spans_langid.detector(model)("text")).collect()]
-    assert got[2] == got[3] == ("und", 0.0)
+    assert got[2] == got[3] == ("und", 0.0) and got[1][0] in ("en", "ru", "de")
     none = spans_langid.train(spark.createDataFrame([], "lang string, text string"))
     assert df.select(spans_langid.detector(none)("text").alias("p")).filter("p.lang <> 'und'").count() == 0
 
 
+def test_a_text_in_a_script_nobody_taught_has_a_language(spark):
+    train = [("en", "the house is big and the dog was there " * 9), ("fr", "la maison est grande et le chien y est " * 9)]
+    model = spans_langid.train(spark.createDataFrame(train, "lang string, text string"))
+    texts = [None, "", "12 !", "большой дом", "\U00030001\U00031000", "the dog", "большой the dog was there", "x" * 3]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r.i: r.p for r in df.select("i", spans_langid.detector(model)("text").alias("p")).collect()}
+    assert [got[i].lang for i in (0, 1, 2)] == ["und"] * 3 and all(got[i].lang in ("en", "fr") for i in (3, 4, 7))
+    assert got[5].lang == got[6].lang == "en" and all(0 <= got[i].score <= 1 for i in got) and got[3].score > 0
+
+
 def test_viterbi_brute_force():
     import itertools
 
