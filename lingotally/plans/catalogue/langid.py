@@ -13,6 +13,9 @@ from lingotally.operators import calibration as C, infer, langid
 from lingotally.plans.catalogue.registry import (
     SQL_WS, TARGET, documents, query, sql_advisory, sql_word_count, table,
 )
+from lingotally.plans.catalogue.scripts import (
+    LETTERED, LETTERED_LANG, SQL_GLYPHS, SQL_LETTERED, SQL_LETTERED_DIALECTS,
+)
 from lingotally.plans.classify import classify, with_route
 from lingotally.plans.translate import (
     joined_translation, sentence_units, translate_documents, translate_segments,
@@ -244,3 +247,26 @@ def translate_sentences(spark, sf):
 def route_documents(spark, sf):
     routed = with_route(classified(spark, sf), alt_available=True)
     return routed.groupBy("engine").agg(F.count("*").alias("n_docs"))
+
+
+@query("classify_scripts", f"""WITH {SQL_LETTERED}, {SQL_CLASSIFIED}, {SQL_GLYPHS}, {SQL_LETTERED_DIALECTS},
+ al AS (SELECT *, CASE WHEN language = 'fa' AND v = 'A' AND gc >= 0.7 THEN 'ps' ELSE language END AS final
+ FROM cls JOIN gv USING (doc_id))
+ SELECT doc_id, final AS language, round(al.confidence, 6) AS confidence, final <> '' AND final <> '{TARGET}' AS is_foreign,
+ tier AS confidence_tier, CAST(nw AS INTEGER) AS input_word_count, {sql_advisory('tier', 'nw')} AS advisory,
+ CASE WHEN language = 'fa' AND v = 'A' AND gc >= 0.7 THEN 'Changed from fa to ps by script analysis; glyphs: ' || glyphs
+ || '; confidence ' || printf('%.2f', gc) WHEN language = 'fa' AND v = 'Ambiguous' AND n_a > 0 THEN
+ 'Script analysis undecided; confidence ' || printf('%.2f', gc) END AS disambiguation_note,
+ CASE WHEN final = 'ar' THEN dv.dialect END AS dialect,
+ CASE WHEN final = 'ar' THEN round(dv.confidence, 6) END AS dialect_confidence,
+ CASE WHEN final = 'ar' THEN '{R.DIALECT_NOTICE}' END AS dialect_note FROM al JOIN dv USING (doc_id)""")
+def classify_scripts(spark, sf):
+    """Texts in Arabic and Persian letters among the others: script analysis, dialects and their notes."""
+    d = documents(spark, sf, "text", "lang").select(
+        "doc_id", F.expr(LETTERED_LANG).alias("lang"), F.expr(LETTERED).alias("text"))
+    d = durable(d)
+    c = classify(d.drop("lang"), langid.detector(durable(langid.train_profile(d))), TARGET)
+    return c.select(
+        "doc_id", "language", F.round("confidence", 6).alias("confidence"), "is_foreign", "confidence_tier",
+        "input_word_count", "advisory", "disambiguation_note", "dialect",
+        F.round("dialect_confidence", 6).alias("dialect_confidence"), "dialect_note")

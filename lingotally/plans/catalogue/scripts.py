@@ -237,3 +237,20 @@ def code_lookup(spark, sf):
     d = rollups.with_language_name(d, "language")
     d = lookups.code_lookup(d, R.translation_codes(spark), "language_code", "model_code")
     return lookups.code_lookup(d, R.ocr_codes(spark), "language_code", "ocr_code")
+
+
+# ---- classification of texts in Arabic and Persian letters ----------------------------------------
+LATIN, AS_AR, AS_FA = "abcdefghijklmnopqrstuvwxyz", "ابتثجحخدذرزسشصضطظعغفقكلمنه", "منهابتثجحخدذرزسشصضطظعغفقكل"
+LETTERED = (f"CASE doc_id % 4 WHEN 0 THEN translate({PLANT}, '{LATIN}', '{AS_AR}') WHEN 1 THEN "
+            f"concat(translate(text, '{LATIN}', '{AS_FA}'), repeat('ټ', CAST(doc_id % 6 AS INT)), "
+            "repeat('ې', CAST(doc_id % 2 AS INT)), repeat('پ', CAST(doc_id % 5 AS INT))) ELSE text END")
+LETTERED_LANG = "CASE doc_id % 4 WHEN 0 THEN 'ar' WHEN 1 THEN 'fa' ELSE lang END"
+SQL_LETTERED = f"documents AS (SELECT doc_id, {LETTERED_LANG} AS lang, {LETTERED} AS text FROM documents)"
+SQL_LETTERED_DIALECTS = SQL_SCORES.replace(PLANT, "text").replace("doc_id % 11 = 8\n OR ", "").replace("doc_id % 11 = 8 OR ", "")
+SQL_GLYPHS = f"""gl AS (SELECT doc_id, length(text) - length(translate(text, '{R.GLYPHS_A}', '')) AS n_a,
+ length(text) - length(translate(text, '{R.GLYPHS_B}', '')) AS n_b,
+ concat_ws(', ', CASE WHEN contains(text, 'ټ') THEN 'ټ' END, CASE WHEN contains(text, 'ې') THEN 'ې' END) AS glyphs
+ FROM documents),
+ gv AS (SELECT *, CASE WHEN n_a > n_b THEN 'A' WHEN n_b > n_a THEN 'B' ELSE 'Ambiguous' END AS v,
+ CASE WHEN n_a = 0 AND n_b = 0 THEN 0.0 WHEN n_a = n_b THEN 0.3 ELSE least(least(greatest(n_a, n_b), 5)
+ / 5.0 * 0.45 + 0.55 * (greatest(n_a, n_b) / CAST(n_a + n_b AS DOUBLE)), 0.95) END AS gc FROM gl)"""
