@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lingotally import refdata as R
 from lingotally.operators import rules
-from lingotally.plans.catalogue.registry import documents, pages, query, values_sql
+from lingotally.plans.catalogue.registry import documents, pages, query, table, values_sql
 
 # The same formats in RE2, whose \b is ASCII: (rule, string id, pattern, order).
 RE2_RULES = [
@@ -79,3 +79,24 @@ def rule_summary(spark, sf):
 def rule_offsets(spark, sf):
     hits = rules.rule_hits(documents(spark, sf, "text"), {"source": "text"}, ["doc_id"])
     return rules.rule_offsets(hits, ["doc_id"])
+
+
+PHRASES = 4  # phrases of three words per benchmark item
+
+
+@query("rule_counts_many", f"""WITH ph AS (SELECT item_id, array_to_string(string_split(text, ' ')[3 * i + 1:3 * i + 3], ' ') AS p
+ FROM benchmark, unnest(range({PHRASES})) AS t(i)),
+ ct AS (SELECT doc_id, item_id, (length(text) - length(replace(text, p, ''))) // length(p) AS n FROM documents, ph
+ WHERE length(p) >= 3 AND contains(text, p))
+ SELECT doc_id, 'item' || item_id AS rule, CAST(sum(n) AS INTEGER) AS n_strings FROM ct GROUP BY ALL""")
+def rule_counts_many(spark, sf):
+    """Hundreds of rules, phrases of the benchmark items: an automaton picks the candidates of each text."""
+    own = F.split("text", " ")
+    phrases = F.transform(F.sequence(F.lit(0), F.lit(PHRASES - 1)), lambda i: F.struct(
+        i.alias("i"), F.array_join(F.slice(own, 3 * i + 1, 3), " ").alias("p")))
+    table_ = table(spark, sf, "benchmark").select("item_id", F.inline(phrases)).filter("length(p) >= 3").select(
+        F.concat(F.lit("item"), "item_id").alias("rule"), F.concat(F.lit("s"), "i").alias("string_id"),
+        F.concat(F.lit("\\Q"), "p", F.lit("\\E")).alias("pattern"), F.lit(False).alias("nocase"),
+        F.lit("low").alias("severity"), F.col("p").alias("literal"))
+    found = rules.rule_counts(documents(spark, sf, "text"), {"source": "text"}, ["doc_id"], rules.load_rules(table_))
+    return found.select("doc_id", "rule", "n_strings")
