@@ -2,6 +2,9 @@
 
 The given tables hold Latin text only and no paths, addresses or timed segments, so the inputs of
 many operators are derived from them by expressions that Spark and the oracle SQL share.
+
+Codes, names, thresholds and notices in the SQL of this package are fixed values: those of ``refdata`` and the
+functions, which must come out of both engines alike.
 """
 
 from __future__ import annotations

@@ -10,6 +10,7 @@ from lingotally.operators import lookups, rollups
 from lingotally.plans.catalogue.registry import SQL_WS, documents, query, table, values_sql
 
 # Letters of the given texts moved to other scripts, so that runs and switches occur.
+# (the script bounds in the SQL below are fixed values, as in functions.script)
 MOVES = [("aeiou", "аеиоу"), ("nst", "نست"), ("the", "天地人"), ("dlr", "דלר")]
 
 
@@ -186,6 +187,7 @@ def dialect_verdict(spark, sf):
     return d.select("doc_id", "d.dialect", F.round("d.confidence", 6).alias("confidence"))
 
 
+# fixed values in the SQL: route and token names, and the confidence each route asks for, as in refdata
 @query("route", f"""WITH {SQL_SCORES}, r AS (SELECT doc_id, dialect, CASE
  WHEN dialect = 'Egyptian' AND confidence >= 0.70 THEN 'NllbEgyptian'
  WHEN dialect = 'Moroccan' AND confidence >= 0.65 AND doc_id % 2 = 0 THEN 'SeamlessM4T'
