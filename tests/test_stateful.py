@@ -201,7 +201,7 @@ def test_idle_runs_are_forgotten(spark, tmp_path):
     q = (rows.writeStream.outputMode("update").option("checkpointLocation", f"{out}-ck").trigger(processingTime="1 second")
          .foreachBatch(lambda batch, _: seen.extend(batch.collect())).start())
     try:
-        until = time.time() + 60
+        until = time.time() + 180
         while time.time() < until and not seen:
             time.sleep(1)
         time.sleep(5)
