@@ -5,7 +5,10 @@
 terms of every window by those counts, and ``postings`` stores (term, document, place) of the picked
 terms only. ``intersect`` shifts the postings of a window's rarest term to the window's start and
 keeps the starts that the shifted lists of its other picked terms confirm. ``exact`` compares what
-is left with the text. ``proximity`` reports windows whose picked terms stand near their places.
+is left with the text; ``hits`` reports the phrase spans. ``proximity`` shifts the lists alike, but keeps starts
+whose other picked terms, all but ``missing``, stand within ``slop`` places of where they belong; ``near_hits`` then counts all words of
+the window in the text and keeps what has ``share`` of them near their places. Its probes pick among the terms
+that occur, so that a window with a word found nowhere in the training texts is still looked for.
 
 Sides that come from the benchmark are broadcast only below a measured bound; above it the same joins
 shuffle. Counting combines before its shuffle, postings are keyed by document and start, and a term
@@ -20,12 +23,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lingotally.functions.binding import let
+from lingotally.functions.binding import free_prefix, let
 from lingotally.llm.common import lower_ascii, runs
 from lingotally.operators.sizes import broadcast_if_small
 
 N = 10
 RAREST = 3
+SLOP = 5
+SHARE = 0.8
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # between words, in lower-cased text
 
 
@@ -58,11 +63,14 @@ def term_counts(docs: DataFrame, wins: DataFrame, text: str = "text") -> DataFra
     return vocabulary.join(seen, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def probes(wins: DataFrame, counts: DataFrame, rarest: int = RAREST) -> DataFrame:
-    """window, rank (0: rarest), term, offset: the picked terms of windows whose terms all occur."""
+def probes(wins: DataFrame, counts: DataFrame, rarest: int = RAREST, share: float = 1.0) -> DataFrame:
+    """window, rank (0: rarest), term, offset: the picked terms of windows of whose words ``share`` occur.
+
+    Only terms that occur are picked; exact phrases need all of a window's terms to occur.
+    """
     t = wins.select("window", "size", F.posexplode("terms").alias("offset", "term")).join(counts, "term")
     by = Window.partitionBy("window")
-    t = t.withColumn("_least", F.min("n").over(by)).filter("_least > 0")
+    t = t.filter("n > 0").withColumn("_occur", F.count("*").over(by)).filter(F.col("_occur") >= share * F.col("size"))
     # one place per term first, so that the lists differ
     t = t.withColumn("_copy", F.row_number().over(Window.partitionBy("window", "term").orderBy("offset")))
     t = t.withColumn("rank", F.row_number().over(by.orderBy("_copy", "n", "term", "offset")) - 1)
@@ -95,25 +103,31 @@ def intersect(index: DataFrame, picked: DataFrame, rarest: int = RAREST) -> Data
     return left
 
 
-def proximity(index: DataFrame, picked: DataFrame, slop: int = 5, bin_width: int = 64) -> DataFrame:
-    """doc, window, start: picked terms of a window all within ``slop`` places of where they belong.
+def proximity(index: DataFrame, picked: DataFrame, slop: int = SLOP, bin_width: int = 64, missing: int = 0) -> DataFrame:
+    """doc, window, start: picked terms of a window, all but ``missing``, within ``slop`` places of where they belong.
 
-    Shifted starts are binned; a start also joins the next bin if it lies within reach, so that
-    nothing is lost at a border and no list is paired with itself.
+    Starts are proposed by the ``missing`` + 1 rarest terms, one of which is there. Shifted starts are binned; a start
+    also joins the next bin if it lies within reach, so that nothing is lost at a border and no list is paired with itself.
     """
     side = picked.select("term", "window", "offset", "rank")
     s = index.join(broadcast_if_small(side), "term").select(
-        "doc", "window", "rank", (F.col("place") - F.col("offset")).alias("start"))
-    anchor = s.filter("rank = 0").select("doc", "window", F.col("start").alias("at")).distinct()
+        F.struct("doc").alias("doc"), "window", "rank", (F.col("place") - F.col("offset")).alias("start"))  # null ids meet
+    anchor = s.filter(F.col("rank") <= missing).select("doc", "window", F.col("start").alias("at")).distinct()
     reach = F.sequence(F.floor((F.col("start") - slop) / bin_width), F.floor((F.col("start") + slop) / bin_width))
-    near = s.filter("rank > 0").withColumn("_bin", F.explode(reach)).join(
+    near = s.withColumn("_bin", F.explode(reach)).join(
         anchor.withColumn("_bin", F.floor(F.col("at") / bin_width)), ["doc", "window", "_bin"])
     near = near.filter(F.abs(F.col("start") - F.col("at")) <= slop).groupBy("doc", "window", "at").agg(
         F.countDistinct("rank").alias("_met"))
-    size = picked.groupBy("window").agg((F.count("*") - 1).alias("_others"))
-    found = anchor.join(broadcast_if_small(size), "window").join(near, ["doc", "window", "at"], "left")
-    return found.filter(F.coalesce("_met", F.lit(0)) >= F.col("_others")).select(
-        "doc", "window", F.col("at").alias("start"))
+    need = picked.groupBy("window").agg(F.greatest(F.count("*") - missing, F.lit(1)).alias("_need"))
+    return near.join(broadcast_if_small(need), "window").filter(F.col("_met") >= F.col("_need")).select(
+        F.col("doc.doc").alias("doc"), "window", F.col("at").alias("start"))
+
+
+def listed(found: DataFrame, wins: DataFrame) -> DataFrame:
+    """doc, hits: starts, terms and items of what was ``found`` (doc, start, window), per document."""
+    side = wins.select("window", F.col("terms").alias("_terms"), F.col("items").alias("_items"))
+    return found.join(broadcast_if_small(side), "window").groupBy("doc").agg(
+        F.collect_list(F.struct("start", F.col("_terms").alias("terms"), F.col("_items").alias("items"))).alias("hits"))
 
 
 def candidates(docs: DataFrame, wins: DataFrame, key: str = "doc_id", text: str = "text",
@@ -121,10 +135,7 @@ def candidates(docs: DataFrame, wins: DataFrame, key: str = "doc_id", text: str
     """doc, hits: starts and windows that the index cannot rule out, per document."""
     picked = probes(wins, term_counts(docs, wins, text), rarest).checkpoint(eager=True)
     index = postings(docs, picked, key, text).checkpoint(eager=True)
-    found = intersect(index, picked, rarest)
-    side = wins.select("window", F.col("terms").alias("_terms"), F.col("items").alias("_items"))
-    return found.join(broadcast_if_small(side), "window").groupBy("doc").agg(
-        F.collect_list(F.struct("start", F.col("_terms").alias("terms"), F.col("_items").alias("items"))).alias("hits"))
+    return listed(intersect(index, picked, rarest), wins)
 
 
 def exact(words: Column, hits: Column) -> Column:
@@ -146,7 +157,7 @@ def covered(spans: Column) -> Column:
 def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
          item_id: str = "item_id", item_text: str = "text", n: int = N,
          rarest: int = RAREST) -> DataFrame:
-    """Key, n_words, n_hit, hit_items (sorted) of every row of ``docs``."""
+    """Key, n_words, n_hit, hit_items (sorted), spans (start, end, items of every phrase found) of every row of ``docs``."""
     wins = windows(items, item_id, item_text, n).checkpoint(eager=True)
     found = candidates(docs, wins, key, text, rarest)
     d = docs.select(F.col(key).alias("doc"), F.col(text).alias("_text"))
@@ -158,14 +169,50 @@ def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
         F.col("doc").alias(key), "n_words",
         F.coalesce(covered(F.col("_s")), F.lit(0)).cast("bigint").alias("n_hit"),
         F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform("_s", lambda s: s["items"])))),
-                   F.array().cast("array<string>")).alias("hit_items"))
+                   F.array().cast("array<string>")).alias("hit_items"),
+        F.coalesce(F.col("_s"), F.filter(F.array(F.struct(
+            F.lit(0).alias("start"), F.lit(0).alias("end"), F.array().cast("array<string>").alias("items"))),
+            lambda s: F.lit(False))).alias("spans"))
+
+
+def met(words: Column, hit: Column, slop: int) -> Column:
+    """How many words of the window stand in the text within ``slop`` places of where they belong."""
+    def near(term: Column, j: Column) -> Column:
+        place = hit["start"] + j
+        first = F.greatest(place - slop, F.lit(0))
+        return F.array_contains(F.slice(words, first + 1, F.greatest(place + slop + 1 - first, F.lit(0))), term)
+
+    return F.size(F.filter(hit["terms"], near))
+
+
+def near_hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_id: str = "item_id",
+              item_text: str = "text", n: int = N, rarest: int = RAREST, slop: int = SLOP,
+              share: float = SHARE, missing: int = 1) -> DataFrame:
+    """Key, start, end, n_near, items: one row per proximity match, phrases included (n_near is the window's size there).
+
+    Windows of ``n`` words only. A match is a start that an occurrence of one of the window's ``missing`` + 1 rarest
+    occurring terms proposes, where all picked terms but ``missing`` stand within ``slop`` places of theirs, as do
+    ``share`` of all the window's words. So a passage with any one word replaced is found.
+    """
+    wins = windows(items, item_id, item_text, n).filter(F.col("size") == n).checkpoint(eager=True)
+    picked = probes(wins, term_counts(docs, wins, text), rarest, share).checkpoint(eager=True)
+    index = postings(docs, picked, key, text).checkpoint(eager=True)
+    found = listed(proximity(index, picked, slop, missing=missing), wins)
+    d = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text"))
+    j = found.join(d, F.col("doc").eqNullSafe(F.col("_doc")))
+    counted = let(terms(F.col("_text")), lambda w: F.transform(F.col("hits"), lambda h: F.struct(
+        h["start"].alias("start"), met(w, h, slop).cast("bigint").alias("n_near"), h["items"].alias("items"))))
+    return j.select("doc", F.explode(counted).alias("h")).filter(F.col("h.n_near") >= share * n).select(
+        F.col("doc").alias(key), "h.start", (F.col("h.start") + n).alias("end"), "h.n_near",
+        F.array_sort("h.items").alias("items"))
 
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_id: str = "item_id",
           item_text: str = "text", n: int = N, rarest: int = RAREST) -> DataFrame:
     """Rows of ``docs`` without a hit, with all their columns."""
     wins = windows(items, item_id, item_text, n).checkpoint(eager=True)
-    found = candidates(docs, wins, key, text, rarest).select(F.col("doc").alias("_dc_doc"), F.col("hits").alias("_dc_hits"))
-    j = docs.join(found, F.col(f"`{key}`").eqNullSafe(F.col("_dc_doc")), "left")
-    hit = let(terms(F.col(f"`{text}`")), lambda w: F.size(exact(w, F.col("_dc_hits"))) > 0)
-    return j.filter(F.col("_dc_hits").isNull() | ~hit).select(*[docs[f"`{c}`"] for c in docs.columns])
+    p = free_prefix(docs.columns)
+    found = candidates(docs, wins, key, text, rarest).select(F.col("doc").alias(f"{p}doc"), F.col("hits").alias(f"{p}hits"))
+    j = docs.join(found, F.col(f"`{key}`").eqNullSafe(F.col(f"{p}doc")), "left")
+    hit = let(terms(F.col(f"`{text}`")), lambda w: F.size(exact(w, F.col(f"{p}hits"))) > 0)
+    return j.filter(F.col(f"{p}hits").isNull() | ~hit).select(*[F.col(f"`{c}`") for c in docs.columns])
