@@ -2,7 +2,7 @@
 
 Patterns (leftmost, non-overlapping per kind) report ``assign``, ``access`` and ``hex`` spans. Beyond
 them, a value after a credential word gets its guess cost: the cheapest segmentation into dictionary
-words, dates, repeats, keyboard walks and brute-force spans, by dynamic programming over prefixes (after
+words, dates, repeats (of a character or a block), keyboard walks and brute-force spans, by dynamic programming over prefixes (after
 Wheeler, 2016). Values that cost ``MIN_GUESSES`` or more (of letters alone: ``LETTERS_GUESSES``) and lie
 outside the pattern spans are reported as ``guess``. A credential word may follow an underscore, and
 a value may follow ``Bearer`` directly.
@@ -19,17 +19,20 @@ import math
 import re
 import sys
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lingotally.functions.binding import free_prefix
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 KINDS = ("assign", "access", "hex", "guess")
 MIN_GUESSES = 10.0  # log10
 LETTERS_GUESSES = 16.0  # for values of letters alone, which prose after a credential word has too
 SEGMENT_COST = math.log10(2.0)
-FAR = 64  # longer repeats and walks end where their run ends, which keeps very long values linear
+FAR = 64  # longer repeats and walks end where their run ends, which keeps very long values linear; longest block
 
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -88,9 +91,41 @@ def _run_ends(linked: list[bool]) -> list[int]:
     return ends
 
 
+def _run_lengths(linked: np.ndarray) -> np.ndarray:
+    """How many places in a row are linked, from every place on."""
+    at = np.arange(len(linked))
+    stop = np.where(linked, len(linked), at)
+    return np.minimum.accumulate(stop[::-1])[::-1] - at
+
+
+def _blocks(value: str) -> list[tuple[int, int, int]]:
+    """(place, size, most copies) of every block of 2 to ``FAR`` characters that follows itself at once, and is no
+    repetition itself."""
+    codes = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    found, held = [], {}
+    for size in range(1, min(FAR, len(codes) // 2) + 1):
+        held[size] = _run_lengths(codes[:-size] == codes[size:])
+        starts = np.flatnonzero(held[size] >= size)
+        for d in range(1, size // 2 + 1):
+            if size % d == 0 and starts.size:
+                starts = starts[held[d][starts] < size - d]
+        if size > 1:
+            found += [(i, size, n) for i, n in zip(starts.tolist(), (held[size][starts] // size + 1).tolist())]
+    return found
+
+
 def guess_cost(value: str, ranks: dict[str, int] | None = None) -> float:
-    """log10 of the guesses for the cheapest segmentation of ``value``."""
+    """log10 of the guesses for the cheapest segmentation of ``value``.
+
+    A repeated block costs what one copy costs, times the number of copies.
+    """
     ranks = RANKS if ranks is None else ranks
+    repeated, once = {}, {}
+    for i, size, copies in _blocks(value):
+        block = value[i:i + size]
+        if block not in once:
+            once[block] = guess_cost(block, ranks)
+        repeated.setdefault(i, []).append((size, copies, once[block]))
     longest = max(map(len, ranks), default=0)
     low, n = value.lower(), len(value)
     best, brute = [0.0] + [math.inf] * n, [math.inf] * (n + 1)
@@ -118,6 +153,9 @@ def guess_cost(value: str, ranks: dict[str, int] | None = None) -> float:
             for j in (*range(i + 3, min(stop, i + FAR)), stop):
                 if j - i >= 3:
                     offer(i, j, math.log10(choices * (j - i)))
+        for block, copies, cost in repeated.get(i, ()):
+            for k in {*range(2, min(copies, FAR // block) + 1), copies}:
+                offer(i, i + k * block, cost + math.log10(k))
         best[i + 1] = min(best[i + 1], brute[i + 1])
     return best[n]
 
@@ -188,7 +226,8 @@ def redacted(text: Column, spans: Column) -> Column:
 def redact(docs: DataFrame, text: str = "text", length: str = "n_chars", words: list[str] | None = None,
            min_guesses: float = MIN_GUESSES) -> DataFrame:
     """All rows and columns of ``docs``, spans replaced in the text and its length column, if any, renewed."""
-    d = scan(docs, text, words, min_guesses, "_spans")
-    d = d.withColumn("_new", redacted(F.col(f"`{text}`"), F.col("_spans")))
-    new = {text: F.col("_new"), length: F.length("_new").cast("bigint")}
+    p = free_prefix(docs.columns)
+    d = scan(docs, text, words, min_guesses, f"{p}spans")
+    d = d.withColumn(f"{p}new", redacted(F.col(f"`{text}`"), F.col(f"{p}spans")))
+    new = {text: F.col(f"{p}new"), length: F.length(f"{p}new").cast("bigint")}
     return d.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
