@@ -22,6 +22,7 @@ unless all ids of it are null; an empty table gives an empty result; other colum
 
 from __future__ import annotations
 
+import math
 import sys
 
 import numpy as np
@@ -29,12 +30,15 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from lingotally.functions.binding import free_prefix
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SEED = 42
 SHINGLE = 3
 MAX_BITS = 3
 CELL = 2048
+TASK_NODES = 20_000
 PIECE = 1 << 16
 
 
@@ -150,12 +154,12 @@ def links(nodes: DataFrame, cell: int = CELL) -> DataFrame:
     return found.select("e.u", "e.v").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """node, root (least node of its component) for every node that has a link."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, root (least node of its component) for every node that has a link; rounds go on until nothing moves."""
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     e = e.checkpoint(eager=True)
     seen = None
-    for _ in range(max_rounds):
+    while True:
         mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
             break
@@ -169,15 +173,15 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
             F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p")).select("p.*").filter(
             "u <> v").distinct().checkpoint(eager=True)
-    else:
-        raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def classes(fps: DataFrame, cell: int = CELL) -> DataFrame:
     """fp, component_id for every distinct fingerprint of ``fps`` (doc_id, fingerprint)."""
     nodes = fps.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("_least")).checkpoint(eager=True)
-    roots = components(links(nodes.select("fp"), cell))
+    # each fingerprint becomes 64 keys: tasks grow in number with the fingerprints, not with their few bytes
+    tasks = math.ceil(nodes.count() / TASK_NODES) or 1
+    roots = components(links(nodes.select("fp").repartition(tasks, "fp"), cell))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "_least")
     least = named.groupBy("root").agg(F.min("_least").alias("component_id"))
@@ -203,6 +207,8 @@ def one_per_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", c
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "fingerprint")
     won = named.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("_alone")).agg(
         F.min(first).alias("w")).select(F.col("w.doc_id").alias("_w_id"), F.col("w.fingerprint").alias("_w_fp"))
-    rows = docs.withColumn("_w_row", fingerprint(F.col(f"`{text}`")))
-    kept = rows.join(won, F.col(f"`{doc_id}`").eqNullSafe(F.col("_w_id")) & (F.col("_w_row") == F.col("_w_fp")), "left_semi")
-    return kept.dropDuplicates([doc_id, "_w_row"]).select(*[F.col(f"`{x}`") for x in docs.columns])
+    p = free_prefix(docs.columns)
+    won = won.toDF(*[f"{p}{c}" for c in won.columns])
+    rows = docs.withColumn(f"{p}row", fingerprint(F.col(f"`{text}`")))
+    kept = rows.join(won, F.col(f"`{doc_id}`").eqNullSafe(F.col(f"{p}_w_id")) & (F.col(f"{p}row") == F.col(f"{p}_w_fp")), "left_semi")
+    return kept.dropDuplicates([doc_id, f"{p}row"]).select(*[F.col(f"`{x}`") for x in docs.columns])
