@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from lingotally import refdata as R, session
@@ -271,6 +273,9 @@ def event_lines(spark, sf):
         "is_complete", "total_segments", "machine_translation_notice"])
 
 
+SIX_FILES = 256 << 20  # bytes of document text whose segments arrive as six files
+
+
 @query("segment_stream", f"""WITH {SQL_EVENTS} SELECT doc_id, CASE WHEN stage = 2 THEN "index" ELSE total_segments END
  AS sent, stage, "index", type, original, translated, CAST(NULL AS VARCHAR) AS message, is_complete,
  CAST(total_segments AS BIGINT) AS total_segments, notice AS machine_translation_notice FROM ev WHERE stage >= 2""")
@@ -282,9 +287,12 @@ def segment_stream(spark, sf):
         "doc_id", F.when(foreign, F.coalesce("n", F.lit(0))).otherwise(0).alias("total_segments"))
     folder = session.work_dir(stateful.stateful(spark), "segments")
     rows = stateful.segment_rows(segs, totals)
-    rows.repartition(6, F.xxhash64("doc_id", "index")).write.parquet(folder)
+    # three micro-batches of any size: files of bounded size, a third of them at a time
+    size = documents(spark, sf, "text").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    third = 2 * max(1, math.ceil(size / SIX_FILES))
+    rows.repartition(3 * third, F.xxhash64("doc_id", "index")).write.parquet(folder)
     return runner.run_available(
-        stateful.segment_stream(runner.file_stream(spark, folder, "*.parquet", 2)), "append", "segment_events")
+        stateful.segment_stream(runner.file_stream(spark, folder, "*.parquet", third)), "append", "segment_events")
 
 
 SESSION_GAP, SESSION_DELAY = 6 * 3600 * 1000, 10_000

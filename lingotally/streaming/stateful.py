@@ -40,6 +40,7 @@ def _schema(df: DataFrame, key: str, rest: str) -> str:
 EVENT = ("sent bigint, stage int, index bigint, type string, original string, translated string, message string, "
          "is_complete boolean, total_segments bigint, machine_translation_notice string")
 HELD = 10_000  # rows of a document that a task holds outside the state store
+WIDTH = 128  # neighbours by index that wait as one value of the store
 
 
 def segment_rows(segments: DataFrame, totals: DataFrame, key: str = "doc_id", idx: str = "seg_idx") -> DataFrame:
@@ -52,70 +53,88 @@ def segment_rows(segments: DataFrame, totals: DataFrame, key: str = "doc_id", id
 
 
 class _InOrder(StatefulProcessor):
-    """Releases the segments of a document by index; ``complete`` follows the last one."""
+    """Releases the segments of a document by index; ``complete`` follows the last one.
+
+    Every call of the store is a round trip, so segments wait in chunks of ``WIDTH`` neighbours: a document costs a
+    few calls per micro-batch and chunk that it touches, not some per segment.
+    """
 
     def __init__(self, names: list[str]):
         self.names = names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.row = Row(*self.names)
-        self.head = handle.getValueState("head", "next bigint, sent bigint, total bigint, ended boolean")
-        self.waiting = handle.getMapState("waiting", "index bigint", "original string, translated string, message string, blank boolean")
+        self.head = handle.getValueState("head", "next bigint, sent bigint, total bigint, ended boolean, chunks bigint")
+        self.waiting = handle.getMapState(
+            "waiting", "chunk bigint",
+            "`index` array<bigint>, original array<string>, translated array<string>, message array<string>")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        following, sent, total, ended = self.head.get() if self.head.exists() else (0, 0, None, False)
+        self.following, self.sent, total, ended, self.chunks = self.head.get() or (0, 0, None, False, 0)
         if ended:
             return
-        held: dict[int, tuple] = {}
-
-        def take(i: int):
-            if i in held:
-                return held.pop(i)
-            found = self.waiting.getValue((i,))
-            if found is not None:
-                self.waiting.removeKey((i,))
-            return found
-
-        for r in rows:
-            if r.total_segments is not None:
-                total = r.total_segments if total is None else total
-            if r["index"] is not None and r["index"] >= following and r["index"] not in held:
-                held[r["index"]] = (r.original, r.translated, r.message, r.blank)
-            if following in held:
-                own = held.pop(following)
-                while own is not None:
-                    if not own[3]:
-                        yield self.event(key, sent, following, own)
-                        sent += 1
-                    following += 1
-                    own = take(following)
-            if len(held) > HELD:
-                self._put(held)
-        own = take(following)
-        while own is not None:
-            if not own[3]:
-                yield self.event(key, sent, following, own)
-                sent += 1
-            following += 1
-            own = take(following)
-        self._put(held)
-        if total is not None and following >= total:
-            yield self.row(*key, sent, 3, 0, "complete", None, None, None, None, total, R.MT_NOTICE)
-            self.waiting.clear()
-            ended = True
-        self.head.update((following, sent, total, ended))
-
-    def _put(self, held: dict[int, tuple]) -> None:
-        for i, own in held.items():
-            if not self.waiting.containsKey((i,)):
-                self.waiting.updateValue((i,), own)
+        held: dict[int, dict[int, tuple]] = {}
+        n = 0
+        for index, original, translated, message, total_segments, _ in rows:
+            if total is None:
+                total = total_segments
+            if index is not None and index >= self.following:
+                held.setdefault(index // WIDTH, {}).setdefault(index, (original, translated, message))
+                n += 1
+            if n > HELD:
+                yield from self._settle(key, held)
+                n = 0
+        yield from self._settle(key, held)
+        if total is not None and self.following >= total:
+            yield self.row(*key, self.sent, 3, 0, "complete", None, None, None, None, total, R.MT_NOTICE)
+            if self.chunks:
+                self.waiting.clear()
+            self.chunks, ended = 0, True
+        self.head.update((self.following, self.sent, total, ended, self.chunks))
+
+    def _settle(self, key, held: dict[int, dict[int, tuple]]) -> Iterator[Row]:
+        """Sends what can go out and stores the rest, so that nothing stays outside the store."""
+        while True:
+            no = self.following // WIDTH
+            own, stored = self._chunk(no, held.pop(no, {}))
+            first = self.following
+            while self.following // WIDTH == no and self.following in own:
+                segment = own.pop(self.following)
+                if segment[0] is not None:
+                    yield self._event(key, self.following, segment)
+                    self.sent += 1
+                self.following += 1
+            if self.following // WIDTH == no:
+                if len(own) != stored or self.following > first:
+                    self._put(no, own, stored)
+                break
+            if stored:
+                self.waiting.removeKey((no,))
+                self.chunks -= 1
+        for no, rest in held.items():
+            own, stored = self._chunk(no, rest)
+            if len(own) > stored:
+                self._put(no, own, stored)
         held.clear()
 
-    def event(self, key, sent: int, index: int, own: tuple) -> Row:
-        original, translated, message, _ = own
+    def _chunk(self, no: int, new: dict[int, tuple]) -> tuple[dict[int, tuple], int]:
+        """Segments of a chunk, those that came first kept, and how many of them the store has."""
+        found = self.waiting.getValue((no,)) if self.chunks else None
+        old = {i: own for i, *own in zip(*found)} if found is not None else {}
+        return {**new, **old}, len(old)
+
+    def _put(self, no: int, own: dict[int, tuple], stored: int) -> None:
+        if own:
+            self.waiting.updateValue((no,), (list(own), *map(list, zip(*own.values()))))
+        elif stored:
+            self.waiting.removeKey((no,))
+        self.chunks += bool(own) - bool(stored)
+
+    def _event(self, key, index: int, own: tuple) -> Row:
+        original, translated, message = own
         if message is not None:
-            return self.row(*key, sent, 2, index, "error", None, None, message, None, None, None)
-        return self.row(*key, sent, 2, index, "segment", original, translated, None, True, None, None)
+            return self.row(*key, self.sent, 2, index, "error", None, None, message, None, None, None)
+        return self.row(*key, self.sent, 2, index, "segment", original, translated, None, True, None, None)
 
     def close(self) -> None:
         pass
@@ -129,8 +148,9 @@ def segment_stream(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     segment and carries the unskipped total; what comes after it is ignored. ``sent`` numbers the events.
     Rows: key, sent, stage, index, type, original, translated, message, is_complete, total_segments, notice.
     """
-    own = rows.select(key, "index", "original", "translated", "message", "total_segments",
-                      X.is_blank(F.col("original")).alias("blank"))
+    text = F.col("original")
+    own = rows.select("index", F.when(~X.is_blank(text), text).alias("original"), "translated", "message",
+                      "total_segments", key)  # a blank segment is one without a text
     return own.groupBy(key).transformWithState(
         _InOrder([key, *_names(EVENT)]), _schema(rows, key, EVENT), "Append", "None")
 

@@ -5,7 +5,7 @@ import random
 import time
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from lingotally import refdata as R
 from lingotally.plans import translate as P
@@ -101,6 +101,74 @@ def test_a_crowded_document_overflows_to_the_store(spark, tmp_path, monkeypatch)
     assert [x["index"] for x in got] == [*range(n), 0] and got[-1].type == "complete"
 
 
+class Store:
+    """State of one key that counts its calls; all the kinds of state in one."""
+
+    def __init__(self):
+        self.calls, self.values, self.timers = 0, {}, set()
+
+    def state(self, name):
+        store = self
+
+        class State:
+            def __getattr__(self, call):
+                def run(*args):
+                    store.calls += 1
+                    k = (name, args[0]) if call in ("getValue", "containsKey", "updateValue", "removeKey") else name
+                    if call in ("update", "put", "updateValue"):
+                        store.values[k] = args[-1]
+                    elif call == "removeKey":
+                        store.values.pop(k, None)
+                    elif call == "clear":
+                        for x in [x for x in store.values if x == name or x[0] == name]:
+                            del store.values[x]
+                    elif call in ("exists", "containsKey"):
+                        return k in store.values
+                    elif call in ("get", "getValue"):
+                        return store.values.get(k, [] if name in ("open", "ring") else None)
+                return run
+
+        return State()
+
+    def getValueState(self, name, *_):
+        return self.state(name)
+
+    getListState = getMapState = getValueState
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+    def listTimers(self):
+        self.calls += 1
+        return sorted(self.timers)
+
+
+def test_segments_cost_a_few_store_calls(monkeypatch):
+    """Documents of 80 and 1 000 segments in any order, over six micro-batches: calls by chunk, not by segment."""
+    monkeypatch.setattr(stateful, "HELD", 300)
+    event = [c.split()[0] for c in ("doc_id bigint, " + stateful.EVENT).split(", ")]
+    for n, most in ((80, 6 * 6), (1000, 6 * 40)):
+        r, store = random.Random(n), Store()
+        op = stateful._InOrder(event)
+        op.init(store)
+        rows = [(i, None if i % 7 == 3 else f"s{i}", "t", "bad" if i % 5 == 4 else None, None, 1) for i in range(n)]
+        rows += rows[::9] + [(None, None, None, None, n, 1)]
+        r.shuffle(rows)
+        fields = Row("index", "original", "translated", "message", "total_segments", "doc_id")
+        got = []
+        for b in range(6):
+            got += op.handleInputRows((1,), iter([fields(*x) for x in rows[b::6]]), None)
+        shown = [i for i in range(n) if i % 7 != 3]
+        assert [x["index"] for x in got] == [*shown, 0] and [x.sent for x in got] == list(range(len(shown) + 1))
+        assert [x.type for x in got] == ["error" if i % 5 == 4 else "segment" for i in shown] + ["complete"]
+        assert store.calls <= most and list(store.values) == ["head"]
+
+
 CHUNK = "session_id string, ts timestamp, chunk_idx int, language string, error string"
 
 
