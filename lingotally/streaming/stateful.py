@@ -7,6 +7,7 @@ write only what a micro-batch touches, so a batch costs its own rows, however lo
 from __future__ import annotations
 
 import sys
+from bisect import bisect_left
 from collections.abc import Iterator
 
 from pyspark import cloudpickle
@@ -164,7 +165,8 @@ SUMMARY = ("type string, started_ms bigint, at_ms bigint, n_chunks bigint, total
 
 
 class _Sessions(StatefulProcessor):
-    """Open sessions of a source as a short list of intervals; a timer per interval ends it after silence."""
+    """Open sessions of a source as a short list of intervals, read and written whole; one timer per source, for the
+    interval that ends first, ends by silence all that are due by then."""
 
     def __init__(self, gap_ms: int, chunk_ms: int, names: list[str]):
         self.gap, self.chunk, self.names = gap_ms, chunk_ms, names
@@ -177,16 +179,25 @@ class _Sessions(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         kept = [tuple(x) for x in self.open.get()]
         new = []
-        for r in rows:
-            good = r.error is None
-            new.append((r.at_ms, r.at_ms, 1, r.chunk_idx, int(not good), r.chunk_idx if good else -1,
-                        r.language if good else None))
-        known = {(x[0]) for x in kept}
+        for at, chunk, language, error, *_ in rows:
+            good = error is None
+            new.append((at, at, 1, chunk, int(not good), chunk if good else -1, language if good else None))
+        known = sorted(x[0] for x in kept)
         merged = self._merge(kept + new)
         for x in merged:
-            if not any(x[0] <= k <= x[1] for k in known):
+            i = bisect_left(known, x[0])
+            if i == len(known) or known[i] > x[1]:
                 yield self._row(key, "live_started", x[0], x)
-        self._keep(merged)
+        self.open.put(merged)
+        before, due = self._due(kept), self._due(merged)
+        if due != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(due)
+
+    def _due(self, spans: list[tuple]) -> int | None:
+        """When the first of the intervals ends."""
+        return min(s[1] for s in spans) + self.gap + 1 if spans else None
 
     def _merge(self, spans: list[tuple]) -> list[tuple]:
         """Intervals no further apart than the gap become one."""
@@ -200,30 +211,22 @@ class _Sessions(StatefulProcessor):
                 out.append(s)
         return out
 
-    def _keep(self, spans: list[tuple]) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if spans:
-            self.open.put(spans)
-            for s in spans:
-                self.handle.registerTimer(s[1] + self.gap + 1)
-        else:
-            self.open.clear()
-
     def _row(self, key, kind: str, at: int, s: tuple) -> Row:
         if kind == "live_started":
             return self.row(*key, kind, s[0], at, None, None, None, None, None)
         return self.row(*key, kind, s[0], at, s[2], s[3] + 1, (s[3] + 1) * self.chunk, s[4], s[6] or "—")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        due = expiredTimerInfo.getExpiryTimeInMs() - self.gap - 1
-        spans = [tuple(x) for x in self.open.get()]
-        for s in spans:
-            if s[1] <= due:
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        left = []
+        for s in map(tuple, self.open.get()):
+            if s[1] + self.gap + 1 <= now:
                 yield self._row(key, "live_stopped", s[1] + self.gap, s)
-        left = [s for s in spans if s[1] > due]
+            else:
+                left.append(s)
         if left:
             self.open.put(left)
+            self.handle.registerTimer(self._due(left))
         else:
             self.open.clear()
 
@@ -241,7 +244,7 @@ def live_sessions(chunks: DataFrame, session: str = "session_id", ts: str = "ts"
     the good chunk with the highest index.
     """
     own = chunks.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
-    own = own.select(session, ts, F.unix_millis(ts).alias("at_ms"), F.col("chunk_idx").cast("bigint"), "language", "error")
+    own = own.select(F.unix_millis(ts).alias("at_ms"), F.col("chunk_idx").cast("bigint"), "language", "error", session, ts)
     return own.groupBy(session).transformWithState(
         _Sessions(gap_ms, chunk_ms, [session, *_names(SUMMARY)]), _schema(chunks, session, SUMMARY), "Append", "EventTime")
 

@@ -3,6 +3,7 @@
 import os
 import random
 import time
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import Row, functions as F
@@ -188,6 +189,38 @@ def chunk_table(spark):
     return df.withColumn("ts", F.timestamp_seconds("ts"))
 
 
+def test_sessions_share_a_timer():
+    """Thirty sessions of a source cost a few calls of the store; those that are due end together."""
+    gap, hour = 1000, 3_600_000
+    names = [c.split()[0] for c in ("session_id string, " + stateful.SUMMARY).split(", ")]
+    store, clock = Store(), {"now": 0}
+    op = stateful._Sessions(gap, 10, names)
+    op.init(store)
+    values = SimpleNamespace(getCurrentWatermarkInMs=lambda: clock["now"])
+    row = Row("at_ms", "chunk_idx", "language", "error", "session_id", "ts")
+
+    def fire():
+        out = []
+        for at in sorted(t for t in store.timers if t < clock["now"]):
+            out += op.handleExpiredTimer(("a",), values, SimpleNamespace(getExpiryTimeInMs=lambda: at))
+            store.timers.discard(at)
+        return out
+
+    chunks = [row(i * hour + j * 500, 3 * i + j, "de", None, "a", None) for i in range(30) for j in range(3)]
+    random.Random(3).shuffle(chunks)
+    begun = [*op.handleInputRows(("a",), iter(chunks[:50]), values), *op.handleInputRows(("a",), iter(chunks[50:]), values)]
+    assert {x.started_ms // hour for x in begun} == set(range(30))
+    clock["now"] = 20 * hour
+    ended = fire()
+    assert [(x.at_ms, x.n_chunks, x.total_chunks) for x in ended] == [(i * hour + 2000, 3, 3 * i + 3) for i in range(20)]
+    assert fire() == [] and len(store.timers) == 1
+    list(op.handleInputRows(("a",), iter([row(20 * hour + 1200, 99, "fr", None, "a", None)]), values))
+    clock["now"] = 40 * hour
+    ended = fire()
+    assert len(ended) == 10 and (ended[0].n_chunks, ended[0].last_language) == (4, "fr")
+    assert not store.timers and not store.values and store.calls <= 25
+
+
 @pytest.mark.parametrize("parts", [1, 6])
 def test_sessions_stop_by_silence(spark, tmp_path, parts):
     chunks = chunk_table(spark)
