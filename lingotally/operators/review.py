@@ -45,10 +45,8 @@ def flags_to_results(flags: DataFrame, results: DataFrame, segments: DataFrame)
     )
     by_file = named.join(seg, KEYS, "left").join(whole, "file_path", "left")
 
-    first_seg = (
-        restrict_to(segments, unnamed, ["segment_index"])
-        .groupBy("segment_index").agg(F.min_by(F.struct(*texts), "file_path").alias("_s"))
-    )
+    # Grouped first, then joined: one row per number and task is shuffled, not all texts of a number.
+    first_seg = segments.groupBy("segment_index").agg(F.min_by(F.struct(*texts), "file_path").alias("_s"))
     first_whole = results.filter("translated_text is not null").agg(
         F.min_by(F.struct(*texts), "file_path").alias("_r")
     )

@@ -112,3 +112,11 @@ def test_rule_scan_is_one_pass(spark):
     many = [dict(r, rule=f"r{i}", string_id=f"s{i}") for i in range(25) for r in rules.default_rules()[:1]]
     text = plan(rules.rule_hits(df, {"source": "t"}, ["id"], many))
     assert text.count("Scan") == 1 and "Join" not in text
+
+
+def test_first_segments_are_grouped_before_they_move(spark, sf):
+    """Segment numbers are few: texts dealt by number alone would meet in a task per number."""
+    df = QUERIES["flags_to_results"](spark, sf)
+    joins = re.findall(r"Join [^\n]*", df._jdf.queryExecution().optimizedPlan().toString())
+    by_number = [j for j in joins if "segment_index" in j and "file_path" not in j]
+    assert len(by_number) == 1 and "LeftOuter" in by_number[0]
