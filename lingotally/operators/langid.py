@@ -25,7 +25,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TOP_K = 300
 MAX_PROFILE_ROWS = 500_000
-BATCH_CHARS = 2_000_000  # characters scored at once in a worker
+BATCH_CHARS = 500_000  # characters scored at once in a worker
 
 
 def sample(text: Column, n: int | None = None) -> Column:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings the operators rely on. Offsets and calendar text are computed without the
 # session zone, but windows over event time are not, hence UTC. Skew splitting is left to AQE for
-# plain equi-joins; the operators salt on their own only where AQE cannot see the hot group.
+# plain equi-joins; the operators salt on their own only where AQE cannot see the hot group. Whole texts
+# go to Python, so its batches end by bytes: 10 000 rows of any length would have no bound.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -17,6 +18,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
 }
 
 _MADE: dict[str, list[str]] = {}  # application -> folders of ``work_dir``

@@ -2,11 +2,13 @@
 
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lingotally.operators import infer, intervals, langid, rules
 from lingotally.plans.catalogue import QUERIES
+from lingotally.session import tune
 
 NARROW = ["text_metrics", "sentences", "rule_hits", "rule_offsets", "script_profile", "dialect_verdict",
           "route", "code_switch", "epoch_convert", "epoch_detect", "kind_robust", "html_escape",
@@ -120,3 +122,13 @@ def test_first_segments_are_grouped_before_they_move(spark, sf):
     joins = re.findall(r"Join [^\n]*", df._jdf.queryExecution().optimizedPlan().toString())
     by_number = [j for j in joins if "segment_index" in j and "file_path" not in j]
     assert len(by_number) == 1 and "LeftOuter" in by_number[0]
+
+
+def test_python_batches_are_bounded_by_bytes(spark):
+    """Long texts come to Python in batches of a few MB, whatever the number of rows that a batch may have."""
+    @F.pandas_udf("long")
+    def batch_chars(texts: pd.Series) -> pd.Series:
+        return pd.Series([texts.str.len().sum()] * len(texts))
+
+    df = tune(spark).range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 20_000).alias("text"))
+    assert df.agg(F.max(batch_chars("text"))).first()[0] <= 5 << 20
