@@ -141,19 +141,19 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
         key = b.roll.between(start[one], start[two] + length)
         return {"start": start, "owner": owner, "print": print_, "from": one, "to": two, "key": key}
 
-    def earlier(b: Block, key: np.ndarray, owner: np.ndarray, start: np.ndarray, told: np.ndarray) -> np.ndarray:
-        """Keys that a smaller document holds (told, or in the block), or the same one before."""
+    def earlier(b: Block, key: np.ndarray, owner: np.ndarray, told: np.ndarray) -> np.ndarray:
+        """Keys, in order of place, that a smaller document holds (told, or in the block), or the same one before."""
         if not len(key):
             return np.zeros(0, dtype=bool)
         _, own, place = least_owner(key, owner)
         gone = told[place] | (b.ids[owner] > b.ids[own[place]])
-        order = np.lexsort((start, owner, place))
+        order = np.argsort(place, kind="stable")  # owners ascend as places do
         gone[order[1:]] |= (place[order[1:]] == place[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
         return gone
 
     def left(b: Block, c: dict, answers: pd.DataFrame) -> np.ndarray:
         """Suffixes that no removed stretch settles."""
-        gone = earlier(b, c["key"], c["owner"][c["from"]], c["start"][c["from"]], flags(answers, 1))
+        gone = earlier(b, c["key"], c["owner"][c["from"]], flags(answers, 1))
         step = np.zeros(len(c["start"]) + 1, dtype=np.int64)
         np.add.at(step, c["from"][gone], 1)
         np.add.at(step, c["to"][gone], -1)
@@ -185,7 +185,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
         c = candidates(b, answers)
         rest = left(b, c, answers)
         gone = ~rest
-        gone[rest] = earlier(b, c["print"][rest], c["owner"][rest], c["start"][rest], flags(answers, 2))
+        gone[rest] = earlier(b, c["print"][rest], c["owner"][rest], flags(answers, 2))
         drop = covered(c["start"][gone], length, len(b.data))
         rows = []
         for i, t in enumerate(b.texts):
