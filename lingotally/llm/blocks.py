@@ -39,29 +39,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 
 
-POWERS: dict[int, np.ndarray] = {}  # base -> its powers, kept by a worker up to the size of two blocks
-
-
-def powers_of(base: int, n: int) -> np.ndarray:
-    """The first ``n`` powers modulo 2^64."""
-    kept = POWERS.get(base)
-    if kept is None or len(kept) < n:
-        kept = np.full(n + n // 8, base, dtype=np.uint64)
-        kept[0] = 1
-        np.cumprod(kept, out=kept)
-        if n <= 2 * BLOCK_BYTES:
-            POWERS[base] = kept
-    return kept[:n]
-
-
 class Rolling:
     """Polynomial hash modulo 2^64 of any stretch of a byte string, from prefix sums."""
 
     def __init__(self, data: np.ndarray):
         n = len(data) + 1
+        powers = np.full(n, BASE, dtype=np.uint64)
+        powers[0] = 1
+        np.cumprod(powers, out=powers)
         self.sums = np.zeros(n, dtype=np.uint64)
-        np.cumsum(BYTE[data] * powers_of(BASE, n)[:-1], out=self.sums[1:])
-        self.back = powers_of(INVERSE, n)
+        np.cumsum(BYTE[data] * powers[:-1], out=self.sums[1:])
+        back = np.full(n, INVERSE, dtype=np.uint64)
+        back[0] = 1
+        self.back = np.cumprod(back)
 
     def between(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.back[start])
