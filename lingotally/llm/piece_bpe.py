@@ -2,7 +2,8 @@
 
 A text becomes " " + text with every space as U+2581 (what models without a normaliser do). It is cut in
 front of every run of U+2581: where no piece holds U+2581 after another character, no merge crosses there.
-Distinct words are encoded once per batch and remembered per Python worker (at most ``CACHE`` of them).
+Distinct words are encoded once per batch and remembered per Python worker (``CACHE`` of them, and those of a batch).
+Their ids as text and their decoded texts are cut out of one long text of all new words.
 
 Encoding keeps the symbols of all words in flat numpy arrays, with the rank of the merge that each symbol
 would make with the next one of its word. A round takes the least rank of every word, merges its leftmost
@@ -27,6 +28,7 @@ import heapq
 import re
 import sys
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -102,6 +104,12 @@ class Vocabulary:
         # what a piece adds to a text, None where that depends on its neighbours
         self.shown = [p.replace(SPACE, " ") if k == NORMAL else None for p, k in zip(self.pieces, kinds)]
         self.digits = [str(i) for i in range(len(self.pieces))]
+        self.digit_size = np.array([len(d) for d in self.digits], dtype=np.int64)
+        # the same as bytes, and how many characters they begin
+        self.raw = [p.replace(SPACE, " ").encode() if k == NORMAL else self.surface if k == UNKNOWN
+                    else bytes([self.byte_of[i]]) if k == BYTE else b""
+                    for i, (p, k) in enumerate(zip(self.pieces, kinds))]
+        self.raw_size = np.array([sum(b & 0xC0 != 0x80 for b in x) for x in self.raw], dtype=np.int64)
         self._merges([(p, float(np.frombuffer(r[SCORE][0], dtype="<f4")[0]) if SCORE in r else 0.0, i)
                       for i, (p, r, k) in enumerate(zip(self.pieces, rows, kinds)) if k == NORMAL])
 
@@ -113,6 +121,9 @@ class Vocabulary:
             for c in p:
                 symbols.setdefault(c, self.n_pieces + len(symbols) - len(normal))
         self.symbol = symbols
+        self.of_code = np.full(sys.maxunicode + 1, -1, dtype=np.int32)
+        single = {c: i for c, i in symbols.items() if len(c) == 1}
+        self.of_code[[ord(c) for c in single]] = list(single.values())
         self.n_symbols = max([self.n_pieces, *(s + 1 for s in symbols.values())])
         order = {s: r for r, s in enumerate(sorted({s for _, s, _ in normal}, reverse=True))}
         rank_of = {i: order[s] for _, s, i in normal}
@@ -130,9 +141,26 @@ class Vocabulary:
         self.keys = np.array(sorted(pairs), dtype=np.int64)
         self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()], dtype=np.int32)
         self.made = np.array([pairs[k][1] for k in self.keys.tolist()], dtype=np.int32)
-        # symbols that can stand at the left of a merge, so that most pairs need no search
         self._table: dict[tuple[int, int], tuple[int, int]] | None = None
-        self.starts = np.searchsorted(self.keys, np.arange(self.n_symbols + 1, dtype=np.int64) * self.n_symbols)
+        self._slots()
+
+    def _slots(self) -> None:
+        """Hash table of the merges, a quarter full at most; a taken slot passes on to the next."""
+        size = 1 << max(4, 2 + len(self.keys).bit_length())
+        self.shift, self.last = np.uint64(65 - size.bit_length()), size - 1
+        self.slot_key, self.slot_at = np.full(size, -1, dtype=np.int64), np.zeros(size, dtype=np.int32)
+        at, rest = self._slot(self.keys), np.arange(len(self.keys))
+        while len(rest):
+            free = self.slot_key[at] < 0
+            _, one = np.unique(at[free], return_index=True)
+            won = np.flatnonzero(free)[one]
+            self.slot_key[at[won]], self.slot_at[at[won]] = self.keys[rest[won]], rest[won]
+            more = np.ones(len(rest), dtype=bool)
+            more[won] = False
+            rest, at = rest[more], at[more] + 1 & self.last
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
 
     def table(self) -> dict[tuple[int, int], tuple[int, int]]:
         """(left, right) -> (rank, piece), made when first asked for."""
@@ -145,12 +173,15 @@ class Vocabulary:
         """Rank and piece of merging neighbours; rank ``NONE`` where they do not merge. Negative symbols never do."""
         rank, piece = np.full(len(left), NONE, dtype=np.int32), np.full(len(left), -1, dtype=np.int32)
         able = np.flatnonzero((left >= 0) & (right >= 0))
-        able = able[self.starts[left[able]] < self.starts[left[able] + 1]]
-        if len(able) and len(self.keys):
-            key = left[able].astype(np.int64) * self.n_symbols + right[able]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[at] == key
-            rank[able[hit]], piece[able[hit]] = self.ranks[at[hit]], self.made[at[hit]]
+        key = left[able].astype(np.int64) * self.n_symbols + right[able]
+        at = self._slot(key)
+        while len(able):
+            found = self.slot_key[at]
+            hit = found == key
+            merge, to = self.slot_at[at[hit]], able[hit]
+            rank[to], piece[to] = self.ranks[merge], self.made[merge]
+            on = np.flatnonzero(~hit & (found >= 0))
+            able, key, at = able[on], key[on], at[on] + 1 & self.last
         return rank, piece
 
 
@@ -189,22 +220,23 @@ def _one_by_one(v: Vocabulary, symbols: list[int]) -> list[int]:
 
 
 def _flat(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Symbols of all words, the word of each, and the characters that are no symbol (symbol -1 - place)."""
-    strange: dict[str, int] = {}
-    known = v.symbol
-    flat = [known[c] if c in known else -1 - strange.setdefault(c, len(strange)) for w in words for c in w]
-    return np.array(flat, dtype=np.int32), np.repeat(np.arange(len(words)), [len(w) for w in words]), list(strange)
+    """Symbols of all words, the size of each word, and the characters that are no symbol (symbol -1 - place)."""
+    code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    symbols = v.of_code[code]
+    odd = np.flatnonzero(symbols < 0)
+    strange, place = np.unique(code[odd], return_inverse=True)
+    symbols[odd] = -1 - place
+    return symbols, np.fromiter(map(len, words), dtype=np.int64, count=len(words)), [chr(c) for c in strange.tolist()]
 
 
-def _cut_long(v: Vocabulary, words: list[str], owner: np.ndarray) -> np.ndarray:
+def _cut_long(v: Vocabulary, words: list[str], size: np.ndarray) -> np.ndarray:
     """Numbers of the pieces of work: words, those above ``LONG`` cut between characters that no piece joins."""
-    new = np.zeros(len(owner), dtype=bool)
-    new[1:] = owner[1:] != owner[:-1]
-    at = 0
-    for w in words:
-        if len(w) > LONG:
-            new[at + 1:at + len(w)] = [p not in v.sides for p in zip(w, w[1:])]
-        at += len(w)
+    start = np.cumsum(size) - size
+    new = np.zeros(int(size.sum()), dtype=bool)
+    new[start] = True
+    for i in np.flatnonzero(size > LONG).tolist():
+        w, at = words[i], start[i]
+        new[at + 1:at + len(w)] = [p not in v.sides for p in zip(w, w[1:])]
     return np.cumsum(new)
 
 
@@ -268,29 +300,35 @@ def merge_rounds(v: Vocabulary, symbols: np.ndarray, part: np.ndarray) -> np.nda
     return done
 
 
-def encode_words(v: Vocabulary, words: list[str]) -> list[list[int]]:
-    """Ids of every word (a run of U+2581, if any, and what follows it)."""
-    symbols, owner, strange = _flat(v, words)
-    done = merge_rounds(v, symbols, _cut_long(v, words, owner))
+def encode_flat(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words (a run of U+2581, if any, and what follows it), and how many each word has."""
+    symbols, size, strange = _flat(v, words)
+    done = merge_rounds(v, symbols, _cut_long(v, words, size))
     left = done != np.iinfo(np.int32).min
-    owner, done = owner[left], done[left]
+    owner, done = np.repeat(np.arange(len(words)), size)[left], done[left]
     odd = np.flatnonzero((done < 0) | (done >= v.n_pieces))
-    at = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
-    flat = done.tolist()
-    out = [flat[a:b] for a, b in zip(at, at[1:])]
     if len(odd):
         names = {s: c for c, s in v.symbol.items() if s >= v.n_pieces}
-        for w in np.unique(owner[odd]).tolist():
-            ids: list[int] = []
-            for s in out[w]:
-                if 0 <= s < v.n_pieces:
-                    ids.append(s)
-                elif v.id_of_byte:
-                    ids.extend(v.id_of_byte[b] for b in (strange[-1 - s] if s < 0 else names[s]).encode("utf-8"))
-                else:
-                    ids.append(v.unknown)
-            out[w] = ids
-    return out
+        kinds, place = np.unique(done[odd], return_inverse=True)
+        spelled = [[v.id_of_byte[b] for b in (strange[-1 - s] if s < 0 else names[s]).encode("utf-8")]
+                   if v.id_of_byte else [v.unknown] for s in kinds.tolist()]
+        most = max(map(len, spelled))
+        table = np.array([ids + [-1] * (most - len(ids)) for ids in spelled], dtype=np.int32)[place]
+        times = np.ones(len(done), dtype=np.int64)
+        times[odd] = (table >= 0).sum(axis=1)
+        at = (np.cumsum(times) - times)[odd]
+        owner, done = np.repeat(owner, times), np.repeat(done, times)
+        for k in range(most):
+            full = table[:, k] >= 0
+            done[at[full] + k] = table[full, k]
+    return done, np.bincount(owner, minlength=len(words))
+
+
+def encode_words(v: Vocabulary, words: list[str]) -> list[list[int]]:
+    """Ids of every word."""
+    ids, size = encode_flat(v, words)
+    flat, ends = ids.tolist(), np.cumsum(size).tolist()
+    return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
 
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -303,22 +341,53 @@ def cut(v: Vocabulary, text: str | None) -> list[str]:
     return WORD.findall(SPACE + spaced if v.prefix else spaced)
 
 
+def _pieces_of(whole: str, ends: np.ndarray, gap: int = 0) -> list[str]:
+    """Stretches of a text up to each end, without the last ``gap`` characters."""
+    at = ends.tolist()
+    return [whole[a:b - gap] for a, b in zip([0, *at], at)]
+
+
+def worded(v: Vocabulary, words: list[str]) -> list[tuple[str, str]]:
+    """Per word its ids as text, and the text they decode to inside a text."""
+    if not words:
+        return []
+    ids, size = encode_flat(v, words)
+    last = np.cumsum(size)
+    flat = ids.tolist()
+    ends = np.cumsum(v.digit_size[ids] + 1)[last - 1]
+    written = _pieces_of(",".join([v.digits[i] for i in flat]) + ",", ends, gap=1)
+    # words hold whole characters, so the bytes of all words are UTF-8, cut where a word's last character ends
+    shown = _pieces_of(b"".join([v.raw[i] for i in flat]).decode("utf-8"), np.cumsum(v.raw_size[ids])[last - 1])
+    return list(zip(written, shown))
+
+
 class Memory:
-    """What a worker remembers of distinct words: ids, the ids as text, and the text they decode to inside a text."""
+    """What a worker remembers of distinct words: the ids as text, and the text they decode to inside a text."""
 
     def __init__(self, v: Vocabulary, most: int = CACHE):
         self.v, self.most = v, most
-        self.words: dict[str, tuple[list[int], str, str]] = {}
+        self.words: dict[str, tuple[str, str]] = {}
+
+    def learn(self, split: list[list[str]]) -> list[list[tuple[str, str]]]:
+        """What is known of every word."""
+        flat = list(chain.from_iterable(split))
+        own = list(map(self.words.get, flat))
+        missing = [i for i, x in enumerate(own) if x is None]
+        new = list(dict.fromkeys([flat[i] for i in missing]))
+        made = dict(zip(new, worded(self.v, new)))
+        for i in missing:
+            own[i] = made[flat[i]]
+        if len(self.words) + len(made) > self.most:
+            self.words = dict(zip(flat, own))
+        else:
+            self.words.update(made)
+        ends = np.cumsum([len(words) for words in split]).tolist()
+        return [own[a:b] for a, b in zip([0, *ends], ends)]
+
 
-    def learn(self, split: list[list[str]]) -> None:
-        seen = set().union(*split)
-        new = list(seen.difference(self.words))
-        if len(self.words) + len(new) > self.most:
-            self.words.clear()
-            new = list(seen)
-        digits = self.v.digits
-        for w, ids in zip(new, encode_words(self.v, new)):
-            self.words[w] = (ids, ",".join([digits[i] for i in ids]), decode(self.v, ids, first=False))
+def numbers(own: list[tuple[str, str]]) -> list[int]:
+    """Ids of words, from their text."""
+    return list(map(int, ",".join([x[0] for x in own]).split(","))) if own else []
 
 
 def one_unknown(v: Vocabulary, ids: list[int]) -> list[int]:
@@ -328,9 +397,8 @@ def one_unknown(v: Vocabulary, ids: list[int]) -> list[int]:
 
 def encode_batch(memory: Memory, texts: list[str | None]) -> list[list[int]]:
     """Ids of every text, without begin or end."""
-    split = [cut(memory.v, t) for t in texts]
-    memory.learn(split)
-    return [one_unknown(memory.v, [i for w in words for i in memory.words[w][0]]) for words in split]
+    known = memory.learn([cut(memory.v, t) for t in texts])
+    return [one_unknown(memory.v, numbers(own)) for own in known]
 
 
 def decode(v: Vocabulary, ids: list[int], first: bool = True) -> str:
@@ -403,17 +471,14 @@ def token_text(path: str):
     def run(texts: pd.Series) -> pd.DataFrame:
         memory = memory_of(path)
         v = memory.v
-        split = [cut(v, t) for t in texts]
-        memory.learn(split)
         rows = []
-        for words in split:
-            own = [memory.words[w] for w in words]
+        for own in memory.learn([cut(v, t) for t in texts]):
             if v.id_of_byte:  # a word ends no run of the next one's bytes, as that begins with U+2581
-                start = decode(v, own[0][0]) if own else ""
-                rows.append((sum([len(x[0]) for x in own]), ",".join([x[1] for x in own]),
-                             start + "".join([x[2] for x in own[1:]])))
+                ids = ",".join([x[0] for x in own])
+                rows.append((ids.count(",") + 1 if own else 0, ids,
+                             decode(v, numbers(own[:1])) + "".join([x[1] for x in own[1:]])))
             else:
-                ids = one_unknown(v, [i for x in own for i in x[0]])
+                ids = one_unknown(v, numbers(own))
                 rows.append((len(ids), ",".join(map(str, ids)), decode(v, ids)))
         return pd.DataFrame(rows, columns=DIGEST.names)
 

@@ -8,6 +8,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -292,6 +293,30 @@ def test_pieces_of_documents(spark, sf, docs, odd, model):
     assert piece_bpe.tokenized(odd.limit(0), path).count() == 0
 
 
+def test_digest_of_strange_texts(model):
+    path, library = model
+    texts = strange_texts([p.replace("▁", " ") for p in piece_bpe.vocabulary(path).pieces[259:]], 400)
+    rows = piece_bpe.token_text(path).func(pd.Series(texts, dtype=object))
+    for t, n, written, decoded in zip(texts, *(rows[c] for c in piece_bpe.DIGEST.names)):
+        ids = library.encode(t or "")
+        assert (n, written, decoded) == (len(ids), ",".join(map(str, ids)), library.decode(ids))
+
+
+def test_full_memory_keeps_the_words_of_the_batch(model, monkeypatch):
+    """A batch above the bound merges its new words only, not those that were known."""
+    v, merge, merged = piece_bpe.vocabulary(model[0]), piece_bpe.merge_rounds, []
+    monkeypatch.setattr(piece_bpe, "merge_rounds", lambda v, s, part: merged.append(len(s)) or merge(v, s, part))
+    memory = piece_bpe.Memory(v, most=1000)
+    first = " ".join(f"word{i}" for i in range(1000))
+    want = piece_bpe.encode_batch(piece_bpe.Memory(v), [first, first + " newcomer"])
+    merged.clear()
+    got = piece_bpe.encode_batch(memory, [first])
+    got += piece_bpe.encode_batch(memory, [first + " newcomer"])
+    got += piece_bpe.encode_batch(memory, [first])
+    assert got == [want[0], want[1], want[0]]
+    assert merged[0] > 5000 and sum(merged[1:]) == len("▁newcomer")
+
+
 def test_other_models_are_refused():
     with pytest.raises(ValueError):
         piece_bpe.Vocabulary(bytes([0x0A, 3, 0x0A, 1, 0x61, 0x12, 2, 0x18, 1, 0x1A, 0]))
