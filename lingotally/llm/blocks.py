@@ -118,6 +118,12 @@ def unpack(raw: bytes) -> np.ndarray:
     return np.cumsum(unplanes(raw, np.uint64), dtype=np.uint64)
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys. Sorted, because ``np.unique`` hashes values, at many times the cost."""
+    k = np.sort(keys)
+    return k[np.append(True, k[1:] != k[:-1])] if len(k) else k
+
+
 def slices(keys: np.ndarray, n: int, bits: int = 64) -> list[tuple[int, int, int]]:
     """(bucket, from, to) of sorted keys of ``bits`` bits cut to ``n`` equal ranges; empty ones left out."""
     top = (keys >> np.uint64(bits - 32)) if bits > 32 else keys << np.uint64(32 - bits)

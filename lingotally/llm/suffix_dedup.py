@@ -36,7 +36,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
 from lingotally.llm import blocks as B
-from lingotally.llm.window_dedup import ANSWERS, KEYS, NEVER, answer, covered, flags, least_owner, read_block, report
+from lingotally.llm.window_dedup import (
+    ANSWERS, KEYS, NEVER, answer, covered, flags, least_owner, places, read_block, report)
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -113,7 +114,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
 
     def sample_keys(key, pdf: pd.DataFrame) -> pd.DataFrame:
         b = Block(pdf, length)
-        keys = np.unique(b.samples(cover, period, bits)[1])
+        keys = B.distinct(b.samples(cover, period, bits)[1])
         return pd.DataFrame([(s, int(key[0]), B.pack(keys[x:y])) for s, x, y in B.slices(keys, n, bits)],
                             columns=["bucket", "block", "keys"])
 
@@ -145,10 +146,14 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
         """Keys that a smaller document holds (told, or in the block), or the same one before."""
         if not len(key):
             return np.zeros(0, dtype=bool)
-        _, own, place = least_owner(key, owner)
-        gone = told[place] | (b.ids[owner] > b.ids[own[place]])
-        order = np.lexsort((start, owner, place))
-        gone[order[1:]] |= (place[order[1:]] == place[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
+        _, first, place = places(key)
+        first = first[place]
+        least = owner[first]
+        gone = told[place] | (b.ids[owner] > b.ids[least]) | ((owner == least) & (first != np.arange(len(key))))
+        twin = np.flatnonzero(~gone & (owner != least))  # other rows with the id of the least owner
+        if len(twin):
+            twin = twin[np.lexsort((start[twin], owner[twin], place[twin]))]
+            gone[twin[1:]] = (place[twin[1:]] == place[twin[:-1]]) & (owner[twin[1:]] == owner[twin[:-1]])
         return gone
 
     def left(b: Block, c: dict, answers: pd.DataFrame) -> np.ndarray:

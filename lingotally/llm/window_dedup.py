@@ -41,9 +41,23 @@ def read_block(pdf: pd.DataFrame) -> tuple[list[bytes], np.ndarray]:
     return [texts[i] for i in order], ids[order]
 
 
+def places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, where each stands first, and every key's place among them. The least of a key's places
+    is looked for after the sort, which so need not be a stable one."""
+    if not len(keys):
+        return keys, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    order = np.argsort(keys)
+    k = keys[order]
+    new = np.append(True, k[1:] != k[:-1])
+    place = np.empty(len(keys), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    return k[starts], np.minimum.reduceat(order, starts), place
+
+
 def least_owner(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct keys, the first owner of each (owners ascend), and every key's place among them."""
-    found, first, place = np.unique(keys, return_index=True, return_inverse=True)
+    found, first, place = places(keys)
     return found, owner[first], place
 
 
@@ -67,7 +81,7 @@ def answer(pdf: pd.DataFrame, step: int) -> pd.DataFrame:
         owners.append(np.frombuffer(docs, dtype=np.int64)[B.unplanes(own, kind)])
     size = [len(k) for k in keys]
     k, d = np.concatenate(keys), np.concatenate(owners)
-    order = np.argsort(k, kind="stable")
+    order = np.argsort(k)
     k = k[order]
     starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
     least = np.minimum.reduceat(d[order], starts)
