@@ -143,7 +143,8 @@ def links(nodes: DataFrame, cell: int = CELL) -> DataFrame:
     """
     keys = ring_keys(nodes)
     many = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = keys.join(many, "key")
+    # Spark sizes both sides as the fingerprints before they became 64 keys each, and would send them through the driver
+    shared = keys.join(many.hint("merge"), "key")
     blocks = F.ceil(F.col("n") / cell)
     own = F.pmod(F.xxhash64("fp"), blocks)
     pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), blocks - 1),

@@ -208,6 +208,16 @@ def test_components_of_a_long_chain(spark):
     assert {(r.node, r.root) for r in simhash.components(edges).collect()} == {(i, 0) for i in range(1, 601)}
 
 
+def test_keys_of_fingerprints_do_not_pass_the_driver(spark):
+    fps = spark.range(2000).select(F.xxhash64("id").alias("fp"))
+    nodes = fps.union(fps.select(F.col("fp").bitwiseXOR(F.lit(1)))).checkpoint(eager=True)
+    found = simhash.links(nodes.repartition(4, "fp"))
+    assert found.count() == 2000
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_places_of_keys():
     r = np.random.default_rng(4)
     for n, top in ((0, 9), (1, 9), (500, 9), (5000, 1 << 62)):
