@@ -218,6 +218,17 @@ def test_keys_of_fingerprints_do_not_pass_the_driver(spark):
     assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_near_dedup_stage_does_not_broadcast_keys(spark, sf, monkeypatch):
+    import corpus_pipeline
+
+    kept, real = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *args: kept.append(real(*args)) or kept[-1])
+    corpus_pipeline.near_dedup(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).count()
+    kept[0].collect()
+    plan = kept[0]._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_places_of_keys():
     r = np.random.default_rng(4)
     for n, top in ((0, 9), (1, 9), (500, 9), (5000, 1 << 62)):
