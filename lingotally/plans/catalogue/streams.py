@@ -208,8 +208,11 @@ SQL_PLANTED = f"""pl AS (SELECT doc_id, lang, {PLANT} AS text FROM documents),
  len(l) AS n FROM pl JOIN dv USING (doc_id) JOIN us USING (doc_id))"""
 
 
-def _translated(spark, sf):
-    """Documents with language and dialect, their sentences, and the foreign ones translated."""
+def _translated(spark, sf, store=False):
+    """Documents with language and dialect, their sentences, and the foreign ones translated.
+
+    ``store`` cuts the sentences once, into the shared folder, and looks up once a document whether it is foreign.
+    """
     d = documents(spark, sf, "text", "lang").select(
         "doc_id", F.expr(PLANT).alias("text"),
         F.when(F.col("doc_id") % 3 == 0, "ar").otherwise(F.col("lang")).alias("language"),
@@ -219,8 +222,15 @@ def _translated(spark, sf):
     docs = d.withColumn("d", found).select(
         "*", F.col("d.dialect").alias("dialect"), F.col("d.confidence").alias("dialect_confidence")
     ).drop("d")
-    units = P.sentence_units(docs, ["doc_id"])
-    foreign = units.join(docs.filter(F.col("language") != TARGET).select("doc_id"), "doc_id", "left_semi")
+    others = docs.filter(F.col("language") != TARGET).select("doc_id")
+    if store:
+        marked = docs.select("doc_id", "text").join(
+            others.distinct().withColumn("_foreign", F.lit(True)), "doc_id", "left")
+        units = session.stored(P.sentence_units(marked, ["doc_id", "_foreign"]), "units")
+        foreign = units.filter("_foreign").drop("_foreign")
+    else:
+        units = P.sentence_units(docs, ["doc_id"])
+        foreign = units.join(others, "doc_id", "left_semi")
     return docs, units, P.translate_segments(foreign, infer.tagging_model(TARGET), ["doc_id"])
 
 
@@ -281,7 +291,7 @@ SIX_FILES = 256 << 20  # bytes of document text whose segments arrive as six fil
  CAST(total_segments AS BIGINT) AS total_segments, notice AS machine_translation_notice FROM ev WHERE stage >= 2""")
 def segment_stream(spark, sf):
     """Sentences that arrive in micro-batches in any order, released in order of index; ``complete`` last."""
-    docs, units, segs = _translated(spark, sf)
+    docs, units, segs = _translated(spark, sf, store=True)
     foreign = F.col("language") != TARGET
     totals = docs.join(units.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").select(
         "doc_id", F.when(foreign, F.coalesce("n", F.lit(0))).otherwise(0).alias("total_segments"))

@@ -6,12 +6,17 @@ write only what a micro-batch touches, so a batch costs its own rows, however lo
 
 from __future__ import annotations
 
+import gc
+import pickle
 import sys
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from lingotally import refdata as R
@@ -40,8 +45,12 @@ def _schema(df: DataFrame, key: str, rest: str) -> str:
 
 EVENT = ("sent bigint, stage int, index bigint, type string, original string, translated string, message string, "
          "is_complete boolean, total_segments bigint, machine_translation_notice string")
-HELD = 10_000  # rows of a document that a task holds outside the state store
+HELD = 10_000  # rows of a document, or of a bucket of them, that a task holds outside the state store
 WIDTH = 128  # neighbours by index that wait as one value of the store
+BUCKETS = 2048  # keys of the state; fixed, because a stream goes on with the buckets it was started with
+PAGE = 64 << 10  # bytes of documents that are read and written together, on average
+NEAR = 8  # chunks of a document that lie in its page; further ones are values of their own
+PACK = 16 << 20  # bytes of segments that a task packs at once
 
 
 def segment_rows(segments: DataFrame, totals: DataFrame, key: str = "doc_id", idx: str = "seg_idx") -> DataFrame:
@@ -141,6 +150,177 @@ class _InOrder(StatefulProcessor):
         pass
 
 
+class _Held:
+    """The state of one document at a time as ``_InOrder`` asks for it: its head and first chunks out of a page, the
+    chunks far on from the store."""
+
+    def __init__(self, far):
+        self.far = far
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+
+    def turn(self, key, doc: dict) -> None:
+        self.key, self.doc = key, doc
+
+    def get(self):
+        return self.doc.get("head")
+
+    def update(self, head: tuple) -> None:
+        self.doc["head"] = head
+
+    def getValue(self, no: tuple):
+        if no[0] < NEAR:
+            return self.doc.get(no[0])
+        found = self.far.getValue((self.key, *no)) if no[0] in self.doc else None
+        return found and pickle.loads(found[0])
+
+    def updateValue(self, no: tuple, chunk: tuple) -> None:
+        self.doc[no[0]] = chunk if no[0] < NEAR else None
+        if no[0] >= NEAR:
+            self.far.updateValue((self.key, *no), (pickle.dumps(chunk),))
+
+    def removeKey(self, no: tuple) -> None:
+        if self.doc.pop(no[0], None) is None:
+            self.far.removeKey((self.key, *no))
+
+    def clear(self) -> None:
+        for no in [no for no in self.doc if no != "head"]:
+            self.removeKey((no,))
+
+
+class _Buckets(StatefulProcessor):
+    """``_InOrder`` for all documents of a bucket. A call of the store and a batch of rows per document cost more than
+    the documents, so these share pages of some ``PAGE`` bytes, and rows come and go packed. A micro-batch reads and
+    writes the pages that its documents lie in; pages double in number as they grow."""
+
+    def __init__(self, key: str, kind: str, names: list[str], schema: pa.Schema):
+        self.key, self.kind, self.names, self.schema = key, kind, names, schema
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.row = Row("events")
+        self.size = handle.getValueState("size", "pages bigint, bytes bigint")
+        self.pages = handle.getMapState("pages", "page bigint", "docs binary")
+        self.held = _Held(handle.getMapState("far", f"`{self.key}` {self.kind}, chunk bigint", "segments binary"))
+        self.one = _InOrder(self.names)
+        self.one.init(self.held)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        collects = gc.isenabled()
+        gc.disable()  # thousands of rows without a cycle, walked over and over, took half the time
+        try:
+            yield from self._handle(rows)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _handle(self, rows: Iterator[Row]) -> Iterator[Row]:
+        self.count, self.bytes = self.size.get() or (1, 0)
+        waiting: dict[tuple, list[tuple]] = {}
+        n, out = 0, []
+        for _, packed in rows:
+            hashes, *columns = pickle.loads(packed)
+            for h, doc, *row in zip(hashes, columns[-1], *columns):
+                waiting.setdefault((h, doc), []).append(row)
+            n += len(hashes)
+            if n > HELD:
+                yield from self._settle(waiting, out)
+                n = 0
+        yield from self._settle(waiting, out)
+        if out:
+            yield self._packed(out)
+        self.size.update((self.count, self.bytes))
+
+    def _settle(self, waiting: dict[tuple, list[tuple]], out: list[Row]) -> Iterator[Row]:
+        dealt: dict[int, list[tuple]] = {}
+        for h, doc in waiting:
+            dealt.setdefault(self._place(h) % self.count, []).append((h, doc))
+        for no, docs in dealt.items():
+            page, before = self._page(no)
+            for at in docs:
+                self.held.turn(at[1], page.setdefault(at, {}))
+                for event in self.one.handleInputRows((at[1],), iter(waiting.pop(at)), None):
+                    out.append(event)
+                    if len(out) >= HELD:
+                        yield self._packed(out)
+            self._write(no, page, before)
+        self._split()
+
+    def _place(self, h: int) -> int:
+        return (h & (1 << 63) - 1) // BUCKETS
+
+    def _page(self, no: int) -> tuple[dict[tuple, dict], int]:
+        found = self.pages.getValue((no,)) if self.bytes else None
+        return (pickle.loads(found[0]), len(found[0])) if found is not None else ({}, 0)
+
+    def _write(self, no: int, page: dict[tuple, dict], before: int) -> None:
+        own = pickle.dumps(page)
+        self.pages.updateValue((no,), (own,))
+        self.bytes += len(own) - before
+
+    def _split(self) -> None:
+        """More pages, if they hold too much: the documents of one go to itself and to new ones."""
+        old, count = self.count, self.count
+        while self.bytes > count * PAGE:
+            count *= 2
+        if count > old:
+            for no in range(old):
+                page, before = self._page(no)
+                parts: dict[int, dict] = {no: {}}
+                for at, doc in page.items():
+                    parts.setdefault(self._place(at[0]) % count, {})[at] = doc
+                for part, docs in parts.items():
+                    if before:
+                        self._write(part, docs, before if part == no else 0)
+            self.count = count
+
+    def _packed(self, out: list[Row]) -> Row:
+        columns = [pa.array(c, f.type) for c, f in zip(zip(*out), self.schema)]
+        out.clear()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, self.schema) as w:
+            w.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
+        return self.row(sink.getvalue().to_pybytes())
+
+    def close(self) -> None:
+        pass
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per bucket that has its rows, pickled by column; the first column is the hash of the document."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= PACK:
+            yield _dealt(held)
+            held, size = [], 0
+    if held:
+        yield _dealt(held)
+
+
+def _dealt(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    rows = pa.Table.from_batches(held)
+    bucket = rows.column(0).to_numpy() % BUCKETS
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    columns = [c.to_numpy().tolist() if pa.types.is_string(c.type) else c.to_pylist() for c in rows.take(order).columns]
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+    made = [pickle.dumps([c[a:b] for c in columns]) for a, b in zip(starts, [*starts[1:], len(bucket)])]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int64()), pa.array(made, pa.binary())], ["_bucket", "packed"])
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for events in batch.column(0):
+            with pa.ipc.open_stream(events.as_buffer()) as found:
+                yield from found
+
+
 def segment_stream(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """Events of documents, each document's in order of index although its rows arrive in any order.
 
@@ -150,10 +330,13 @@ def segment_stream(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     Rows: key, sent, stage, index, type, original, translated, message, is_complete, total_segments, notice.
     """
     text = F.col("original")
-    own = rows.select("index", F.when(~X.is_blank(text), text).alias("original"), "translated", "message",
-                      "total_segments", key)  # a blank segment is one without a text
-    return own.groupBy(key).transformWithState(
-        _InOrder([key, *_names(EVENT)]), _schema(rows, key, EVENT), "Append", "None")
+    own = rows.select(F.xxhash64(key).alias("_hash"), "index", F.when(~X.is_blank(text), text).alias("original"),
+                      "translated", "message", "total_segments", key)  # a blank segment is one without a text
+    made = rows.sparkSession.createDataFrame([], _schema(rows, key, EVENT)).schema
+    packed = own.mapInArrow(_pack, "_bucket bigint, packed binary").groupBy("_bucket").transformWithState(
+        _Buckets(key, rows.schema[key].dataType.simpleString(), made.names, to_arrow_schema(made)),
+        "events binary", "Append", "None")
+    return packed.mapInArrow(_unpack, made)
 
 
 # ---- live sessions -----------------------------------------------------------------------------

@@ -1,10 +1,12 @@
 """Keyed-state streams against the same operators on tables, in any order of arrival and across restarts."""
 
 import os
+import pickle
 import random
 import time
 from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row, functions as F
 
@@ -170,6 +172,51 @@ def test_segments_cost_a_few_store_calls(monkeypatch):
         assert store.calls <= most and list(store.values) == ["head"]
 
 
+def bucket_run(rows, batches):
+    """Events of the documents of one bucket, their rows dealt to ``batches`` micro-batches, and the store."""
+    event = [c.split()[0] for c in ("doc_id bigint, " + stateful.EVENT).split(", ")]
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in ("doc_id bigint, " + stateful.EVENT).split(", ")])
+    store, out = Store(), []
+    op = stateful._Buckets("doc_id", "bigint", event, schema)
+    op.init(store)
+    for b in range(batches):
+        own = rows[b::batches]
+        packed = [(0, pickle.dumps([*map(list, zip(*own[i:i + 70]))])) for i in range(0, len(own), 70)]
+        for r in op.handleInputRows((0,), iter(packed), None):
+            out += pa.ipc.open_stream(r.events).read_all().to_pylist()
+    return store, out
+
+
+@pytest.mark.parametrize("held, page, near", [(100_000, 64 << 10, 8), (200, 2000, 1)])
+def test_documents_share_calls_of_the_store(monkeypatch, held, page, near):
+    """300 documents, one of them long and one without an id, in four micro-batches: pages of documents are read and
+    written, also when they double in number or chunks of a document lie apart."""
+    monkeypatch.setattr(stateful, "HELD", held)
+    monkeypatch.setattr(stateful, "PAGE", page)
+    monkeypatch.setattr(stateful, "NEAR", near)
+    r = random.Random(9)
+    docs = {d: r.randint(0, 12) for d in [None, *range(299)]} | {7: 700}
+    rows = []
+    for d, n in docs.items():
+        h = r.getrandbits(63) // stateful.BUCKETS * stateful.BUCKETS - (1 << 62)
+        rows += [(h, i, None if i % 7 == 3 else f"s{d} {i}", "t", "bad" if i % 5 == 4 else None, None, d) for i in range(n)]
+        rows.append((h, None, None, None, None, n, d))
+    rows += rows[::9]
+    r.shuffle(rows)
+    store, out = bucket_run(rows, 4)
+    for d, n in docs.items():
+        shown = [i for i in range(n) if i % 7 != 3]
+        own = [x for x in out if x["doc_id"] == d]
+        assert [(x["sent"], x["index"], x["type"], x["original"]) for x in own] == [
+            *((k, i, "error" if i % 5 == 4 else "segment", None if i % 5 == 4 else f"s{d} {i}")
+              for k, i in enumerate(shown)), (len(shown), 0, "complete", None)]
+        assert own[-1]["total_segments"] == n
+    assert not [k for k in store.values if k[0] == "far"]
+    if held > len(rows):
+        assert store.calls < len(docs)
+
+
 CHUNK = "session_id string, ts timestamp, chunk_idx int, language string, error string"
 
 
